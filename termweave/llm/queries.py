@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions.ids import latin_words, list_values
-from termweave.llm import frequency, genes, pairs, topn
+from termweave.llm import frequency, genes, pairs, similar, topn
 from termweave.session import table
 
 
@@ -22,6 +22,32 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(f"q_value <= 1 AND n_both * {n} >= 4 * n_a * n_b").select("item_a", "item_b")
 
 
+#: Similarity of p2: 7/10 or more between sets of four or more values.
+ALIKE = {"num": 7, "den": 10, "min_size": 4}
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of genes whose sets of GO ids and keywords agree in 7 of 10 values."""
+    members, classes = similar.set_classes(genes.set_values(spark, folder), ALIKE["min_size"])
+    pairs_ = similar.record_pairs(members, similar.similar_classes(classes, **ALIKE))
+    return pairs_.select(F.col("record_a").alias("gene_a"), F.col("record_b").alias("gene_b"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every gene with a set of four or more values: its class, the class's size and the gene's links."""
+    members, classes = similar.set_classes(genes.set_values(spark, folder), ALIKE["min_size"])
+    return similar.class_links(members, classes, similar.similar_classes(classes, **ALIKE)).withColumnRenamed("record", "gene")
+
+
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of classes with different sets that agree in 7 of 10 values, with the overlap."""
+    _, classes = similar.set_classes(genes.set_values(spark, folder), ALIKE["min_size"])
+    linked = similar.similar_classes(classes, **ALIKE)
+    for s in "ab":
+        linked = linked.join(classes.select(F.col("class_no").alias(f"class_{s}"), F.col("class_id").alias(f"id_{s}")), f"class_{s}")
+    return linked.select(F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b"), "overlap", "n_values")
+
+
 def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Every term of the three fields with its counts and mark."""
     fields = {"function_text": latin_words(F.col("function_text")), "description": latin_words(F.col("description")), "keywords": list_values(F.col("keywords"))}
@@ -59,6 +85,13 @@ items_ AS (SELECT DISTINCT gene, item FROM (
  SELECT gene, 'w:' || {WORDS.format("function_text")} FROM gene_)),
 single_ AS (SELECT item, count(*) AS n FROM items_ GROUP BY item)
 """
+SETS = f"""
+values_ AS (SELECT DISTINCT gene, v FROM (SELECT gene, {VALUES.format("go_ids")} AS v FROM gene_ UNION ALL SELECT gene, {VALUES.format("keywords")} FROM gene_)),
+sets_ AS (SELECT gene, count(*) AS size, md5(string_agg(v, '|' ORDER BY v)) AS content FROM values_ GROUP BY gene HAVING count(*) >= 4),
+shared_ AS (SELECT a.gene AS gene_a, b.gene AS gene_b, count(*) AS overlap FROM values_ a JOIN values_ b ON a.v = b.v AND a.gene < b.gene GROUP BY ALL),
+alike_ AS (SELECT gene_a, gene_b, overlap, x.size + y.size - overlap AS n_values FROM shared_ JOIN sets_ x ON x.gene = gene_a JOIN sets_ y ON y.gene = gene_b WHERE 10 * overlap >= 7 * (x.size + y.size - overlap)),
+classes_ AS (SELECT content, min(gene) AS class_id, count(*) AS class_size FROM sets_ GROUP BY content)
+"""
 TERMS = f"""
 tokens_ AS (
  SELECT gene, 'function_text' AS field_name, {WORDS.format("function_text")} AS term FROM gene_ UNION ALL
@@ -77,9 +110,14 @@ frequent_ AS (SELECT i.* FROM items_ i JOIN single_ s USING (item), all_ WHERE s
 both_ AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_both FROM frequent_ a JOIN frequent_ b ON a.gene = b.gene AND a.item < b.item GROUP BY ALL)
 SELECT item_a, item_b FROM both_ JOIN single_ x ON x.item = item_a JOIN single_ y ON y.item = item_b, all_
 WHERE n_both >= 5 AND 2000 * n_both >= all_.n AND n_both * all_.n >= 4 * x.n * y.n""",
+    "p2_found": f"WITH {GENES}, {SETS} SELECT gene_a, gene_b FROM alike_",
+    "p2_classes": f"""WITH {GENES}, {SETS}, ends_ AS (SELECT gene_a AS gene FROM alike_ UNION ALL SELECT gene_b FROM alike_)
+SELECT s.gene, class_id, class_size, (SELECT count(*) FROM ends_ e WHERE e.gene = s.gene) AS n_links FROM sets_ s JOIN classes_ USING (content)""",
+    "p2_pairs": f"""WITH {GENES}, {SETS}
+SELECT gene_a AS class_a, gene_b AS class_b, overlap, n_values FROM alike_ JOIN classes_ c ON c.class_id = gene_a JOIN classes_ d ON d.class_id = gene_b""",
     "p3_terms": f"WITH {GENES}, {TERMS} SELECT field_name, term, occurrences, records, mark FROM marked_",
     "p3_found": f"WITH {GENES}, {TERMS} SELECT field_name, term, mark FROM marked_ WHERE mark IS NOT NULL",
     "p5_top": f"WITH {TOP} SELECT set_name, label, fdr, position FROM placed_ WHERE position <= 5",
     "p5_found": f"WITH {TOP} SELECT set_name, label FROM placed_ WHERE position <= 5",
 }
-QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p3_terms, p3_found, p5_top, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found)}
