@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions.ids import latin_words, list_values
-from termweave.llm import frequency, genes, pairs, similar, topn
+from termweave.llm import encode, frequency, genes, pairs, similar, topn
 from termweave.session import table
 
 
@@ -72,6 +72,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_top(spark, folder).select("set_name", "label")
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document."""
+    return encode.encode_texts(table(spark, folder, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document's ids decode to its text again."""
+    documents = table(spark, folder, "documents")
+    decoded = encode.decode_ids(encode.encode_texts(documents)).withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
+
+
 GENES = """
 gene_ AS (SELECT upper(split_part(trim(id, ' '), '.', 1)) AS gene, * FROM gene WHERE upper(split_part(trim(id, ' '), '.', 1)) <> ''),
 all_ AS (SELECT count(DISTINCT gene) AS n FROM gene_)
@@ -118,6 +130,7 @@ SELECT gene_a AS class_a, gene_b AS class_b, overlap, n_values FROM alike_ JOIN
     "p3_terms": f"WITH {GENES}, {TERMS} SELECT field_name, term, occurrences, records, mark FROM marked_",
     "p3_found": f"WITH {GENES}, {TERMS} SELECT field_name, term, mark FROM marked_ WHERE mark IS NOT NULL",
     "p5_top": f"WITH {TOP} SELECT set_name, label, fdr, position FROM placed_ WHERE position <= 5",
+    "p6_roundtrip": "SELECT doc_id, TRUE AS exact FROM documents",
     "p5_found": f"WITH {TOP} SELECT set_name, label FROM placed_ WHERE position <= 5",
 }
-QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found, p6_ids, p6_roundtrip)}
