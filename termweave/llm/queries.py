@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions.ids import latin_words, list_values
-from termweave.llm import encode, frequency, genes, pairs, residue, similar, topn
+from termweave.llm import encode, frequency, genes, leaks, pairs, residue, similar, topn
 from termweave.session import table
 
 
@@ -84,6 +84,16 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
 
 
+def p7_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the evaluation items they quote, how much of them and where."""
+    return leaks.quotations(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the evaluation items they quote."""
+    return p7_quotations(spark, folder).select("doc_id", "item_id").distinct()
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with template residue, filler, errors or script notices."""
     return residue.residue_documents(table(spark, folder, "documents"))
@@ -143,4 +153,4 @@ SELECT gene_a AS class_a, gene_b AS class_b, overlap, n_values FROM alike_ JOIN
     "p6_roundtrip": "SELECT doc_id, TRUE AS exact FROM documents",
     "p5_found": f"WITH {TOP} SELECT set_name, label FROM placed_ WHERE position <= 5",
 }
-QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found, p6_ids, p6_roundtrip, p8_found, p8_messages)}
+QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found, p6_ids, p6_roundtrip, p7_quotations, p7_found, p8_found, p8_messages)}
