@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from termweave.plans import hierarchies
+from termweave.plans import enrichment, hierarchies, sql
 
-QUERIES = {**hierarchies.QUERIES}
-ORACLE = {**hierarchies.ORACLE}
-FLAGSHIP = "p4_found"
+QUERIES = {**hierarchies.QUERIES, **enrichment.QUERIES}
+ORACLE = {**hierarchies.ORACLE, **sql.ORACLE}
+FLAGSHIP = "enrich_multi"
