@@ -93,13 +93,14 @@ CYRILLIC = re.compile("[а-яА-Я]{3}")
 
 def messages(text: Column) -> Column:
     """The normalised messages of a text, each once: layout marks gone, lines joined, numbers, addresses and dates masked."""
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    lines = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     parts = F.split(F.regexp_replace(lines, LAYOUT, ""), CUE_HEAD)
 
     def normal(part: Column) -> Column:
-        part = F.regexp_replace(part, r"(?:https?://|www\.)\S+|\S+@\S+\.\w+", "<url>")
-        part = F.regexp_replace(part, r"(?<![\p{L}\d])\d+(?:[-./:]\d+)*(?!\p{L})", "#")
-        return F.trim(F.regexp_replace(part, r"[\s\x{A0}]+", " "))
+        addressed = part.contains("www.") | part.contains("://") | part.contains("@")
+        part = F.when(addressed, F.regexp_replace(part, r"(?:https?://|www\.)\S+|\S+@\S+\.\w+", "<url>")).otherwise(part)
+        part = F.regexp_replace(part, r"[0-9](?<![\p{L}\d][0-9])[0-9]*(?:[-./:]\d+)*(?!\p{L}|\d)", "#")
+        return F.trim(F.regexp_replace(part, r"[\s\x{A0}]{2,}|[\n\t\x{A0}]", " "))
 
     return F.array_remove(F.array_distinct(F.transform(parts, normal)), "")
 
@@ -230,20 +231,24 @@ def _classified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(kind=kinds)[[k is not None for k in kinds]]
 
 
-def document_messages(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, message, hash_a, hash_b): the different messages of each document."""
-    rows = documents.select("doc_id", "source", F.explode(messages(F.col("text"))).alias("message"))
+def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hash_a", F.xxhash64("message")).withColumn("hash_b", F.xxhash64(F.lit("residue"), "message"))
 
 
+def document_messages(documents: DataFrame) -> DataFrame:
+    """(doc_id, message, hash_a, hash_b): the different messages of each document."""
+    return _hashed(documents.select("doc_id", F.explode(messages(F.col("text"))).alias("message")))
+
+
 def recurring(documents: DataFrame) -> DataFrame:
     """Every message found to be residue: message, kind, n_documents, n_sources and its two hashes.
 
     Messages are first counted per source and then over sources, so none is gathered in one place.
     """
-    per_source = document_messages(documents).groupBy("hash_a", "hash_b", "source").agg(F.min("message").alias("message"), F.count("*").alias("n"))
-    grouped = per_source.groupBy("hash_a", "hash_b").agg(F.min("message").alias("message"), F.sum("n").alias("n_documents"), F.count("*").alias("n_sources"))
-    return grouped.mapInPandas(_classified, "hash_a long, hash_b long, message string, n_documents long, n_sources long, kind string")
+    held = documents.select("source", F.explode(messages(F.col("text"))).alias("message"))
+    per_source = held.groupBy("message", "source").agg(F.count("*").alias("n"))
+    grouped = per_source.groupBy("message").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_sources"))
+    return _hashed(grouped.mapInPandas(_classified, "message string, n_documents long, n_sources long, kind string"))
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
