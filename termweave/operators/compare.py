@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.session import cut
+
 
 def leading(described: DataFrame, per_set: int = 8) -> DataFrame:
     """The per_set first significant representatives of each set; place counts from 1."""
@@ -20,6 +22,7 @@ def comparison(described: DataFrame, per_set: int = 8, only_leading: bool = Fals
     p_value 1, k_study 0 and null fold. With only_leading, sets that lead with nothing are left out. Without
     leading concepts there are no rows.
     """
+    described = cut(described)
     leads = leading(described, per_set)
     kept = leads.groupBy("label").agg(F.min(F.struct("set_id", "place", "display"))["display"].alias("concept"))
     first = Window.partitionBy("set_id", "label").orderBy("rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as X
 from termweave.operators.enrich import Limits
+from termweave.session import cut
 
 
 def candidate_hits(results: DataFrame, index: DataFrame, study: DataFrame) -> DataFrame:
@@ -72,8 +73,9 @@ def described(results: DataFrame, index: DataFrame, study: DataFrame, symbols: D
     genes and symbols are sorted lists of the set's members with a status concept ('' for the others);
     symbols: id, symbol. Labels are shown with plain hyphens.
     """
-    hits = candidate_hits(results, index, study)
-    groups = merge_groups(results, hits, limits)
+    results = cut(results)
+    hits = cut(candidate_hits(results, index, study))
+    groups = cut(merge_groups(results, hits, limits))
     labels = results.select("set_id", F.col("rank").alias("group_rank"), F.col("label").alias("group"))
     grouped = groups.join(labels, ["set_id", "group_rank"])
     ordered = grouped.join(results.select("set_id", "rank", "label"), ["set_id", "rank"]).where("rank <> group_rank AND label <> group")

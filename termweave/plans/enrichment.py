@@ -79,7 +79,7 @@ def results(spark: SparkSession, folder: str, layers: tuple[str, ...]) -> tuple[
     held = cut(index(spark, folder, layers))
     everyone = background(spark, folder)
     study = cut(sets(spark, folder).join(E.universe(held, everyone), "entity_id", "left_semi"))
-    return cut(E.enrich(held, study, everyone, LIMITS)), held, study
+    return E.enrich(held, study, everyone, LIMITS), held, study
 
 
 def described(spark: SparkSession, folder: str, layers: tuple[str, ...] = ("word", "phrase", "keyword")) -> DataFrame:
@@ -225,6 +225,7 @@ def top_concepts(spark: SparkSession, folder: str) -> DataFrame:
 
 def merge_groups(spark: SparkSession, folder: str) -> DataFrame:
     rows, held, study = results(spark, folder, ("word", "phrase", "keyword"))
+    rows = cut(rows)
     groups = D.merge_groups(rows, D.candidate_hits(rows, held, study), LIMITS)
     labels = rows.select("set_id", "rank", "concept")
     return groups.join(labels, ["set_id", "rank"]).join(labels.select("set_id", F.col("rank").alias("group_rank"), F.col("concept").alias("group_concept")), ["set_id", "group_rank"]).select("set_id", "concept", "group_concept")
@@ -237,6 +238,7 @@ def display_phrase(spark: SparkSession, folder: str) -> DataFrame:
 def overlap_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Members shared by each two candidates of a set, keyword layer."""
     rows, held, study = results(spark, folder, ("keyword",))
+    rows = cut(rows)
     pairs = D.overlaps(D.candidate_hits(rows, held, study))
     side = lambda r, c: rows.select("set_id", F.col("rank").alias(r), F.col("concept").alias(c))
     named = pairs.join(side("rank", "a"), ["set_id", "rank"]).join(side("earlier", "b"), ["set_id", "earlier"])
@@ -249,7 +251,7 @@ def compare_top(spark: SparkSession, folder: str) -> DataFrame:
 
 def compare_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Leading keywords of all sets, on every set that leads with one."""
-    return rounded(CMP.comparison(cut(described(spark, folder, ("keyword",))), only_leading=True))
+    return rounded(CMP.comparison(described(spark, folder, ("keyword",)), only_leading=True))
 
 
 def legacy_freq(spark: SparkSession, folder: str) -> DataFrame:
