@@ -27,9 +27,10 @@ def closed(spark, edges):
     return {(r.src, r.dst): r.dist for r in H.closure(graph(spark, edges)).collect()}
 
 
-@pytest.mark.parametrize("seed,nodes,density", [(1, 40, 1.0), (2, 60, 1.6), (3, 30, 2.5)])
-def test_closure_of_random_graphs_with_loops(spark, seed, nodes, density, monkeypatch):
-    monkeypatch.setattr(H, "BASE_EDGES", 5)
+@pytest.mark.parametrize("seed,nodes,density,levels", [(1, 60, 1.2, 2), (3, 30, 2.5, 1)])
+def test_closure_of_random_graphs_with_loops(spark, seed, nodes, density, levels, monkeypatch):
+    monkeypatch.setattr(H, "BASE_EDGES", 15)
+    monkeypatch.setattr(H, "LEVELS", levels)
     monkeypatch.setattr(H, "FRAGMENT_NODES", 8)
     pick = random.Random(seed)
     edges = {(f"n{pick.randrange(nodes)}", f"n{pick.randrange(nodes)}") for _ in range(int(nodes * density))}
@@ -37,7 +38,6 @@ def test_closure_of_random_graphs_with_loops(spark, seed, nodes, density, monkey
 
 
 def test_closure_of_a_long_chain_and_a_star(spark, monkeypatch):
-    monkeypatch.setattr(H, "BASE_EDGES", 5)
     monkeypatch.setattr(H, "FRAGMENT_NODES", 10)
     edges = {(f"c{i}", f"c{i + 1}") for i in range(60)} | {(f"s{i}", "c0") for i in range(80)}
     assert closed(spark, edges) == reach(edges)
