@@ -92,17 +92,17 @@ CYRILLIC = re.compile("[а-яА-Я]{3}")
 
 
 def messages(text: Column) -> Column:
-    """The normalised messages of a text, each once: layout marks gone, lines joined, numbers, addresses and dates masked."""
-    lines = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
-    parts = F.split(F.regexp_replace(lines, LAYOUT, ""), CUE_HEAD)
-
-    def normal(part: Column) -> Column:
-        addressed = part.contains("www.") | part.contains("://") | part.contains("@")
-        part = F.when(addressed, F.regexp_replace(part, r"(?:https?://|www\.)\S+|\S+@\S+\.\w+", "<url>")).otherwise(part)
-        part = F.regexp_replace(part, r"[0-9](?<![\p{L}\d][0-9])[0-9]*(?:[-./:]\d+)*(?!\p{L}|\d)", "#")
-        return F.trim(F.regexp_replace(part, r"[\s\x{A0}]{2,}|[\n\t\x{A0}]", " "))
+    """The normalised messages of a text, each once: layout marks gone, lines joined, numbers, addresses and dates masked.
 
-    return F.array_remove(F.array_distinct(F.transform(parts, normal)), "")
+    All is done on the whole text, with U+0001 between messages, before it is taken apart.
+    """
+    lines = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    apart = F.regexp_replace(F.regexp_replace(lines, LAYOUT, ""), CUE_HEAD, "\x01")
+    addressed = apart.contains("www.") | apart.contains("://") | apart.contains("@")
+    apart = F.when(addressed, F.regexp_replace(apart, r"(?:https?://|www\.)[^\s\x01]+|[^\s\x01]+@[^\s\x01]+\.\w+", "<url>")).otherwise(apart)
+    apart = F.regexp_replace(apart, r"[0-9](?<![\p{L}\d][0-9])[0-9]*(?:[-./:]\d+)*(?!\p{L}|\d)", "#")
+    apart = F.regexp_replace(apart, r"[\s\x{A0}]{2,}|[\n\t\x{A0}]", " ")
+    return F.array_remove(F.array_distinct(F.transform(F.split(apart, "\x01"), lambda x: F.trim(x))), "")
 
 
 def repairs(text: str) -> list[str]:
