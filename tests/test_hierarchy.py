@@ -59,4 +59,4 @@ def test_hierarchy_names_loops_and_paths(spark):
     assert rows["C"].path == ["R", "A", "C"] and rows["C"].depth == 2 and rows["C"].roots == ["R"]
     assert rows["Z"].path == ["R", "A", "C", "Z"] and not rows["Z"].on_loop
     assert rows["X"].on_loop and rows["X"].depth is None and rows["X"].path is None and rows["X"].roots == []
-    assert rows["R"].n_descendants == 4 and rows["R"].depth == 0 and rows["Z"].n_ancestors == 5
+    assert rows["R"].n_descendants == 4 and rows["R"].depth == 0 and rows["Z"].n_ancestors == 6
