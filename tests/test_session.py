@@ -6,7 +6,7 @@ from termweave.session import cut
 
 
 def size(frame):
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def test_cut_keeps_rows_and_measures_their_size(spark):
@@ -16,7 +16,7 @@ def test_cut_keeps_rows_and_measures_their_size(spark):
         rows = cut(rows.join(other, "n").select("node", "n", "parts"))
         assert size(rows) < 100_000
         assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(str, rows.collect())) == sorted(map(str, [*rows.where("n = 1").collect(), *rows.where("n = 2").collect()]))
+    assert rows.where("node = 'a' AND n = 1 AND parts[0] = 'x' AND parts[1] IS NULL").count() == 2
     assert rows.count() == 3 and rows.where("node IS NULL AND parts IS NULL").count() == 1
 
 
