@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again, so that its lineage ends there.
 
     A checkpoint would end the lineage too, but hands on the estimated size of its plan. The estimates of
-    joins multiply, so over a loop of joins they grow to numbers of many thousand digits; a table has the
+    joins multiply, so over a loop of joins they can grow without bound (not profiled); a table has the
     size that was measured. The tables go when the session's machine ends.
     """
     spark = df.sparkSession
