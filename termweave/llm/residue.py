@@ -3,9 +3,11 @@
 A text is taken apart into messages: the body of each cue, or a block between blank lines. Messages are
 normalised, with numbers, addresses and dates masked, and grouped by an exact 128-bit hash over all
 documents and sources, so that a message that stands in a third of all cues is judged once. The rules
-judge a message by its placeholders, which a sentence of dialogue may hold, or by the whole of its wording;
-a sentence that merely speaks of an error has other words too and is no match. The hashes of
-the messages found lead back to the documents.
+judge a message by its placeholders, which a sentence of dialogue may hold, or by the whole of its wording:
+it is a known message, or it names a technical thing and a failure or request and all its other words are
+those of notices. A sentence that merely speaks of an error has other words too and is no match. Up to
+SPREAD neighbouring cues that have only words of notices are judged together as well. The hashes of the
+messages found lead back to the documents.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.session import cut
+
 # How the cues of subtitle files are told apart, and marks that only lay text out.
 CUE_HEAD = r"(?:^|\n)[ \t]*(?:\d+[ \t]*\n[ \t]*)?\d{1,2}:\d\d(?::\d\d)?[,.:]\d{1,3}[^\n]*\d\d[,.:]\d{1,3}[^\n]*(?:\n|$)|\n[ \t]*\n"
 LAYOUT = r"</?(?:[ibus]|font|c|v|lang|ruby|rt)(?:[ .][^<>]*)?>|\{\\[^{}]*\}|[\x{FEFF}\x{200B}\x{200D}\x{AD}]"
@@ -68,6 +72,71 @@ irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur exce
 proident sunt culpa qui officia deserunt mollit anim id est laborum
 """
 
+# More words of generated filler, for texts that are filler for the most part.
+MORE_FILLER = """
+pellentesque habitant morbi tristique senectus netus malesuada fames turpis egestas vestibulum tortor quam feugiat vitae
+ultricies eget curabitur suspendisse vivamus maecenas phasellus praesent quisque integer nullam donec aenean mauris
+faucibus luctus posuere cubilia sollicitudin condimentum sagittis porttitor tincidunt dapibus vulputate sodales
+volutpat pulvinar bibendum dignissim fringilla interdum lobortis rutrum venenatis viverra
+"""
+
+# Per language the words of notices: technical things; failures and requests; what stands around them.
+NOTICE_WORDS = """
+page website webpage url server servers session browser javascript script scripts scripting cookies database subtitle subtitles caption captions track player connection connections network service api login access plugin timeout timed gateway proxy host http account download downloads upload stream occurred
+error errors failed failure unable cannot can't couldn't not unavailable expired denied forbidden disabled enable enabled activate allow turn switch required requires needs need reload refresh retry again invalid timeout timed down maintenance exceeded refused lost reset offline unauthorized unexpected unsupported support wrong busy missing removed deleted blocked
+the a an this that these your you our we is are was were be been being has have had in on of to for from with by at and or but it its if then now no longer any please sorry oops try later soon back shortly while when before after only do does must will may can could should there here later minutes seconds hours moment temporarily currently permanently found exist exists available loading load loaded view see show shown display displayed continue use using watch content file files video text internal unknown fatal warning bad code status reached limit many too most requested looking out up off log sign in administrator contact support settings try's trying reason due scheduled under moved may under something went has your running run work works properly correctly first open read process processed complete completed respond responding response closed owner today document resource information refer reference id whilst again request requests permission
+página sitio servidor sesión navegador javascript script scripts cookies subtítulos subtítulo pista reproductor solicitud conexión red servicio acceso permiso cuenta base
+error errores no imposible caducado caducada expirado expirada denegado denegada prohibido desactivado deshabilitado active activar activa activado habilite habilitar permita requiere necesita necesario recargue recargar actualice inténtelo intente inválido inválida disponible mantenimiento superado perdido perdida fallo falló fallido inesperado ocupado
+el la los las un una de del al en a su sus este esta para por con y o se ha han sido está están es son que más tarde nuevo por favor lo sentimos ver mostrar cargar cargando continuar usar contenido archivo vídeo video texto interno interna desconocido pudo puede pueden encontrado encontrada existe ocurrido producido solicitada solicitado buscada busca momento momentos minutos pronto volveremos demasiadas datos tiempo espera agotado temporalmente actualmente iniciar sesión código responde cerrado ya
+seite webseite server sitzung browser javascript skript skripte skripten cookies untertitel spur player anfrage anfragen verbindung netzwerk dienst zugriff berechtigung konto datenbank
+fehler nicht abgelaufen verweigert verboten deaktiviert aktivieren aktiviert einschalten erlauben erforderlich benötigt braucht laden erneut ungültig verfügbar wartung wartungsarbeiten überschritten verloren fehlgeschlagen gescheitert unerwarteter zeitüberschreitung ausgelastet
+die der das den dem des ein eine einen einem einer diese dieser dieses ihr ihre ihrem ihren sie wir sind ist war wurde werden worden wird hat haben im in auf zu zum zur für von mit bei und oder es um bitte leider später bald wieder noch einmal versuchen sie neu anzeigen angezeigt sehen fortfahren fortzufahren benutzen inhalt datei video text interner interne unbekannter gefunden existiert aufgetreten angeforderte angeforderten gesuchte konnte können kann geladen moment minuten zurück zu viele vorübergehend derzeit melden an code antwortet geschlossen keine kein mehr wegen aufgrund
+page site serveur session navigateur javascript script scripts cookies sous titres titre piste lecteur requête requêtes connexion réseau service accès autorisation compte base
+erreur erreurs pas impossible introuvable expiré expirée refusé refusée interdit interdite désactivé activer activez activé autoriser autorisez requis nécessaire nécessite exige rechargez recharger actualisez réessayez réessayer invalide indisponible disponible maintenance dépassé dépassée perdue échec échoué inattendue occupé
+le la les l un une de du des d au aux en à votre vos notre nos vous nous ce cet cette pour par avec et ou se s est sont a ont été n ne que plus tard nouveau bientôt veuillez désolé afficher voir charger chargement continuer utiliser contenu fichier vidéo texte interne inconnue peut pu trouvée trouvé trouver existe survenue survenu produite demandée demandé recherchée moment minutes retour trop données délai temporairement actuellement code répond fermé pendant lors puis dans ici
+страница страницу страницы сайт сервер сервера сервером сеанс сеанса сессия браузер браузере javascript скрипт скрипты скриптов cookie субтитры субтитров дорожка дорожки плеер запрос запроса запросов соединение подключение сеть сервис служба доступ доступа
+ошибка ошибки не невозможно истекло истек истекла запрещён запрещен запрещена отказано отключён отключен отключены включите включить разрешите требуется требуются нужны нужен перезагрузите обновите повторите попробуйте недоступна недоступен недоступно недействителен обслуживание обслуживания превышен превышено потеряно сбой занят
+и в на к с по для из от у о или а но ваш ваша ваше вашем ваши мы вы этот эта это этого этой был была было были будет пожалуйста извините позже скоро снова ещё еще раз найдена найден найдено найти существует произошла произошел загрузке загрузки загрузить загрузка показа просмотра увидеть посмотреть продолжить чтобы содержимое файл файла файлу видео текст внутренняя неизвестная удалось может запрошенная запрашиваемая время ожидания минут слишком много данных лимит временно сейчас код отвечает их закрыт технические работы
+página site servidor sessão navegador javascript script scripts cookies legendas legenda faixa leitor pedido solicitação conexão ligação rede serviço acesso permissão conta
+erro erros não impossível expirou expirada expirado negado proibido desativado ative ativar ativado habilite permitir necessário requer precisa recarregue recarregar atualize tente inválido indisponível disponível manutenção excedido perdida falha falhou inesperado
+o a os as um uma de do da dos das no na nos nas em ao à seu sua este esta para por com e ou se foi está estão é são que mais tarde novo novamente favor desculpe ver mostrar carregar continuar usar conteúdo arquivo ficheiro vídeo texto interno desconhecido pode encontrada encontrado existe ocorreu solicitada momento minutos breve código responde tempo limite
+pagina sito server sessione browser javascript script cookie sottotitoli sottotitolo traccia lettore richiesta richieste connessione rete servizio accesso permesso account
+errore errori non impossibile scaduta scaduto negato vietato disattivato disabilitato attivare attiva attivate abilita abilitare consentire necessario richiede ricaricare ricarica aggiornare riprova riprovare invalido disponibile manutenzione superato persa fallito fallita imprevisto
+il lo la i gli le un uno una di del della dei in nel nella a al alla tuo tua suo sua questo questa per con da e o si è sono stato stata che più tardi nuovo spiacenti vedere visualizzare mostrare caricare continuare usare contenuto file video testo interno sconosciuto può trovata trovato esiste verificato richiesta momento minuti presto codice risponde tempo scaduto
+pagina website server sessie browser javascript script scripts cookies ondertitels ondertiteling speler verzoek verbinding netwerk dienst toegang account
+fout fouten niet onmogelijk verlopen geweigerd verboden uitgeschakeld schakel activeer inschakelen vereist nodig herlaad vernieuw opnieuw ongeldig beschikbaar onderhoud overschreden verbroken mislukt onverwachte
+de het een deze dit uw je is zijn was werd worden kan kon heeft in op van te om voor met bij en of er alstublieft sorry later probeer nog eens bekijken tonen laden doorgaan gebruiken inhoud bestand video tekst interne onbekende gevonden bestaat opgetreden gevraagde moment minuten terug code reageert
+strona strony witryna serwer serwera sesja przeglądarka przeglądarce javascript skrypt skrypty skryptów cookies napisy napisów odtwarzacz żądanie połączenie sieć usługa dostęp konto
+błąd błędy nie nieosiągalny wygasła wygasł zabroniony wyłączony włącz włączyć wymaga wymagane potrzebuje odśwież spróbuj nieprawidłowy niedostępna niedostępny konserwacja przekroczono utracono
+w z na do i o się jest są został została zostało twoja twój ta ten to tej przepraszamy proszę później wkrótce ponownie jeszcze raz obsługę aby zobaczyć wyświetlić kontynuować plik wideo tekst wewnętrzny nieznany znaleziono istnieje wystąpił żądana chwilę minut czas kod odpowiada
+"""
+# Of the technical things and the failures, words of everyday speech; two of them alone are no notice.
+EVERYDAY = """
+page track player connection connections network service access account host stream download downloads upload proxy gateway occurred plugin caption captions subtitle subtitles
+not cannot can't couldn't need needs lost again turn switch down wrong busy missing removed deleted blocked refused reset support allow disabled require required requires unexpected unsupported failure failed retry
+página sitio pista conexión red servicio acceso permiso cuenta base solicitud no imposible necesita necesario perdido perdida fallo falló fallido permita inesperado ocupado activa
+seite spur anfrage anfragen verbindung dienst zugriff berechtigung konto nicht braucht benötigt verloren gescheitert verboten erlauben laden
+titre titres sous piste lecteur connexion réseau service accès compte base requête requêtes pas impossible perdue échec échoué interdit nécessaire exige inattendue occupé
+страница страницу страницы сеть служба доступ доступа дорожка дорожки соединение запрос запроса запросов не нужны нужен потеряно занят сбой запрещено отказано
+pedido solicitação conexão ligação rede serviço acesso permissão conta leitor faixa não impossível preciso precisa perdida falha proibido tente
+pagina traccia lettore richiesta richieste connessione rete servizio accesso permesso account sito non impossibile necessario persa vietato
+verzoek verbinding netwerk dienst toegang account speler niet onmogelijk nodig fout fouten vereist verboden
+strona strony witryna połączenie sieć usługa dostęp konto żądanie nie potrzebuje włącz
+"""
+# What tells that a page is not there, said of a page alone.
+FOUND = "found exist exists encontrada encontrado existe gefunden existiert trouvée trouvé trouver найдена найден найдено существует trovata trovato esiste gevonden bestaat znaleziono istnieje loading load loaded cargar laden geladen charger загрузить caricare carregar"
+
+# Names of status codes, which need their number before or after.
+STATUS = re.compile(
+    r"^(?:[\W_]|#|https?|error|status|code|fehler|erreur|errore|erro|fout|ошибка|błąd)*(?:bad request|unauthorized|payment required|forbidden|(?:(?:page|file|url|resource) )?not found|method not allowed|not acceptable|proxy authentication required"
+    r"|request time-?out|conflict|gone|length required|precondition failed|(?:payload|content|request entity|uri) too (?:large|long)|unsupported media type|range not satisfiable|expectation failed|unprocessable (?:entity|content)|locked|too early"
+    r"|upgrade required|too many requests|internal server error|not implemented|bad gateway|(?:service )?(?:temporarily )?unavailable|gateway time-?out|http version not supported|insufficient storage|loop detected|network authentication required)(?:[\W_]|#|error)*$", re.I
+)
+#: Neighbouring cues that are judged together at most.
+SPREAD = 4
+#: Kind of a message that is no residue by itself but may be a part of a notice.
+PART = "part"
+
 # Forms of placeholders that need no known name. Masked numbers are #.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|<%.{1,60}?%>|\{%.{1,60}?%\}|@@[\w. ]+@@|##\s?[^\W\d][\w. ]*##|\b__[A-Z][A-Z0-9_]*__"
@@ -93,6 +162,11 @@ CYRILLIC = re.compile("[а-яА-Я]{3}")
 
 def messages(text: Column) -> Column:
     """The normalised messages of a text, each once: layout marks gone, lines joined, numbers, addresses and dates masked."""
+    return F.array_distinct(cues(text))
+
+
+def cues(text: Column) -> Column:
+    """The messages of a text in order, repeats included."""
     lines = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     parts = F.split(F.regexp_replace(lines, LAYOUT, ""), CUE_HEAD)
 
@@ -102,7 +176,7 @@ def messages(text: Column) -> Column:
         part = F.regexp_replace(part, r"[0-9](?<![\p{L}\d][0-9])[0-9]*(?:[-./:]\d+)*(?!\p{L}|\d)", "#")
         return F.trim(F.regexp_replace(part, r"[\s\x{A0}]{2,}|[\n\t\x{A0}]", " "))
 
-    return F.array_remove(F.array_distinct(F.transform(parts, normal)), "")
+    return F.array_remove(F.transform(parts, normal), "")
 
 
 def repairs(text: str) -> list[str]:
@@ -146,6 +220,11 @@ def within_two(a: str, b: str) -> bool:
     return row[-1] <= 2
 
 
+def slips(word: str) -> list[str]:
+    """The word and what is left of it without any one letter."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
 def _listed(block: str) -> list[str]:
     return [x.strip() for x in block.replace("\n", "|").split("|") if x.strip()]
 
@@ -158,16 +237,88 @@ class Rules:
     """
 
     ENDS = 5
+    #: Words of notices of so many letters may have one slip.
+    SLIP = 7
+    FILLER_STARTS = frozenset(w[:4] for w in (FILLER_WORDS + MORE_FILLER).split() if len(w) >= 4)
 
     def __init__(self):
         self.messages, self.names = (self._keys(_listed(block)) for block in (MESSAGES, FIELD_NAMES))
         self.filler = {folded(w) for w in FILLER_WORDS.split()}
+        self.more_filler = self.filler | {folded(w) for w in MORE_FILLER.split()}
         self.leads = [skeleton(x) for x in LEADS]
+        self.words: dict[str, int] = {}
+        for no, line in enumerate(_listed(NOTICE_WORDS)):
+            for word in line.split():
+                self.words[self._word(word)] = self.words.get(self._word(word), 0) | 1 << no % 3
+        for text in _listed(MESSAGES):
+            for word in re.findall(r"[^\W\d_]+", text):
+                self.words.setdefault(self._word(word), 4)
+        self.kinds: dict[str, int] = {}
+        for word in EVERYDAY.split():
+            self.words[self._word(word)] = self.words.get(self._word(word), 0) | 8
+        for word in FOUND.split():
+            self.words[self._word(word)] = self.words.get(self._word(word), 0) | 16
+        self.words.pop("", None)
+        self.near: dict[str, int] = {}
+        for word, kind in self.words.items():
+            for form in slips(word) if len(word) >= self.SLIP else ():
+                self.near[form] = self.near.get(form, 0) | kind
 
     @staticmethod
     def _latin(text: str) -> bool:
         return text.isascii() or len(text.encode("ascii", "ignore")) * 3 > len(text) * 2
 
+    def _word(self, word: str) -> str:
+        return folded(word) if CYRILLIC.search(word) or not self._latin(word) else skeleton(word)
+
+    def _notice_kind(self, word: str) -> int:
+        """1 for a technical thing, 2 for a failure or request, 4 for other words of notices, 8 for everyday ones, 16 for being there, added up; 0 for any other word."""
+        known = self.kinds.get(word)
+        if known is None:
+            if len(self.kinds) >= 200_000:
+                self.kinds.clear()
+            known = self.kinds[word] = self._kind_of(word)
+        return known
+
+    def _kind_of(self, word: str) -> int:
+        if word == "I":
+            return 0
+        key = self._word(word)
+        kind = self.words.get(key, 0)
+        if not kind and len(key) >= self.SLIP:
+            for form in slips(key):
+                kind |= self.near.get(form, 0)
+        return kind
+
+    def notice_words(self, message: str) -> list[int] | None:
+        """The kinds of a message's words, if all are words of notices."""
+        kinds = []
+        for word in message.replace("<url>", " ").split() if "<url>" in message else message.split():
+            for piece in (word,) if word.isalpha() else re.split(r"[-/—–:;,.!?\"«»“”()#]+", word):
+                if piece.isalpha() or any(map(str.isalpha, piece)):
+                    kind = self._notice_kind(piece.replace("’", "'").strip("'"))
+                    if not kind and "'" in piece:
+                        halves = [self._notice_kind(x) for x in piece.split("'") if x]
+                        kind = 4 if all(halves) else 0
+                    if not kind:
+                        return None
+                    kinds.append(kind)
+        return kinds
+
+    def is_notice(self, message: str) -> bool:
+        """Whether a message names a technical thing and a failure or request and has no words but those of notices."""
+        if "#" in message and STATUS.match(message):
+            return True
+        kinds = self.notice_words(message)
+        if not kinds or not 2 <= len(kinds) <= 60 or message.endswith("?"):
+            return False
+        either, things, failures = (sum(k & 3 == x for k in kinds) for x in (3, 1, 2))
+        telling = any(k & 16 or k & 3 and not k & 8 for k in kinds)
+        if telling and things + either > 0 and failures + either > 0 and things + failures + either > 1:
+            return True
+        sentences = [x for x in re.split(r"(?<=[.!?;])\s+|\s+[-–—]\s+", message) if x.strip()]
+        return len(sentences) > 1 and any(len(x.split()) >= 3 and self._is_one(x, self.messages) for x in sentences)
+
     def _keys(self, texts: list[str]) -> tuple[set[str], dict[str, set[str]], dict[str, set[str]]]:
         keys = {skeleton(t) if self._latin(t) else folded(t) for t in texts} - {""}
         starts, ends = {}, {}
@@ -218,30 +369,76 @@ class Rules:
             words = re.findall(r"[^\W\d_]+", message)
             if len(words) >= 3 and all(folded(w) in self.filler for w in words):
                 return "filler"
+        if self.is_filler(message):
+            return "filler"
         if len(message) > 400:
             return None
         bare = TAIL.sub("", message) if message[-1:] in ")]" or "ay " in message.lower() else message
-        return "notice" if self._is_one(bare, self.messages) else None
+        if self._is_one(bare, self.messages) or self.is_notice(message):
+            return "notice"
+        for text in self._read_again(message):
+            if self.is_notice(text):
+                return "notice"
+        return None
+
+    def _read_again(self, message: str) -> list[str]:
+        return [] if self._latin(message) or CYRILLIC.search(message) else [x for x in repairs(message) if CYRILLIC.search(x)]
+
+    def is_part(self, message: str) -> bool:
+        """Whether a message may be a part of a notice: it has only words of notices."""
+        return len(message) <= 200 and any(self.notice_words(x) for x in (message, *self._read_again(message)))
+
+    def is_filler(self, message: str) -> bool:
+        """Whether seven in ten words of a text are filler, five different ones of four or more letters among them."""
+        words = message.split()
+        if len(words) < 7 or not any(w[:4].lower() in self.FILLER_STARTS for w in words):
+            return False
+        known = [k for k in map(folded, words) if k in self.more_filler]
+        return 10 * len(known) >= 7 * len(words) and len({k for k in known if len(k) >= 4}) >= 5
 
 
 def _classified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rules = Rules()
     for frame in frames:
-        kinds = [rules.kind(m) for m in frame["message"]]
+        kinds = [rules.kind(m) or (PART if rules.is_part(m) else None) for m in frame["message"]]
         yield frame.assign(kind=kinds)[[k is not None for k in kinds]]
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("hash_a", F.xxhash64("message")).withColumn("hash_b", F.xxhash64(F.lit("residue"), "message"))
+def _runs(parts: list[tuple[int, str]]) -> list[str]:
+    """Two to SPREAD parts whose places follow one another, as one message each."""
+    out = []
+    for first in range(len(parts)):
+        for n in range(2, SPREAD + 1):
+            some = parts[first : first + n]
+            if len(some) < n or some[-1][0] - some[0][0] != n - 1:
+                break
+            out.append(" ".join(m for _, m in some))
+    return out
 
 
-def document_messages(documents: DataFrame) -> DataFrame:
-    """(doc_id, message, hash_a, hash_b): the different messages of each document."""
-    return _hashed(documents.select("doc_id", F.explode(messages(F.col("text"))).alias("message")))
+def _spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rules, known = Rules(), {}
+    for frame in frames:
+        rows = []
+        for doc, source, found, parts in zip(frame["doc_id"].tolist(), frame["source"].tolist(), frame["found"].tolist(), frame["parts"]):
+            for text in dict.fromkeys(_runs([(p["at"], p["message"]) for p in parts])):
+                if text not in known:
+                    if len(known) >= 100_000:
+                        known.clear()
+                    known[text] = rules.kind(text)
+                if known[text]:
+                    rows.append((doc, source, text, known[text]))
+            if found:
+                rows.append((doc, source, None, None))
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "message", "kind"])
 
 
-def recurring(documents: DataFrame) -> DataFrame:
-    """Every message found to be residue: message, kind, n_documents, n_sources and its two hashes.
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hash_a", F.xxhash64("message")).withColumn("hash_b", F.xxhash64(F.lit("residue"), "message"))
+
+
+def _judged(documents: DataFrame) -> DataFrame:
+    """Every message that is residue or a part of a notice: message, kind, n_documents, n_sources and its two hashes.
 
     Messages are first counted per source and then over sources, so none is gathered in one place.
     """
@@ -251,6 +448,27 @@ def recurring(documents: DataFrame) -> DataFrame:
     return _hashed(grouped.mapInPandas(_classified, "message string, n_documents long, n_sources long, kind string"))
 
 
+def _found(documents: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc_id, source, message, kind): a row of nulls for documents with residue in one cue, and the messages spread over several."""
+    numbered = documents.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), cues(F.col("text")).alias("cues"))
+    # A number alone is a cue's own number and stands between no cues.
+    held = _hashed(numbered.select("doc_id", "source", "row", F.posexplode(F.array_remove("cues", "#")).alias("at", "message"))).drop("message")
+    known = judged.select("hash_a", "hash_b", (F.col("kind") != PART).alias("whole"), F.when(F.col("kind") == PART, F.col("message")).alias("message"))
+    parts = F.array_sort(F.collect_list(F.when(~F.col("whole"), F.struct("at", "message"))))
+    hits = held.join(known, ["hash_a", "hash_b"]).groupBy("doc_id", "source", "row").agg(F.max("whole").alias("found"), parts.alias("parts"))
+    kinds = dict(documents.dtypes)
+    return hits.where("found OR size(parts) > 1").mapInPandas(_spread, f"doc_id {kinds['doc_id']}, source {kinds['source']}, message string, kind string")
+
+
+def recurring(documents: DataFrame) -> DataFrame:
+    """Every message found to be residue: message, kind, n_documents, n_sources and its two hashes; those spread over cues too."""
+    judged = cut(_judged(documents))
+    over = _found(documents, judged).where("message IS NOT NULL").groupBy("message", "kind", "source").agg(F.count("*").alias("n"))
+    over = _hashed(over.groupBy("message", "kind").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_sources")))
+    whole = judged.where(F.col("kind") != PART)
+    return whole.unionByName(over.join(whole.select("message"), "message", "left_anti"))
+
+
 def residue_documents(documents: DataFrame) -> DataFrame:
     """doc_id of every document with residue, each once.
 
@@ -258,6 +476,4 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     null source is a source of its own; rows with the same doc_id count as one document. Other columns
     play no part.
     """
-    found = recurring(documents).select("hash_a", "hash_b")
-    held = document_messages(documents).select("doc_id", "hash_a", "hash_b")
-    return held.join(found, ["hash_a", "hash_b"], "left_semi").select("doc_id").distinct()
+    return _found(documents, _judged(documents)).select("doc_id").distinct()

@@ -185,6 +185,22 @@ def test_residue(spark):
     assert residue.residue_documents(frame.where("false")).count() == 0
 
 
+def test_residue_in_other_words(spark):
+    case = {
+        "Page not found": True, "An error has occurred.": True, "Turn on scripts to continue.": True, "HTTP/1.1 410 Gone": True, "Página não encontrada": True, "Pagina non trovata": True,
+        "Your session has expired, please log in again. Contact the administrator.": True, "Impossible de charger la page": True, "Ñòðàíèöà íå íàéäåíà": True, "JavaScript vereist": True,
+        "Praesent Lorem ipsum dolor sit amet, consectetur banana elit": True,
+        "The session expired an hour ago, your honour.": False, "The page said four-oh-four, page not found, so I drove here myself.": False, "I can't see the page.": False, "No connection.": False, "We need access.": False,
+        "Access denied, says the robot, and then it opens the door anyway.": False, "Lorem ipsum is not Latin, Clara, it's nonsense.": False, "Error. Error.": False, "Gone.": False, "Tu dois activer JavaScript, papi.": False,
+    }
+    rows = [(i, cues(["Who's there?", t, "Wait."])) for i, t in enumerate(case)]
+    rows += [(100, cues(["Wait.", "The page you are looking", "for could not", "be found.", "Who?"])), (101, cues(["The page you are looking at", "for an hour", "was found."])), (102, cues(["Please enable JavaScript", "to view the captions."]))]
+    rows += [(103, cues(["Из-за ошибки", "страница не найдена"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    found = {r.doc_id for r in residue.residue_documents(frame).collect()}
+    assert found == {i for i, wanted in enumerate(case.values()) if wanted} | {100, 102, 103}
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_classes", "p3_terms", "p5_top", "p6_roundtrip"])
 def test_query_equals_sql(spark, name):
     import os
