@@ -1,9 +1,8 @@
 """Evaluation items quoted in corpus texts, wholly or in good part.
 
-One Aho-Corasick automaton holds the telling words and word pairs of all items. Each text is normalised
-and scanned once: what only lays the text out (cue heads, markup, position codes) is blanked in place, so that
+An index holds all words of the items, in all forms that a slip leaves. Each text is normalised and looked up once: what only lays the text out (cue heads, markup, position codes) is blanked in place, so that
 offsets stay those of the original; words are lower-cased and brought to a form in which misreadings
-and letters lost to a wrong encoding are alike. Where enough seeds of an item are met, the item's words
+and letters lost to a wrong encoding are alike. Where half of an item's words stand within its stretch in any order, they
 are aligned with the words around: the longest run of words in the item's order, with small slips, within a
 stretch at most twice as long as the item. An item is quoted if that run holds half of its words.
 
@@ -14,19 +13,22 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items of one automaton; more are scanned for in further passes.
+from termweave.llm.residue import repairs
+
+#: Items of one index; more are scanned for in further passes. The index loses nothing at any size.
 CHUNK = 20_000
 #: Share of an item's words that a quotation holds, and its length in words against the item's.
 SHARE, STRETCH = 0.5, 2
-#: A word or pair of more items than this is no seed; words have so many letters; seeds an item needs.
-SEED_ITEMS, SEED_LETTERS, SEEDS = 8, 6, 3
+#: Words whose places are kept in a Python worker.
+KNOWN_WORDS = 300_000
 # Cue heads with the number before, markup and codes of subtitle files.
 LAYOUT = re.compile(
     r"(?m)^[ \t﻿]*(?:\d+[ \t]*\r?\n[ \t]*)?\d{1,2}:\d\d(?::\d\d)?[,.:]\d{1,3}[^\n]*\d\d[,.:]\d{1,3}[^\n]*$"
@@ -47,15 +49,54 @@ def _alike(words: bytes) -> bytes:
     return words.translate(ALIKE, DROPPED).replace(b"rn", b"m").replace(b"ll", b"h")
 
 
+# A letter beyond the Latin ones, and a run that may be a word read in a wrong encoding.
+OTHER_SCRIPT = re.compile("[^\\W\\d_\u0000-\u036f]")
+BEYOND_ASCII = re.compile("[^\u0000-\u007f]{3}")
+
+
+def _other_script(token: str) -> list[str]:
+    """The words of a token without letters a-z: its letters of other scripts in lower case, repaired if misread.
+
+    Fewer than three letters are no word, as a misread letter can't be told from an accented one; of scripts
+    written without blanks each letter is a word.
+    """
+    if not OTHER_SCRIPT.search(token):
+        if not BEYOND_ASCII.search(token):
+            return []
+        token = next((x for x in repairs(token) if OTHER_SCRIPT.search(x)), "")
+    letters = "".join(re.findall(r"[^\W\d_]", token)).lower().replace("ё", "е")
+    if not OTHER_SCRIPT.search(letters):
+        return []
+    if any("\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u2e80" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" for c in letters):
+        return list(letters)
+    return [letters] if len(letters) >= 3 else []
+
+
 def words_of(text: str) -> list[str]:
-    """The words of a text as they are compared; a word without a letter a-z or digit is none."""
-    return _alike(text.lower().replace("\xa0", " ").encode("ascii", "ignore")).decode("ascii").split()
+    """The words of a text as they are compared; a word without a letter a-z or digit is one if it is of another script."""
+    if text.isascii():
+        return _alike(text.lower().encode("ascii")).decode("ascii").split()
+    return [word for word, _, _ in _placed(text)]
 
 
 def placed_words(text: str) -> list[tuple[str, int, int]]:
     """(word as compared, start, end) with the offsets in the original text."""
-    found = ((_alike(m[0].lower().encode("ascii", "ignore")).decode("ascii"), m.start(), m.end()) for m in re.finditer(r"[^\s\x1c-\x1f\xa0\x85  -     　]+|[\x1c-\x1f\x85  -     　]", blanked(text)))
-    return [w for w in found if w[0]]
+    return list(_placed(blanked(text)))
+
+
+def _placed(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in re.finditer(r"[^ \t\r\n\x0b\x0c\xa0]+", text):
+        token = m[0]
+        if token.isascii():
+            word = _alike(token.lower().encode("ascii")).decode("ascii")
+        else:
+            word = _alike(token.lower().encode("ascii", "ignore")).decode("ascii")
+            if not word:
+                for word in _other_script(token):
+                    yield word, m.start(), m.end()
+                continue
+        if word:
+            yield word, m.start(), m.end()
 
 
 def slips(word: str) -> list[str]:
@@ -67,29 +108,35 @@ def slips(word: str) -> list[str]:
 
 
 class Items:
-    """The automaton over the items' seeds, and each item's words for the alignment."""
+    """The index over the items' words, and each item's words for the alignment."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        import ahocorasick
-
-        self.words = [words_of(text or "") for _, text in items]
-        self.ids = [item for item, _ in items]
-        seeds: dict[str, set[tuple[int, int]]] = defaultdict(set)
-        for no, words in enumerate(self.words):
+        kept = [(item, words) for item, text in items if (words := words_of(text or ""))]
+        self.ids, self.words = [item for item, _ in kept], [words for _, words in kept]
+        sizes = np.array([len(words) for words in self.words], dtype=np.int64)
+        self.need = np.ceil(sizes * SHARE).astype(np.int64)
+        #: Places of all items are numbered through; an item's begin at its start.
+        self.starts = np.cumsum(sizes) - sizes
+        self.size = int(sizes.sum())
+        places: dict[str, list[int]] = defaultdict(list)
+        for start, words in zip(self.starts.tolist(), self.words):
             for at, word in enumerate(words):
-                if len(word) >= SEED_LETTERS:
-                    seeds[f" {word} "].add((no, at))
-                if at:
-                    seeds[f" {words[at - 1]} {word} "].add((no, at))
-        self.automaton = ahocorasick.Automaton()
-        for seed, places in seeds.items():
-            if len({no for no, _ in places}) <= SEED_ITEMS:
-                self.automaton.add_word(seed, tuple(places))
-        self.any = len(self.automaton) > 0
-        if self.any:
-            self.automaton.make_automaton()
+                for form in set(slips(word)):
+                    places[form].append(start + at)
+        self.places = {form: np.array(some, dtype=np.int64) for form, some in places.items()}
+        self.known: dict[str, np.ndarray] = {}
         self.forms: dict[int, dict[str, list[int]]] = {}
 
+    def _places(self, word: str) -> np.ndarray | None:
+        """The places of the words that a word may stand for, each once."""
+        if word in self.known:
+            return self.known[word]
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+        some = [self.places[form] for form in set(slips(word)) if form in self.places]
+        self.known[word] = found = np.unique(np.concatenate(some)) if some else None
+        return found
+
     def _forms(self, no: int) -> dict[str, list[int]]:
         """Places of each form of the item's words, last first."""
         if no not in self.forms:
@@ -102,25 +149,30 @@ class Items:
 
     def quoted(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, first word, word after the last, words in common) of the items a text quotes."""
-        if not self.any:
-            return []
         words = words_of(blanked(text))
-        line = f" {' '.join(words)} "
-        met: dict[int, set[int]] = defaultdict(set)
-        ends: dict[int, list[int]] = defaultdict(list)
-        for end, places in self.automaton.iter(line):
-            for no, at in places:
-                met[no].add(at)
-                ends[no].append(end)
+        met = [(word, places) for word in dict.fromkeys(words) if (places := self._places(word)) is not None]
+        if not met:
+            return []
+        every = np.concatenate([places for _, places in met])
+        mark = np.zeros(self.size, dtype=np.int64)
+        mark[every] = 1
+        likely = np.flatnonzero(np.add.reduceat(mark, self.starts) >= self.need).tolist()
+        if not likely:
+            return []
+        of_word = np.repeat(np.arange(len(met)), [len(places) for _, places in met])
+        at_words: dict[str, list[int]] = defaultdict(list)
+        for at, word in enumerate(words):
+            at_words[word].append(at)
         out = []
-        for no, seeds in met.items():
-            if len(seeds) < SEEDS:
-                continue
-            size = len(self.words[no])
-            place = sorted({line.count(" ", 0, end) - 1 for end in ends[no]})
-            best = self._aligned(no, words, max(0, place[0] - STRETCH * size), min(len(words), place[-1] + STRETCH * size))
-            if best and 2 * best[2] >= 2 * SHARE * size:
-                out.append((no, *best))
+        for no in likely:
+            size, start = len(self.words[no]), int(self.starts[no])
+            own = np.flatnonzero((every >= start) & (every < start + size))
+            hits = sorted((at, place) for word, place in zip(of_word[own].tolist(), every[own].tolist()) for at in at_words[met[word][0]])
+            for first, last in _dense(hits, int(self.need[no]), STRETCH * size):
+                best = self._aligned(no, words, max(0, first - STRETCH * size), min(len(words), last + STRETCH * size))
+                if best and 2 * best[2] >= 2 * SHARE * size:
+                    out.append((no, *best))
+                    break
         return out
 
     def _aligned(self, no: int, words: list[str], start: int, end: int) -> tuple[int, int, int] | None:
@@ -150,6 +202,27 @@ class Items:
         return None
 
 
+def _dense(hits: list[tuple[int, int]], needed: int, stretch: int) -> list[tuple[int, int]]:
+    """(first, last) of the parts of a text where so many different places are met within a stretch, neighbouring ones joined."""
+    out: list[list[int]] = []
+    inside: Counter[int] = Counter()
+    first = 0
+    for at, place in hits:
+        inside[place] += 1
+        while at - hits[first][0] >= stretch:
+            left = hits[first][1]
+            inside[left] -= 1
+            if not inside[left]:
+                del inside[left]
+            first += 1
+        if len(inside) >= needed:
+            if out and hits[first][0] - out[-1][1] <= 2 * stretch:
+                out[-1][1] = at
+            else:
+                out.append([hits[first][0], at])
+    return [(a, b) for a, b in out]
+
+
 def _in_order(hits: list[tuple[int, list[int]]]) -> int:
     """Length of the longest run of hits whose item places increase; places come last first."""
     tails: list[int] = []
@@ -167,7 +240,7 @@ _BUILT: dict[int, tuple[list, Items]] = {}
 
 
 def _built(items: list[tuple[int, str]]) -> Items:
-    """The automaton of these items, built once in each Python worker."""
+    """The index of these items, built once in each Python worker."""
     key = hash(tuple(items))
     if key not in _BUILT or _BUILT[key][0] != items:
         _BUILT.clear()

@@ -169,6 +169,21 @@ def test_quotations(spark):
     assert leaks.quotations(documents, items.where("false")).count() == 0
 
 
+def test_quotations_of_ordinary_short_and_other_script_items(spark):
+    plain = "The man with the old dog went down to the river and sat there until the night came over the hill"
+    words = plain.split()
+    slipped = " ".join(w[:-1] if i % 2 and len(w) >= 4 else w for i, w in enumerate(words[:13]))
+    items = [(i, f"{plain} {i}") for i in range(30)] + [(100, "Ferry timetable"), (101, "Старый паром медленно пересёк холодную реку перед самым рассветом")]
+    russian = items[-1][1]
+    texts = {
+        1: cues(["Well.", " ".join(words[:9]), " ".join(words[9:])]), 2: cues([slipped]), 3: cues(["They burned the timetables."]), 4: cues([russian]),
+        5: cues([russian.encode("cp1251").decode("latin-1")]), 6: cues([" ".join(reversed(words))]), 7: cues(["We burned the dog."]), 8: cues(["Он купил новую лодку, и всё."]),
+    }
+    wanted = {(d, i) for d in (1, 2) for i in range(30)} | {(3, 100), (4, 101), (5, 101)}
+    got = leaks.quotations(spark.createDataFrame([*texts.items()], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == wanted
+
+
 def test_residue(spark):
     case = {
         "Subtitles by {{ name }}": True, "Hello ${user}, welcome back.": True, "%1$s": True, "Synced for {0} on {0}": True, "by [INSERT TITLE HERE]": True, "by <SPEAKER>": True,
