@@ -4,7 +4,7 @@ Chance is the bipartite configuration model of largest entropy: record r holds i
 x_r y_i / (1 + x_r y_i), with x and y fitted so that every record has its size and every item its
 frequency on average. Records of one size share x and items of one frequency share y, so the fit needs
 the two histograms only. Under this null the number of records with both items is Poisson-binomial; its
-upper tail is the p value, and Benjamini-Hochberg over all counted pairs gives q.
+upper tail is the p value, and Benjamini-Hochberg gives q: over all pairs of items, or over the counted ones.
 
 Pairs are enumerated within records, never within an item's records. A large record is split into blocks
 of items, and each two of its blocks meet in a task of their own choice, so no record is held whole.
@@ -113,9 +113,10 @@ def _tails(x: np.ndarray, y: dict[int, float], weight: np.ndarray):
     return score
 
 
-def adjusted(tests: DataFrame, keys: list[str]) -> DataFrame:
+def adjusted(tests: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
     """``tests`` (keys, n, p_value) with q_value: Benjamini-Hochberg where a row stands for n tests.
 
+    total: all tests, if there are more than the rows stand for; the others have p = 1 and rank last.
     Ranks come from a global range-partitioned sort on p_value: the sums of the partitions before a
     partition and the least value of those after it are one number each.
     """
@@ -124,7 +125,7 @@ def adjusted(tests: DataFrame, keys: list[str]) -> DataFrame:
     placed = cut(tests.repartitionByRange(parts, "p_value").withColumn("part", F.spark_partition_id()))
     order = "PARTITION BY part ORDER BY p_value"
     sums = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row per partition
-    total, before, offsets = sum(sums.values()), 0, []
+    total, before, offsets = sum(sums.values()) if total is None else total, 0, []
     for part in sorted(sums):
         offsets.append((part, before))
         before += sums[part]
@@ -160,13 +161,15 @@ def _pair_counts(baskets: DataFrame) -> DataFrame:
     return _pairs_within(whole).unionByName(crossed).groupBy("a", "b").agg(F.count("*").alias("n_both"))
 
 
-def cooccurrence(items: DataFrame, record_count: int, min_records: int = 1) -> DataFrame:
+def cooccurrence(items: DataFrame, record_count: int, min_records: int = 1, all_pairs: bool = False) -> DataFrame:
     """One row per pair of items in at least ``min_records`` records together.
 
     items: record STRING, item STRING; nulls in either are left out, repeats count once, other columns play
     no part. record_count: all records, those without items included. Gives item_a < item_b (by code
     point), n_a, n_b, n_both, lift (n_both over the number expected from the two frequencies alone),
     expected, p_value and q_value under the fitted null. No items or no pairs give no rows.
+    all_pairs: q_value over all pairs of items instead of those counted; with min_records it is an upper bound, as rarer
+    pairs get no rank.
     """
     held = cut(items.select("record", "item").dropna().distinct())
     catalog = cut(held.groupBy("item").agg(F.count("*").alias("support")).select("item", F.monotonically_increasing_id().alias("item_no"), "support", _size_class(F.col("support")).alias("class")))
@@ -185,8 +188,9 @@ def cooccurrence(items: DataFrame, record_count: int, min_records: int = 1) -> D
     pairs = cut(named.select(*both, "n_both", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")))
     keys = ["class_a", "class_b", "n_both"]
     kinds = pairs.groupBy(*keys).agg(F.count("*").alias("n"))
+    n_items = int(frequencies["n"].sum())
     by_class = dict(zip(frequencies["class"].tolist(), y.tolist()))
-    tested = adjusted(kinds.repartition(*keys).mapInPandas(_tails(x, by_class, weight), "class_a long, class_b long, n_both long, n long, expected double, p_value double"), keys)
+    tested = adjusted(kinds.repartition(*keys).mapInPandas(_tails(x, by_class, weight), "class_a long, class_b long, n_both long, n long, expected double, p_value double"), keys, n_items * (n_items - 1) // 2 if all_pairs else None)
     spread = tested.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("item_a", "item_b"), F.lit(SALTS)).cast("int"))
     lift = F.col("n_both") * F.lit(float(record_count)) / (F.col("n_a").cast("double") * F.col("n_b"))

@@ -12,13 +12,13 @@ from termweave.session import table
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every two items that the same genes carry, with counts and surprise."""
-    return pairs.cooccurrence(genes.basket_items(spark, folder), genes.gene_count(spark, folder))
+    return pairs.cooccurrence(genes.basket_items(spark, folder), genes.gene_count(spark, folder), all_pairs=True)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs in at least 5 and a 2,000th of all genes, at least four times as often as by their frequencies."""
     n = genes.gene_count(spark, folder)
-    rows = pairs.cooccurrence(genes.basket_items(spark, folder), n, max(5, -(-n // 2000)))
+    rows = pairs.cooccurrence(genes.basket_items(spark, folder), n, max(5, -(-n // 2000)), all_pairs=True)
     return rows.where(f"q_value <= 1 AND n_both * {n} >= 4 * n_a * n_b").select("item_a", "item_b")
 
 

@@ -91,6 +91,20 @@ def test_pair_counts_null_and_rates(spark, monkeypatch):
     assert pairs.cooccurrence(frame.where("false"), 0).count() == 0
 
 
+def test_rates_of_p1_are_over_all_pairs(spark, tmp_path):
+    from termweave.llm import queries
+
+    pick = random.Random(8)
+    genes = [(f"G{i}", sorted({f"k{int(abs(pick.gauss(0, 6)))}" for _ in range(3)}), [], "") for i in range(60)]
+    spark.createDataFrame(genes, "id string, keywords array<string>, protein_names array<string>, function_text string").write.parquet(f"{tmp_path}/gene.parquet")
+    out = queries.p1_pairs(spark, str(tmp_path)).collect()
+    n = len({k for g in genes for k in g[1]})
+    total, ps = n * (n - 1) // 2, [r.p_value for r in out]
+    assert len(ps) < total
+    for r in out:
+        assert math.isclose(r.q_value, min(1, min(p * total / sum(x <= p for x in ps) for p in ps if p >= r.p_value)), rel_tol=1e-9)
+
+
 def test_similar_sets(spark, monkeypatch):
     monkeypatch.setattr(similar, "MAX_SUBSETS", 20)
     pick = random.Random(5)
