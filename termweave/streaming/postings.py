@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from termweave.functions.ids import entity_id, list_values
 
 
-def keyword_postings(deliveries: DataFrame, event_time: str = "loaded_at", late: str = "1 day") -> DataFrame:
-    """(entity_id, keyword, event time) of a stream of gene rows, each pair once within the watermark."""
+def keyword_postings(deliveries: DataFrame, event_time: str = "loaded_at") -> DataFrame:
+    """(entity_id, keyword, event time) of a stream of gene rows: each pair once, at whatever delay it comes again.
+
+    The pairs seen stay in the state for good, a row each, as genes come again after months.
+    """
     rows = deliveries.select(entity_id(F.col("id")).alias("entity_id"), F.explode(F.array_distinct(list_values(F.col("keywords")))).alias("keyword"), event_time)
-    return rows.where("entity_id IS NOT NULL").withWatermark(event_time, late).dropDuplicatesWithinWatermark(["entity_id", "keyword"])
+    return rows.where("entity_id IS NOT NULL").dropDuplicates(["entity_id", "keyword"])
 
 
 def keyword_counts(postings: DataFrame) -> DataFrame:
