@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import stats as S
 from termweave.functions.ids import entity_id
+from termweave.operators.spread import parts_before, positions, range_parts, spread_join
 from termweave.session import cut
 
 
@@ -43,14 +44,29 @@ def universe(index: DataFrame, background: DataFrame) -> DataFrame:
 def false_discovery(tests: DataFrame) -> DataFrame:
     """With fdr: Benjamini-Hochberg over the tested rows of each set_id; 1 for the others.
 
-    Equal p values get equal rates. Rows: set_id, p_value, tested.
+    Equal p values get equal rates. Rows: set_id, p_value, tested; null sets and p values count as untested.
+    The distinct p values of all sets are sorted by range over the cluster: a part ranks its own, and the counts
+    of a set's parts before and the least raw rates of its parts after are added, a row per part.
     """
-    by_p = Window.partitionBy("set_id").orderBy("p_value")
-    ranked = tests.where("tested").withColumn("rank", F.count("*").over(by_p.rangeBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("m", F.count("*").over(Window.partitionBy("set_id"))).withColumn("raw", F.col("p_value") * F.col("m") / F.col("rank"))
-    least = F.min("raw").over(by_p.rowsBetween(0, Window.unboundedFollowing))
-    done = ranked.withColumn("fdr", F.least(F.lit(1.0), least)).drop("rank", "m", "raw")
-    return done.unionByName(tests.where("NOT tested").withColumn("fdr", F.lit(1.0)))
+    tests = tests.withColumn("tested", F.coalesce(F.col("tested") & F.col("set_id").isNotNull() & F.col("p_value").isNotNull(), F.lit(False)))
+    tests = cut(tests)
+    steps = tests.where("tested").groupBy("set_id", "p_value").agg(F.count("*").alias("n_equal"))
+    placed = range_parts(steps, ["set_id", "p_value"])
+    per_part = placed.groupBy("set_id", "part").agg(F.sum("n_equal").alias("n_here"))
+    by_set = Window.partitionBy("set_id")
+    reach = per_part.withColumn("m", F.sum("n_here").over(by_set)).withColumn("n_parts", F.count("*").over(by_set)).where("n_parts > 1").select("set_id", "part", "m")
+    reach = reach.join(parts_before(per_part, "set_id", "n_here", "n_before"), ["set_id", "part"])
+    here = Window.partitionBy("set_id", "part")
+    up = here.orderBy("p_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("rank", F.sum("n_equal").over(up)).withColumn("n_here", F.sum("n_equal").over(here)).join(F.broadcast(reach), ["set_id", "part"], "left")
+    raw = F.col("p_value") * F.coalesce("m", "n_here") / (F.col("rank") + F.coalesce("n_before", F.lit(0)))
+    down = here.orderBy(F.col("p_value").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rates = cut(ranked.withColumn("raw", raw).withColumn("least", F.min("raw").over(down)).select("set_id", "part", "p_value", "least", (F.col("m").isNotNull()).alias("torn")))
+    later = Window.partitionBy("set_id").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    floors = rates.where("torn").groupBy("set_id", "part").agg(F.min("least").alias("least")).withColumn("floor", F.min("least").over(later)).select("set_id", "part", "floor")
+    rates = rates.join(F.broadcast(floors), ["set_id", "part"], "left").select("set_id", "p_value", F.least(F.lit(1.0), "least", "floor").alias("fdr"))
+    done = spread_join(tests.where("tested"), rates, ["set_id", "p_value"])
+    return done.select(*tests.columns, "fdr").unionByName(tests.where("NOT tested").withColumn("fdr", F.lit(1.0)))
 
 
 def rank_order() -> list[Column]:
@@ -65,7 +81,8 @@ def enrich(index: DataFrame, sets: DataFrame, background: DataFrame, limits: Lim
     background: entity_id. Only entities of the background with a concept count; n_bg is their number,
     n_study that of the set's among them. Concepts in more than max_concept_frac of n_bg are left
     out; those in fewer than min_genes of the set stay untested with fdr 1. status is 'significant', 'trend' or
-    ''. An empty background raises ValueError; sets without a usable member give no rows.
+    ''. An empty background raises ValueError, and so do sets of which no member at all is usable; a set without a usable
+    member beside others gives no rows.
     """
     if background is None:
         raise ValueError("a background is required: the entities that could have been in the sets")
@@ -75,7 +92,9 @@ def enrich(index: DataFrame, sets: DataFrame, background: DataFrame, limits: Lim
         raise ValueError("no entity of the background has a concept")
     held = index.join(inside, "entity_id", "left_semi")
     known = held.groupBy("layer", "concept", "label").agg(F.count("*").alias("k_bg")).where(F.col("k_bg") <= limits.max_concept_frac * n_bg)
-    study = sets.select("set_id", "entity_id").join(inside, "entity_id", "left_semi")
+    study = cut(sets.select("set_id", "entity_id").join(inside, "entity_id", "left_semi"))
+    if study.isEmpty():
+        raise ValueError("no member of any set is in the background and has a concept")
     sizes = study.groupBy("set_id").agg(F.count("*").alias("n_study"))
     hits = study.join(held, "entity_id").groupBy("set_id", "concept").agg(F.count("*").alias("k_study"))
     rows = hits.join(known, "concept").join(sizes, "set_id").withColumn("n_bg", F.lit(n_bg).cast("long"))
@@ -84,9 +103,8 @@ def enrich(index: DataFrame, sets: DataFrame, background: DataFrame, limits: Lim
     rows = false_discovery(rows.withColumn("tested", F.col("k_study") >= limits.min_genes))
     worthy = F.col("tested") & (F.col("fold") >= limits.min_fold)
     status = F.when(worthy & (F.col("fdr") <= limits.fdr), "significant").when(worthy & (F.col("p_value") <= limits.trend_p), "trend").otherwise("")
-    order = Window.partitionBy("set_id").orderBy(*rank_order())
     columns = ["set_id", "concept", "layer", "label", "k_study", "n_study", "k_bg", "n_bg", "fold", "p_value", "tested", "fdr", "status", "rank"]
-    return rows.withColumn("status", status).withColumn("rank", F.row_number().over(order)).select(*columns)
+    return positions(rows.withColumn("status", status), "set_id", rank_order(), "rank").select(*columns)
 
 
 def missing_entities(sets: DataFrame, inside: DataFrame) -> DataFrame:

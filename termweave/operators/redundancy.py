@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as X
 from termweave.operators.enrich import Limits
-from termweave.session import cut
+from termweave.session import cut, discard
 
 
 def candidate_hits(results: DataFrame, index: DataFrame, study: DataFrame) -> DataFrame:
@@ -17,36 +17,85 @@ def candidate_hits(results: DataFrame, index: DataFrame, study: DataFrame) -> Da
     return held.join(chosen, ["set_id", "concept"]).select("set_id", "rank", "concept", "entity_id")
 
 
-def overlaps(hits: DataFrame) -> DataFrame:
-    """(set_id, rank, earlier, shared): number of members shared by two candidates, the later one first."""
-    a = hits.select("set_id", "entity_id", "rank")
-    b = hits.select("set_id", "entity_id", F.col("rank").alias("earlier"))
-    return a.join(b, ["set_id", "entity_id"]).where("earlier < rank").groupBy("set_id", "rank", "earlier").agg(F.count("*").alias("shared"))
+def _stems(label: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(F.lower(label), r"(?U)\s+"), X.stem))
+
+
+def _listed_together(listed: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(set_id, rank, earlier) of rows (set_id, rank, size, keys) that meet under a key, the smaller size at least ``share`` of the larger."""
+    other = listed.select("set_id", *keys, F.col("rank").alias("earlier"), F.col("size").alias("size_b"))
+    met = listed.join(other, ["set_id", *keys]).where(F.col("earlier") < F.col("rank"))
+    return met.where(F.least("size", "size_b") >= share * F.greatest("size", "size_b")).select("set_id", "rank", "earlier")
+
+
+def close_pairs(results: DataFrame, hits: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(set_id, rank, earlier, shared): the candidates of a set that may stand for one another, the later one first.
+
+    Two candidates are close if their members agree in merge_jaccard, or if the stems of one label are among
+    the other's and they share half of the smaller one's members. Neither way needs all pairs of a member's
+    candidates: of a candidate of n members only the rarest n - ceil(merge_jaccard n) + 1 are listed, since sets that
+    agree so far meet in one of these; and a label is met under its rarest stem. What meets is counted exactly.
+    """
+    chosen = results.where("status <> ''").select("set_id", "rank", F.col("k_study").alias("size"), _stems(F.col("label")).alias("stems"))
+    carried = cut(hits.select("set_id", "rank", "entity_id"))
+    common = carried.groupBy("set_id", "entity_id").agg(F.count("*").alias("n"))
+    by_rarity = Window.partitionBy("set_id", "rank").orderBy("n", "entity_id")
+    placed = carried.join(common, ["set_id", "entity_id"]).withColumn("place", F.row_number().over(by_rarity)).join(chosen.select("set_id", "rank", "size"), ["set_id", "rank"])
+    listed = cut(placed.where(F.col("place") <= F.col("size") - F.ceil(limits.merge_jaccard * F.col("size") - 1e-9) + 1).select("set_id", "rank", "size", "entity_id"))
+    by_members = _listed_together(listed, ["entity_id"], limits.merge_jaccard)
+    stems = cut(chosen.select("set_id", "rank", "stems", F.explode("stems").alias("stem")))
+    rarity = stems.groupBy("set_id", "stem").agg(F.count("*").alias("n"))
+    rarest = stems.join(rarity, ["set_id", "stem"]).groupBy("set_id", "rank").agg(F.min(F.struct("n", "stem"))["stem"].alias("stem"))
+    inner = stems.join(rarest, ["set_id", "rank", "stem"]).select("set_id", "stem", F.col("rank").alias("rank_a"), F.col("stems").alias("stems_a"))
+    outer = stems.select("set_id", "stem", F.col("rank").alias("rank_b"), F.col("stems").alias("stems_b"))
+    nested = inner.join(outer, ["set_id", "stem"]).where((F.col("rank_a") != F.col("rank_b")) & (F.size(F.array_except("stems_a", "stems_b")) == 0))
+    by_stems = nested.select("set_id", F.greatest("rank_a", "rank_b").alias("rank"), F.least("rank_a", "rank_b").alias("earlier"))
+    may = by_members.withColumn("nested", F.lit(False)).unionByName(by_stems.withColumn("nested", F.lit(True))).groupBy("set_id", "rank", "earlier").agg(F.max("nested").alias("nested"))
+    earlier = carried.select("set_id", F.col("rank").alias("earlier"), "entity_id")
+    shared = cut(may).join(carried, ["set_id", "rank"]).join(earlier, ["set_id", "earlier", "entity_id"]).groupBy("set_id", "rank", "earlier", "nested").agg(F.count("*").alias("shared"))
+    sized = shared.join(chosen.select("set_id", "rank", "size"), ["set_id", "rank"]).join(chosen.select("set_id", F.col("rank").alias("earlier"), F.col("size").alias("size_b")), ["set_id", "earlier"])
+    alike = F.col("shared") / (F.col("size") + F.col("size_b") - F.col("shared")) >= limits.merge_jaccard
+    return sized.where(alike | (F.col("nested") & (F.col("shared") / F.least("size", "size_b") >= 0.5))).select("set_id", "rank", "earlier", "shared")
 
 
 def merge_groups(results: DataFrame, hits: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(set_id, rank, group_rank): the representative that each concept with a status belongs to; its own if it is one.
 
-    In order of rank a candidate joins the first earlier representative that shares enough members
-    (merge_jaccard), or at least half of the smaller one's while the stems of one label are among the
-    other's; otherwise it represents itself. merge_jaccard of 0 or less merges everything into the first.
+    In order of rank a candidate joins the first earlier representative that it is close to (``close_pairs``);
+    otherwise it represents itself. The order is kept by rounds over the table of close pairs: who has no undecided
+    earlier neighbour becomes a representative, who has one for an earlier neighbour is decided, and the pairs of
+    the decided are dropped. merge_jaccard of 0 or less merges everything into the first.
     """
-    stems = F.array_distinct(F.transform(F.split(F.lower("label"), r"(?U)\s+"), X.stem))
-    chosen = results.where("status <> ''").select("set_id", "rank", F.col("k_study").alias("size"), stems.alias("stems"))
+    chosen = results.where("status <> ''").select("set_id", "rank")
     if limits.merge_jaccard <= 0:
-        return chosen.select("set_id", "rank", F.min("rank").over(Window.partitionBy("set_id")).alias("group_rank"))
-    earlier = chosen.select("set_id", F.col("rank").alias("earlier"), F.col("size").alias("size_b"), F.col("stems").alias("stems_b"))
-    pairs = overlaps(hits).join(chosen, ["set_id", "rank"]).join(earlier, ["set_id", "earlier"])
-    alike = F.col("shared") / (F.col("size") + F.col("size_b") - F.col("shared")) >= limits.merge_jaccard
-    nested = (F.size(F.array_except("stems", "stems_b")) == 0) | (F.size(F.array_except("stems_b", "stems")) == 0)
-    close = pairs.where(alike | (nested & (F.col("shared") / F.least("size", "size_b") >= 0.5)))
-    edges = close.groupBy("set_id", "rank").agg(F.collect_list("earlier").alias("before"))
-    nodes = chosen.select("set_id", "rank").join(edges, ["set_id", "rank"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<int>")))
-    walk = nodes.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("rank", "before"))).alias("nodes"))
-    heads = F.aggregate(F.col("nodes"), F.array().cast("array<int>"), lambda acc, x: F.when(F.arrays_overlap(acc, x["before"]), acc).otherwise(F.array_append(acc, x["rank"])))
-    grouped = walk.withColumn("heads", heads).select("set_id", "heads", F.explode("nodes").alias("x"))
-    own = F.array_min(F.array_intersect("heads", F.col("x.before")))
-    return grouped.select("set_id", F.col("x.rank").alias("rank"), F.coalesce(own, F.col("x.rank")).alias("group_rank"))
+        first = chosen.groupBy("set_id").agg(F.min("rank").alias("group_rank"))
+        return chosen.join(first, "set_id").select("set_id", "rank", "group_rank")
+    edges = cut(close_pairs(results, hits, limits).select("set_id", "rank", "earlier"))
+    # Only candidates with an earlier neighbour wait; the others are representatives from the start.
+    key = ["set_id", "rank"]
+    waiting = cut(edges.select(*key).distinct())
+    ends = edges.select("set_id", F.col("earlier").alias("rank")).distinct()
+    heads, open_edges, fresh = [], edges, ends.join(waiting, key, "left_anti")
+    while True:
+        fresh = cut(fresh)
+        heads.append(fresh)
+        new = fresh.select("set_id", F.col("rank").alias("earlier"))
+        joined = open_edges.join(new, ["set_id", "earlier"], "left_semi").select(*key).distinct()
+        decided = cut(joined.unionByName(fresh))
+        gone = decided.select("set_id", F.col("rank").alias("earlier"))
+        still = cut(waiting.join(decided, key, "left_anti"))
+        left = cut(open_edges.join(decided, key, "left_anti").join(gone, ["set_id", "earlier"], "left_anti"))
+        discard(waiting, decided, *([open_edges] if open_edges is not edges else []))
+        waiting, open_edges = still, left
+        if waiting.isEmpty():
+            break
+        fresh = waiting.join(open_edges, key, "left_anti")
+    first = heads[0]
+    for other in heads[1:]:
+        first = first.unionByName(other)
+    own = edges.join(first.select("set_id", F.col("rank").alias("earlier")), ["set_id", "earlier"]).groupBy(*key).agg(F.min("earlier").alias("group_rank"))
+    own = own.join(first, key, "left_anti")
+    return chosen.join(own, key, "left").select(*key, F.coalesce("group_rank", "rank").alias("group_rank"))
 
 
 def display_phrases(results: DataFrame, groups: DataFrame, hits: DataFrame, index: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from termweave.operators import hierarchy as H
 from termweave.operators import montecarlo as M
 from termweave.operators import records as R
 from termweave.operators import redundancy as D
+from termweave.operators.spread import positions
 from termweave.plans.hierarchies import ontology_graph
 from termweave.session import cut, table
 
@@ -67,24 +68,20 @@ def background(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "gene").select(entity_id(F.col("id")).alias("entity_id")).where("entity_id IS NOT NULL").distinct()
 
 
-def largest_set(spark: SparkSession, folder: str) -> DataFrame:
-    """The members of the set with the most genes, the first by name of equal ones."""
-    members = sets(spark, folder)
-    first = members.groupBy("set_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "set_id").limit(1)
-    return members.join(first, "set_id", "left_semi")
-
-
 def results(spark: SparkSession, folder: str, layers: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, index, study) of all sets, materialised for the steps that use them again."""
     held = cut(index(spark, folder, layers))
     everyone = background(spark, folder)
     study = cut(sets(spark, folder).join(E.universe(held, everyone), "entity_id", "left_semi"))
-    return E.enrich(held, study, everyone, LIMITS), held, study
+    return cut(E.enrich(held, study, everyone, LIMITS)), held, study
 
 
 def described(spark: SparkSession, folder: str, layers: tuple[str, ...] = ("word", "phrase", "keyword")) -> DataFrame:
-    rows, held, study = results(spark, folder, layers)
-    return D.described(rows, held, study, records(spark, folder).select("id", "symbol"), LIMITS)
+    merged = cut(records(spark, folder))
+    held = cut(C.concept_index(merged, TABLES, layers, names(spark, folder)))
+    everyone = background(spark, folder)
+    study = cut(sets(spark, folder).join(E.universe(held, everyone), "entity_id", "left_semi"))
+    return D.described(E.enrich(held, study, everyone, LIMITS), held, study, merged.select("id", "symbol"), LIMITS)
 
 
 def rounded(rows: DataFrame) -> DataFrame:
@@ -112,7 +109,7 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 def split_names(spark: SparkSession, folder: str) -> DataFrame:
     """Protein names written as one string, in brackets after the first, and taken apart again."""
     values = F.filter(F.coalesce("protein_names", F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
-    whole = F.when(F.size(values) > 0, F.concat_ws("", F.get(values, F.lit(0)), F.array_join(F.transform(F.slice(values, 2, 100), lambda x: F.concat(F.lit(" ("), x, F.lit(")"))), ""), F.lit(" (EC 1.2.3.4)")))
+    whole = F.when(F.size(values) > 0, F.concat_ws("", F.get(values, F.lit(0)), F.array_join(F.transform(F.slice(values, F.lit(2), F.greatest(F.size(values), F.lit(1))), lambda x: F.concat(F.lit(" ("), x, F.lit(")"))), ""), F.lit(" (EC 1.2.3.4)")))
     return table(spark, folder, "gene").select("row_no", F.array_join(X.split_names(whole), "|").alias("parts"))
 
 
@@ -219,13 +216,12 @@ def significant(spark: SparkSession, folder: str) -> DataFrame:
 def top_concepts(spark: SparkSession, folder: str) -> DataFrame:
     """The words of each set's cloud: the first 60 significant ones and 25 trends."""
     rows = described(spark, folder).where("representative")
-    place = F.expr("row_number() OVER (PARTITION BY set_id, status ORDER BY rank)")
-    return rounded(rows.withColumn("place", place).where("place <= CASE status WHEN 'significant' THEN 60 ELSE 25 END")).select("set_id", "status", "place", "display", "fold", "fdr")
+    rows = positions(rows.withColumn("kind", F.concat_ws("|", "status", "set_id")), "kind", [F.col("rank")], "place").drop("kind")
+    return rounded(rows.where("place <= CASE status WHEN 'significant' THEN 60 ELSE 25 END")).select("set_id", "status", "place", "display", "fold", "fdr")
 
 
 def merge_groups(spark: SparkSession, folder: str) -> DataFrame:
     rows, held, study = results(spark, folder, ("word", "phrase", "keyword"))
-    rows = cut(rows)
     groups = D.merge_groups(rows, D.candidate_hits(rows, held, study), LIMITS)
     labels = rows.select("set_id", "rank", "concept")
     return groups.join(labels, ["set_id", "rank"]).join(labels.select("set_id", F.col("rank").alias("group_rank"), F.col("concept").alias("group_concept")), ["set_id", "group_rank"]).select("set_id", "concept", "group_concept")
@@ -236,10 +232,9 @@ def display_phrase(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def overlap_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Members shared by each two candidates of a set, keyword layer."""
-    rows, held, study = results(spark, folder, ("keyword",))
-    rows = cut(rows)
-    pairs = D.overlaps(D.candidate_hits(rows, held, study))
+    """The candidates of a set that are close enough to stand for one another, with the members they share."""
+    rows, held, study = results(spark, folder, ("word", "phrase", "keyword"))
+    pairs = D.close_pairs(rows, D.candidate_hits(rows, held, study), LIMITS)
     side = lambda r, c: rows.select("set_id", F.col("rank").alias(r), F.col("concept").alias(c))
     named = pairs.join(side("rank", "a"), ["set_id", "rank"]).join(side("earlier", "b"), ["set_id", "earlier"])
     return named.select("set_id", F.least("a", "b").alias("concept_a"), F.greatest("a", "b").alias("concept_b"), "shared")
@@ -250,8 +245,8 @@ def compare_top(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compare_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Leading keywords of all sets, on every set that leads with one."""
-    return rounded(CMP.comparison(described(spark, folder, ("keyword",)), only_leading=True))
+    """Leading keywords of all sets, on every set that has them."""
+    return rounded(CMP.comparison(described(spark, folder, ("keyword",))))
 
 
 def legacy_freq(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,8 +255,9 @@ def legacy_freq(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def legacy_mc(spark: SparkSession, folder: str) -> DataFrame:
+    """The frequency test of every set."""
     held = cut(texts(spark, folder, C.TEXT_FIELDS[:-1]))
-    rows = M.frequency_test(held, largest_set(spark, folder), background(spark, folder))
+    rows = M.frequency_test(held, sets(spark, folder), background(spark, folder))
     return rows.withColumn("enrich_ratio", F.round("enrich_ratio", 6))
 
 

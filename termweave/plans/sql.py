@@ -123,6 +123,35 @@ rates_ AS (SELECT * EXCLUDE (raw), least(1.0, min(raw) OVER (PARTITION BY set_id
 results_ AS (SELECT *, CASE WHEN tested AND fold >= 1 AND fdr <= 0.05 THEN 'significant' WHEN tested AND fold >= 1 AND p_value <= 0.01 THEN 'trend' ELSE '' END AS status FROM rates_)"""
 
 
+def described(layers: str) -> str:
+    """CTEs from the test's results to groups, display names and lists of members; the merge walks the candidates in order."""
+    return f"""{enriched(layers)},
+placed_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY fdr, p_value, k_study DESC, layer, concept) AS rank FROM results_),
+cand_ AS MATERIALIZED (SELECT set_id, rank, concept, label, layer, k_study AS size, list_distinct(list_transform(regexp_split_to_array(lower(label), '\\s+'), lambda w: {stem('w')})) AS stems FROM placed_ WHERE status <> ''),
+carried_ AS MATERIALIZED (SELECT c.set_id, c.rank, s.entity_id FROM cand_ c JOIN index_ i USING (concept) JOIN study_ s ON s.set_id = c.set_id AND s.entity_id = i.entity_id),
+shared_ AS (SELECT a.set_id, a.rank, b.rank AS earlier, count(*) AS shared FROM carried_ a JOIN carried_ b ON a.set_id = b.set_id AND a.entity_id = b.entity_id AND b.rank < a.rank GROUP BY ALL),
+close_ AS MATERIALIZED (SELECT s.* FROM shared_ s JOIN cand_ a ON a.set_id = s.set_id AND a.rank = s.rank JOIN cand_ b ON b.set_id = s.set_id AND b.rank = s.earlier
+ WHERE shared / (a.size + b.size - shared) >= 0.75 OR ((len(list_intersect(a.stems, b.stems)) = least(len(a.stems), len(b.stems))) AND shared / least(a.size, b.size) >= 0.5)),
+before_ AS (SELECT set_id, rank, list(earlier) AS before FROM close_ GROUP BY ALL),
+nodes__ AS MATERIALIZED (SELECT c.set_id, c.rank, row_number() OVER (PARTITION BY c.set_id ORDER BY c.rank) AS i, coalesce(before, CAST([] AS BIGINT[])) AS before FROM cand_ c LEFT JOIN before_ b USING (set_id, rank)),
+walk_ AS (SELECT DISTINCT set_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS heads FROM cand_ UNION ALL
+ SELECT w.set_id, n.i, CASE WHEN list_has_any(w.heads, n.before) THEN w.heads ELSE list_append(w.heads, n.rank) END FROM walk_ w JOIN nodes__ n ON n.set_id = w.set_id AND n.i = w.i + 1),
+heads_ AS (SELECT set_id, arg_max(heads, i) AS heads FROM walk_ GROUP BY 1),
+groups_ AS MATERIALIZED (SELECT n.set_id, n.rank, coalesce(list_min(list_intersect(h.heads, n.before)), n.rank) AS group_rank FROM nodes__ n JOIN heads_ h USING (set_id)),
+phrases__ AS (SELECT entity_id, label AS phrase, unnest(list_distinct(string_split(label, ' '))) AS word FROM index_ WHERE layer = 'phrase'),
+rare_ AS (SELECT label AS phrase, count(*) AS overall FROM index_ WHERE layer = 'phrase' GROUP BY 1),
+votes_ AS (SELECT c.set_id, c.rank, c.size, p.phrase, count(*) AS votes FROM cand_ c JOIN groups_ g ON g.set_id = c.set_id AND g.rank = c.rank AND g.group_rank = c.rank
+ JOIN carried_ m ON m.set_id = c.set_id AND m.rank = c.rank JOIN phrases__ p ON p.entity_id = m.entity_id AND p.word = c.label WHERE c.layer = 'word' GROUP BY ALL),
+named_ AS (SELECT set_id, rank, phrase FROM votes_ JOIN rare_ USING (phrase) WHERE votes >= greatest(2, ceil(2 * size / 3)) QUALIFY row_number() OVER (PARTITION BY set_id, rank ORDER BY votes DESC, overall, phrase) = 1),
+merged_ AS (SELECT g.set_id, g.group_rank AS rank, string_agg(c.label, ', ' ORDER BY c.rank) AS merged FROM groups_ g JOIN cand_ c USING (set_id, rank) JOIN cand_ h ON h.set_id = g.set_id AND h.rank = g.group_rank WHERE g.rank <> g.group_rank AND c.label <> h.label GROUP BY ALL),
+lists__ AS (SELECT m.set_id, m.rank, string_agg(m.entity_id, ', ' ORDER BY m.entity_id) AS genes, string_agg(coalesce(nullif(r.symbol, ''), m.entity_id), ', ' ORDER BY m.entity_id) AS symbols FROM carried_ m LEFT JOIN records_ r ON r.id = m.entity_id GROUP BY ALL),
+described_ AS (SELECT p.* EXCLUDE (label), replace(p.label, '\u2011', '-') AS label, coalesce(g.group_rank = p.rank, false) AS representative, replace(coalesce(n.phrase, p.label), '\u2011', '-') AS display,
+ replace(coalesce(m.merged, ''), '\u2011', '-') AS merged, coalesce(l.genes, '') AS genes, coalesce(l.symbols, '') AS symbols
+ FROM placed_ p LEFT JOIN groups_ g USING (set_id, rank) LEFT JOIN named_ n USING (set_id, rank) LEFT JOIN merged_ m USING (set_id, rank) LEFT JOIN lists__ l USING (set_id, rank)),
+leads_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY rank) AS place FROM described_ WHERE status = 'significant' AND representative) WHERE place <= 8)"""
+
+
+EVERY = described('word phrase keyword')
 ROUNDED = f"set_id, concept, layer, label, k_study, n_study, k_bg, n_bg, round(fold, 6) AS fold, {log('p_value')} AS p_value, tested, {log('fdr')} AS fdr, status"
 PUNCTUATION = M.PUNCTUATION.replace("'", "''")
 LEGACY = rf""",
@@ -159,19 +188,28 @@ SELECT row_no, round(least(1.0, min(raw) OVER (PARTITION BY s ORDER BY p ROWS BE
     "enrich_keywords": f"{PRELUDE}{enriched('keyword')} SELECT {ROUNDED} FROM results_",
     "enrich_terms": f"{PRELUDE}{enriched('go')} SELECT {ROUNDED} FROM results_",
     "enrich_multi": f"{PRELUDE}{enriched('word phrase keyword')} SELECT {ROUNDED} FROM results_",
-    "overlap_pairs": f"""{PRELUDE}{enriched('keyword')}, cand_ AS (SELECT s.set_id, s.entity_id, r.concept FROM results_ r JOIN study_ s USING (set_id) JOIN index_ i ON i.entity_id = s.entity_id AND i.concept = r.concept WHERE status <> '')
-SELECT a.set_id, a.concept AS concept_a, b.concept AS concept_b, count(*) AS shared FROM cand_ a JOIN cand_ b ON a.set_id = b.set_id AND a.entity_id = b.entity_id AND a.concept < b.concept GROUP BY ALL""",
+    "overlap_pairs": f"""{PRELUDE}{EVERY} SELECT s.set_id, least(a.concept, b.concept) AS concept_a, greatest(a.concept, b.concept) AS concept_b, shared
+FROM close_ s JOIN cand_ a ON a.set_id = s.set_id AND a.rank = s.rank JOIN cand_ b ON b.set_id = s.set_id AND b.rank = s.earlier""",
+    "merge_groups": f"""{PRELUDE}{EVERY} SELECT g.set_id, c.concept, h.concept AS group_concept FROM groups_ g JOIN cand_ c USING (set_id, rank) JOIN cand_ h ON h.set_id = g.set_id AND h.rank = g.group_rank""",
+    "significant": f"""{PRELUDE}{EVERY} SELECT set_id, concept, display, merged, k_study, round(fold, 6) AS fold, {log('p_value')} AS p_value, {log('fdr')} AS fdr, genes, symbols FROM described_ WHERE status = 'significant' AND representative""",
+    "top_concepts": f"""{PRELUDE}{EVERY} SELECT * FROM (SELECT set_id, status, row_number() OVER (PARTITION BY set_id, status ORDER BY rank) AS place, display, round(fold, 6) AS fold, {log('fdr')} AS fdr FROM described_ WHERE representative)
+WHERE place <= CASE status WHEN 'significant' THEN 60 ELSE 25 END""",
+    "display_phrase": f"""{PRELUDE}{EVERY} SELECT set_id, concept, display FROM described_ WHERE representative AND layer = 'word'""",
+    "compare_top": f"""{PRELUDE}{described('keyword')} SELECT set_id, place, label, {log('fdr')} AS fdr FROM leads_""",
+    "compare_grid": f"""{PRELUDE}{described('keyword')}, kept_labels_ AS (SELECT label, arg_min(display, (set_id, place)) AS concept FROM leads_ GROUP BY 1)
+SELECT set_id, concept, label, {log('fdr')} AS fdr, {log('p_value')} AS p_value, round(fold, 6) AS fold, k_study, status = 'significant' AS significant
+FROM (SELECT d.set_id, d.label, k.concept, d.fdr, d.p_value, d.fold, d.k_study, d.status, row_number() OVER (PARTITION BY d.set_id, d.label ORDER BY d.rank) AS n FROM described_ d JOIN kept_labels_ k USING (label)) WHERE n = 1""",
     "legacy_freq": f"{PRELUDE}{LEGACY} SELECT word, CAST(sum(n) AS BIGINT) AS freq FROM legacy_ GROUP BY 1",
     "legacy_mc": f"""{PRELUDE}{LEGACY},
-largest_ AS (SELECT set_id FROM sets_ GROUP BY 1 ORDER BY count(*) DESC, set_id LIMIT 1),
-universe_ AS (SELECT DISTINCT entity_id FROM corpus_),
-chosen_ AS (SELECT DISTINCT entity_id FROM sets_ SEMI JOIN largest_ USING (set_id) SEMI JOIN universe_ USING (entity_id)),
-size_ AS (SELECT (SELECT count(*) FROM chosen_) AS n_study, (SELECT count(*) FROM universe_) AS m),
-seen_ AS (SELECT word, sum(n) AS freq FROM legacy_ SEMI JOIN chosen_ USING (entity_id) GROUP BY 1),
+universe_ AS MATERIALIZED (SELECT DISTINCT entity_id FROM corpus_),
+chosen_ AS MATERIALIZED (SELECT DISTINCT set_id, entity_id FROM sets_ SEMI JOIN universe_ USING (entity_id)),
+sizes__ AS MATERIALIZED (SELECT set_id, count(*) AS n_study FROM chosen_ GROUP BY 1),
+seen_ AS MATERIALIZED (SELECT set_id, word, CAST(sum(n) AS BIGINT) AS freq, any_value(n_study) AS n_study FROM chosen_ JOIN legacy_ USING (entity_id) JOIN sizes__ USING (set_id) GROUP BY 1, 2),
 lots_ AS (SELECT sample, entity_id, row_number() OVER (PARTITION BY sample ORDER BY md5('1|' || sample || '|' || entity_id), entity_id) AS place FROM universe_, range(1, 101) s(sample)),
-drawn_ AS (SELECT sample, word, sum(legacy_.n) AS f FROM lots_ JOIN legacy_ USING (entity_id), size_ WHERE place <= size_.n_study GROUP BY ALL),
-reached_ AS (SELECT word, count(*) AS rdm FROM drawn_ JOIN seen_ USING (word) WHERE f >= freq GROUP BY 1),
+drawn_ AS MATERIALIZED (SELECT word, place, n, sum(n) OVER (PARTITION BY sample, word ORDER BY place) AS so_far FROM lots_ JOIN legacy_ USING (entity_id) WHERE place <= (SELECT max(n_study) FROM sizes__)),
+needs_ AS (SELECT DISTINCT word, freq, n_study FROM seen_),
+reached_ AS (SELECT word, freq, n_study, count(*) AS rdm FROM needs_ JOIN drawn_ USING (word) WHERE so_far >= freq AND so_far - n < freq AND place <= n_study GROUP BY ALL),
 overall_ AS (SELECT word, sum(n) AS genome_count FROM legacy_ GROUP BY 1)
-SELECT word, CAST(freq AS BIGINT) AS freq, coalesce(rdm, 0) AS rdm, CAST(genome_count AS BIGINT) AS genome_count, round((freq / size_.n_study) / (genome_count / size_.m), 6) AS enrich_ratio,
- rdm IS NULL AND word NOT IN {listed(M.NOISE_WORDS.split())} AS significant FROM seen_ JOIN overall_ USING (word) LEFT JOIN reached_ USING (word), size_""",
+SELECT set_id, word, freq, coalesce(rdm, 0) AS rdm, CAST(genome_count AS BIGINT) AS genome_count, round((freq / n_study) / (genome_count / (SELECT count(*) FROM universe_)), 6) AS enrich_ratio,
+ rdm IS NULL AND word NOT IN {listed(M.NOISE_WORDS.split())} AS significant FROM seen_ JOIN overall_ USING (word) LEFT JOIN reached_ USING (word, freq, n_study)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset, as in tests, one of this machine."""
+    """The folder named in ``spark.checkpoint.dir``, or set on the context.
+
+    A local session without one, as in tests, gets a folder of this machine. On a cluster that would be a different folder on
+    every machine, so there a missing setting raises RuntimeError.
+    """
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not re.match(r"local(\[[^-]*\])?$", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,12 +59,20 @@ def cut(df: DataFrame) -> DataFrame:
 
     A checkpoint would end the lineage too, but hands on the estimated size of its plan. The estimates of
     joins multiply, so over a loop of joins they can grow without bound (not profiled); a table has the
-    size that was measured. The tables go when the session's machine ends.
+    size that was measured. The tables go when the driver ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``cut`` gave and that nothing will read again, as the older rounds of a loop."""
+    for frame in frames:
+        place, files = _place(frame.sparkSession, frame.cut_path)
+        files.delete(place, True)

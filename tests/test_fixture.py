@@ -71,6 +71,8 @@ def test_background_is_required(spark, index):
         enrich.enrich(index, study, spark.createDataFrame([("NOBODY",)], "entity_id string"))
     with pytest.raises(ValueError):
         concepts.concept_index(None, SPECIES, ("word", "colour"))
+    with pytest.raises(ValueError):
+        enrich.enrich(index, members(spark, [locus(70)]), everyone(spark))
 
 
 def test_recognised_ids(spark):
@@ -81,10 +83,13 @@ def test_recognised_ids(spark):
 def test_comparison_fills_the_grid(spark, built, index):
     study = members(spark, [locus(i) for i in range(6)], "n").unionByName(members(spark, [locus(i) for i in range(6, 10)], "h")).unionByName(members(spark, [locus(40), locus(9)], "o"))
     rows = redundancy.described(enrich.enrich(index, study, everyone(spark)), index, study)
-    grid = compare.comparison(rows, 3).collect()
+    sparse = compare.comparison(rows, 3)
+    grid = compare.filled(sparse, ["n", "h", "o"]).collect()
     labels = {r.label for r in grid}
     assert len(grid) == 3 * len(labels) and all(r.fold is None and r.fdr == 1 for r in grid if r.k_study == 0)
-    assert {r.set_id for r in compare.comparison(rows, 3, only_leading=True).collect()} == {"n", "h"}
+    assert {tuple(r) for r in grid if r.k_study} == {tuple(r) for r in sparse.collect()}
+    with pytest.raises(ValueError):
+        compare.filled(sparse, [str(i) for i in range(compare.GRID_SETS + 1)])
 
 
 def test_frequency_test(spark, built):

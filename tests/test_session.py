@@ -2,7 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from termweave.session import cut
+import os
+from types import SimpleNamespace
+
+import pytest
+
+from termweave.session import cut, discard, shared_folder
 
 
 def size(frame):
@@ -23,3 +28,22 @@ def test_cut_keeps_rows_and_measures_their_size(spark):
 def test_cut_of_no_rows_keeps_the_columns(spark):
     rows = cut(spark.createDataFrame([], "a string, b struct<c: long>"))
     assert rows.count() == 0 and rows.dtypes == [("a", "string"), ("b", "struct<c:bigint>")]
+
+
+def test_discarded_tables_are_gone(spark):
+    rows = cut(spark.range(3))
+    place = rows.cut_path.removeprefix("file:")
+    assert os.path.isdir(place)
+    discard(rows)
+    assert not os.path.isdir(place)
+
+
+@pytest.mark.parametrize("master,given,wanted", [("yarn", None, None), ("local-cluster[3,2,1024]", None, None), ("spark://x:7077", "hdfs://x/y", "hdfs://x/y"), ("yarn", "hdfs://x/y", "hdfs://x/y")])
+def test_no_machine_local_folder_on_a_cluster(master, given, wanted):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: {})
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: given or default))
+    if wanted:
+        assert shared_folder(session) == wanted
+    else:
+        with pytest.raises(RuntimeError):
+            shared_folder(session)
