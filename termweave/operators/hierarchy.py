@@ -5,7 +5,8 @@ that a fragment is a piece of a parent chain or tree; fragments are dealt to par
 solves its own edges and keeps, per node, the exits into other partitions. The entry points of those
 exits form a smaller graph, which is solved the same way; its result and the partitions' own pieces give
 the whole closure. A fragment that grew too large (a parent with millions of children, say) is split by
-a hash of the child, which only turns the edges to that parent into exits.
+a hash of the child, which only turns the edges to that parent into exits. Where a graph is so dense
+that the entries' graph is hardly smaller, the next fragments are larger, until the exits are few.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.session import cut
+from termweave.operators.spread import partitions, spread_join
+from termweave.session import cut, discard
 
 #: Of so many nodes on a parent chain about one becomes the head of a fragment.
 HEAD_EVERY = 16
@@ -25,20 +27,18 @@ HEAD_EVERY = 16
 JUMPS = 5
 #: Nodes of a fragment, above which it is split.
 FRAGMENT_NODES = 2048
-#: A quotient graph of at most so many edges is solved in one piece; the size is counted before.
+#: A quotient graph of at most so many edges goes to all tasks, each of which solves a share of its nodes; the size is counted before.
 BASE_EDGES = 20_000
-#: Quotient levels before the rest is left to repeated joins.
-LEVELS = 8
+#: Factor by which fragments grow after a graph that got smaller by less than a quarter.
+GROWTH = 8
 
 PAIRS = "src string, dst string, dist long"
 
+Steps = dict[str, list[tuple[str, int]]]
 
-def _reach_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shortest distances of one or more steps along the edges of this partition."""
-    steps: dict[str, list[tuple[str, int]]] = {}
-    for batch in batches:
-        for src, dst, dist in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            steps.setdefault(src, []).append((dst, dist))
+
+def _reach(steps: Steps, starts: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    """Shortest distances of one or more steps from each start."""
     out: list[tuple[str, str, int]] = []
 
     def flush() -> pa.RecordBatch:
@@ -46,9 +46,9 @@ def _reach_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["src", "dst", "dist"])
 
-    for start, first in steps.items():
+    for start in starts:
         best: dict[str, int] = {}
-        heap = [(dist, node) for node, dist in first]
+        heap = [(dist, node) for node, dist in steps.get(start, ())]
         heapq.heapify(heap)
         while heap:
             dist, node = heapq.heappop(heap)
@@ -65,71 +65,99 @@ def _reach_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield flush()
 
 
+def _reach_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The closure of this partition's edges."""
+    steps: Steps = {}
+    for batch in batches:
+        for src, dst, dist in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            steps.setdefault(src, []).append((dst, dist))
+    yield from _reach(steps, iter(list(steps)))
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """The closure of at most BASE_EDGES edges: these are broadcast, and every task solves its own share of start nodes."""
+    spark, steps = edges.sparkSession, {}
+    for r in edges.collect():  # at most BASE_EDGES
+        steps.setdefault(r["src"], []).append((r["dst"], r["dist"]))
+    shared = spark.sparkContext.broadcast(steps)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _reach(shared.value, iter(batch.column(0).to_pylist()))
+
+    return edges.select("src").distinct().repartition(partitions(edges), "src").mapInArrow(solve, PAIRS)
+
+
 def _shortest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
 
 
 def _chain(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs src-dst over a node where ``left`` ends and ``right`` begins."""
+    """Pairs src-dst over a node where ``left`` ends and ``right`` begins; any share of ``left`` may end in one node."""
     a = left.select("src", F.col("dst").alias("via"), F.col("dist").alias("dist_a"))
     b = right.select(F.col("src").alias("via"), "dst", F.col("dist").alias("dist_b"))
-    return a.join(b, "via").select("src", "dst", (F.col("dist_a") + F.col("dist_b")).alias("dist"))
+    return spread_join(a, b, ["via"]).select("src", "dst", (F.col("dist_a") + F.col("dist_b")).alias("dist"))
 
 
-def _dealt(edges: DataFrame, level: int, parts: int) -> DataFrame:
+def _dealt(edges: DataFrame, level: int, growth: int, parts: int) -> DataFrame:
     """node, part: every node of ``edges`` with the partition of its fragment."""
-    head = lambda node: F.pmod(F.xxhash64(node, F.lit(level)), F.lit(HEAD_EVERY)) == 0
+    head = lambda node: F.pmod(F.xxhash64(node, F.lit(level)), F.lit(HEAD_EVERY * growth)) == 0
     nodes = edges.groupBy(F.col("src").alias("node")).agg(F.min(F.struct("dist", "dst"))["dst"].alias("up"))
     tops = edges.select(F.col("dst").alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
-    up = cut(nodes.select("node", F.when(head(F.col("node")), F.col("node")).otherwise(F.col("up")).alias("up")).unionByName(tops.select("node", F.col("node").alias("up"))))
-    for _ in range(JUMPS):
-        further = up.select(F.col("node").alias("up"), F.col("up").alias("further"))
-        up = up.join(further, "up", "left").select("node", F.coalesce("further", "up").alias("up"))
-    up = cut(up)
+    own = cut(nodes.select("node", F.when(head(F.col("node")), F.col("node")).otherwise(F.col("up")).alias("up")).unionByName(tops.select("node", F.col("node").alias("up"))))
+    # Heads and tops are their own: who has reached one stays out of the further steps.
+    still = own.where(F.col("up") != F.col("node"))
+    done, moving = [own.where(F.col("up") == F.col("node"))], cut(still.where(~head(F.col("up"))))
+    done.append(still.where(head(F.col("up"))))
+    ways = own
+    for jump in range(JUMPS + growth.bit_length() - 1):
+        further = ways.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        stepped = cut(spread_join(moving, further, ["up"]).select("node", F.col("further").alias("up"), (F.col("further") == F.col("up")).alias("is_top")))
+        discard(moving)
+        settled = F.col("is_top") | head(F.col("up"))
+        done.append(stepped.where(settled).select("node", "up"))
+        moving = cut(stepped.where(~settled).select("node", "up"))
+        # what still moves has doubled its steps; what it may land on has either moved as far or is settled
+        ways = moving
+        for some in done:
+            ways = ways.unionByName(some)
+        if moving.isEmpty():
+            break
+    up = cut(ways)
     sizes = up.groupBy("up").agg(F.count("*").alias("size"))
-    shares = F.ceil(F.col("size") / FRAGMENT_NODES)
-    return up.join(sizes, "up").select("node", F.pmod(F.xxhash64("up", F.pmod(F.xxhash64("node"), shares)), F.lit(parts)).cast("int").alias("part"))
-
-
-def _fixpoint(edges: DataFrame) -> DataFrame:
-    """The closure by joins that double the steps, for graphs that fragments don't make smaller."""
-    reach, size = cut(_shortest(edges)), -1
-    while size != (size := reach.agg(F.count("*"), F.sum("dist")).first()):
-        reach = cut(_shortest(reach.unionByName(_chain(reach, reach))))
-    return reach
+    shares = F.ceil(F.col("size") / (FRAGMENT_NODES * growth))
+    return spread_join(up, sizes, ["up"]).select("node", F.pmod(F.xxhash64("up", F.pmod(F.xxhash64("node"), shares)), F.lit(parts)).cast("int").alias("part"))
 
 
-def closure(edges: DataFrame, level: int = 0) -> DataFrame:
+def closure(edges: DataFrame, level: int = 0, growth: int = 1) -> DataFrame:
     """All pairs src, dst with dst reached from src in one or more steps, with the least distance.
 
     edges: src, dst STRING and dist LONG (a plain edge has 1); repeated edges and loops are fine, rows
     with a null end are left out. A node on a loop is paired with itself. Empty input gives no rows.
+    level and growth belong to the recursion.
     """
-    spark = edges.sparkSession
     edges = cut(_shortest(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.col("dist").cast("long"))))
     count = edges.count()
-    local = lambda df: df.mapInArrow(_reach_in_partition, PAIRS)
     if count == 0:
         return edges
     if level and count <= BASE_EDGES:
-        return cut(local(edges.coalesce(1)))
-    if level >= LEVELS:
-        return _fixpoint(edges)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 100_000)
-    dealt = _dealt(edges, level, parts)
+        return cut(_solved(edges))
+    parts = max(1, max(partitions(edges), count // 100_000) // growth)
+    dealt = cut(_dealt(edges, level, growth, parts))
     placed = edges.join(dealt.select(F.col("node").alias("src"), F.col("part").alias("src_part")), "src")
-    placed = cut(placed.join(dealt.select(F.col("node").alias("dst"), F.col("part").alias("dst_part")), "dst"))
+    placed = cut(spread_join(cut(placed), dealt.select(F.col("node").alias("dst"), F.col("part").alias("dst_part")), ["dst"]))
     within = placed.where("src_part = dst_part").repartition(parts, "src_part").select("src", "dst", "dist")
     exits = placed.where("src_part <> dst_part").select("src", "dst", "dist")
-    inner = cut(local(within))
+    inner = cut(within.mapInArrow(_reach_in_partition, PAIRS))
     leaving = cut(_shortest(exits.unionByName(_chain(inner, exits))))
     entries = exits.select(F.col("dst").alias("src")).distinct()
-    quotient = leaving.join(entries, "src", "left_semi")
-    if level and quotient.count() >= count:
-        return _fixpoint(edges)
-    between = closure(quotient, level + 1)
-    above = _shortest(inner.join(entries, "src", "left_semi").unionByName(between).unionByName(_chain(between, inner)))
-    return cut(_shortest(inner.unionByName(leaving).unionByName(_chain(leaving, above))))
+    quotient = cut(leaving.join(entries, "src", "left_semi"))
+    smaller = 4 * quotient.count() <= 3 * count
+    between = closure(quotient, level + 1, growth if smaller else growth * GROWTH)
+    above = cut(_shortest(inner.join(entries, "src", "left_semi").unionByName(between).unionByName(_chain(between, inner))))
+    out = cut(_shortest(inner.unionByName(leaving).unionByName(_chain(leaving, above))))
+    discard(edges, dealt, placed, inner, leaving, quotient, between, above)
+    return out
 
 
 def parent_edges(terms: DataFrame, node: Column, parents: Column) -> tuple[DataFrame, DataFrame]:
@@ -155,10 +183,11 @@ def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = closure(edges)
     has_parent = edges.select(F.col("src").alias("node")).distinct()
     roots = cut(nodes.join(has_parent, "node", "left_anti"))
-    to_root = pairs.join(roots.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "dist")
+    to_root = spread_join(pairs, roots.select(F.col("node").alias("dst")), ["dst"], "left_semi").select("src", "dst", "dist")
     to_root = to_root.unionByName(roots.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("dist")))
     depths = cut(to_root.groupBy(F.col("src").alias("node")).agg(F.min("dist").alias("depth"), F.array_sort(F.collect_set("dst")).alias("roots")))
-    near = edges.join(depths.select(F.col("node").alias("src"), F.col("depth").alias("below")), "src").join(depths.select(F.col("node").alias("dst"), F.col("depth").alias("over")), "dst")
+    below = edges.join(depths.select(F.col("node").alias("src"), F.col("depth").alias("below")), "src")
+    near = spread_join(cut(below), depths.select(F.col("node").alias("dst"), F.col("depth").alias("over")), ["dst"])
     first = near.where("over = below - 1").groupBy("src").agg(F.min("dst").alias("dst")).withColumn("dist", F.lit(1).cast("long"))
     steps = closure(first).groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("dist", "dst")), asc=False).alias("up"))
     counts_up = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_ancestors"), F.max(F.col("src") == F.col("dst")).alias("on_loop"))
