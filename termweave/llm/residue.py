@@ -1,25 +1,31 @@
 """Template residue, filler text, error pages and script notices in place of content.
 
-A text is taken apart into messages: the body of each cue, or a block between blank lines. Messages are
-normalised, with numbers, addresses and dates masked, and grouped by an exact 128-bit hash over all
-documents and sources, so that a message that stands in a third of all cues is judged once. The rules
-judge a message by its placeholders, which a sentence of dialogue may hold, or by the whole of its wording:
-it is a known message, or it names a technical thing and a failure or request and all its other words are
-those of notices. A sentence that merely speaks of an error has other words too and is no match. Up to
-SPREAD neighbouring cues that have only words of notices are judged together as well. The hashes of the
-messages found lead back to the documents.
+A text is taken apart once into messages: the body of each cue, or a block between blank lines. A message that no rule
+could call residue is dropped in that scan, as most dialogue is. The others are normalised, with numbers, addresses, ids and
+dates masked, and grouped by an exact 128-bit hash over all documents and sources, so that a message that stands in a third of
+all cues is judged once, with the number of documents and sources it recurs in. The rules need no list of messages:
+
+* placeholders by their form, which a line of dialogue may hold, and bracketed names of fields;
+* values that programs print in place of text, and phrases made of words of empty slots alone;
+* pages of markup or status objects, status numbers with their names, errors that name code;
+* filler by its vocabulary;
+* notices: a technical thing and a failure or request, and no words but those of notices. Where a message recurs
+  in WIDE_DOCUMENTS documents of WIDE_SOURCES sources, one word in six may be any, as its wording is then no accident.
+
+A sentence of dialogue that merely speaks of an error has other words too and is no match. Up to SPREAD neighbouring
+cues that have only words of notices are judged together as well.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.operators.spread import spread_join
 from termweave.session import cut
 
 # How the cues of subtitle files are told apart, and marks that only lay text out.
@@ -35,35 +41,6 @@ name_des_uebersetzers|ihr text hier|titel einfügen
 nom_du_traducteur|votre texte ici|insérer le titre
 """
 
-# Messages that stand in place of content. # is a number.
-MESSAGES = """
-text goes here|your text here|sample subtitle text|sample text|add subtitle here|placeholder line|placeholder text|placeholder
-xxx missing translation xxx|missing translation|todo: translate this line|todo translate|insert dialogue|insert dialogue here|insert text here|lorem ipsum
-undefined|null|[object object]|nan
-
-please enable javascript to view the captions|javascript is disabled. the subtitle track cannot be shown without it
-this player needs scripts. turn on javascript in your browser and reload|your browser does not run scripts, so this content is hidden
-active javascript en su navegador para ver los subtítulos|este reproductor necesita scripts; actívelos y recargue
-bitte aktivieren sie javascript, um die untertitel zu sehen|dieser player braucht skripte. bitte einschalten und neu laden
-veuillez activer javascript pour afficher les sous-titres|ce lecteur exige les scripts, activez-les puis rechargez
-включите javascript, чтобы увидеть субтитры|для просмотра нужны скрипты. включите их и обновите страницу
-
-# internal server error|# not found|# bad gateway|# forbidden - access to this file is denied|# forbidden|# service unavailable|# gateway timeout|# too many requests
-the page you are looking for could not be found|this subtitle is no longer available|gone. the file was removed by its owner
-unable to load the track: connection reset|request timed out while loading captions|translation service error: quota exceeded
-we are down for maintenance, back soon|your session has expired, please log in again|invalid api key for the caption feed
-too many requests. slow down and reload the page|you have used up your downloads for today|fatal: could not read caption row #
-warning: undefined index 'line' in subs.php on line #|unhandled exception in render_cue()|error #: the caption server is busy, try again later
-error #: página no encontrada|acceso denegado a este archivo|error interno al cargar los subtítulos|la sesión ha caducado
-ha superado el límite de descargas de hoy|el servidor de subtítulos no responde, inténtelo más tarde
-fehler #: seite nicht gefunden|zugriff auf diese datei verweigert|interner fehler beim laden der spur|die sitzung ist abgelaufen
-tageslimit für downloads erreicht|der untertitelserver antwortet nicht, bitte später erneut versuchen
-erreur # : page introuvable|accès refusé à ce fichier|erreur interne pendant le chargement|votre session a expiré
-limite de téléchargements atteinte pour aujourd'hui|le serveur de sous-titres est indisponible, réessayez plus tard
-ошибка #: страница не найдена|доступ к файлу запрещён|внутренняя ошибка при загрузке|время сеанса истекло
-превышен дневной лимит загрузок|сервер субтитров не отвечает, попробуйте позже
-"""
-
 # Words of the usual filler text.
 FILLER_WORDS = """
 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna
@@ -82,49 +59,67 @@ volutpat pulvinar bibendum dignissim fringilla interdum lobortis rutrum venenati
 
 # Per language the words of notices: technical things; failures and requests; what stands around them.
 NOTICE_WORDS = """
-page website webpage url server servers session browser javascript script scripts scripting cookies database subtitle subtitles caption captions track player connection connections network service api login access plugin timeout timed gateway proxy host http account download downloads upload stream occurred
-error errors failed failure unable cannot can't couldn't not unavailable expired denied forbidden disabled enable enabled activate allow turn switch required requires needs need reload refresh retry again invalid timeout timed down maintenance exceeded refused lost reset offline unauthorized unexpected unsupported support wrong busy missing removed deleted blocked
-the a an this that these your you our we is are was were be been being has have had in on of to for from with by at and or but it its if then now no longer any please sorry oops try later soon back shortly while when before after only do does must will may can could should there here later minutes seconds hours moment temporarily currently permanently found exist exists available loading load loaded view see show shown display displayed continue use using watch content file files video text internal unknown fatal warning bad code status reached limit many too most requested looking out up off log sign in administrator contact support settings try's trying reason due scheduled under moved may under something went has your running run work works properly correctly first open read process processed complete completed respond responding response closed owner today document resource information refer reference id whilst again request requests permission
-página sitio servidor sesión navegador javascript script scripts cookies subtítulos subtítulo pista reproductor solicitud conexión red servicio acceso permiso cuenta base
-error errores no imposible caducado caducada expirado expirada denegado denegada prohibido desactivado deshabilitado active activar activa activado habilite habilitar permita requiere necesita necesario recargue recargar actualice inténtelo intente inválido inválida disponible mantenimiento superado perdido perdida fallo falló fallido inesperado ocupado
-el la los las un una de del al en a su sus este esta para por con y o se ha han sido está están es son que más tarde nuevo por favor lo sentimos ver mostrar cargar cargando continuar usar contenido archivo vídeo video texto interno interna desconocido pudo puede pueden encontrado encontrada existe ocurrido producido solicitada solicitado buscada busca momento momentos minutos pronto volveremos demasiadas datos tiempo espera agotado temporalmente actualmente iniciar sesión código responde cerrado ya
-seite webseite server sitzung browser javascript skript skripte skripten cookies untertitel spur player anfrage anfragen verbindung netzwerk dienst zugriff berechtigung konto datenbank
-fehler nicht abgelaufen verweigert verboten deaktiviert aktivieren aktiviert einschalten erlauben erforderlich benötigt braucht laden erneut ungültig verfügbar wartung wartungsarbeiten überschritten verloren fehlgeschlagen gescheitert unerwarteter zeitüberschreitung ausgelastet
-die der das den dem des ein eine einen einem einer diese dieser dieses ihr ihre ihrem ihren sie wir sind ist war wurde werden worden wird hat haben im in auf zu zum zur für von mit bei und oder es um bitte leider später bald wieder noch einmal versuchen sie neu anzeigen angezeigt sehen fortfahren fortzufahren benutzen inhalt datei video text interner interne unbekannter gefunden existiert aufgetreten angeforderte angeforderten gesuchte konnte können kann geladen moment minuten zurück zu viele vorübergehend derzeit melden an code antwortet geschlossen keine kein mehr wegen aufgrund
-page site serveur session navigateur javascript script scripts cookies sous titres titre piste lecteur requête requêtes connexion réseau service accès autorisation compte base
-erreur erreurs pas impossible introuvable expiré expirée refusé refusée interdit interdite désactivé activer activez activé autoriser autorisez requis nécessaire nécessite exige rechargez recharger actualisez réessayez réessayer invalide indisponible disponible maintenance dépassé dépassée perdue échec échoué inattendue occupé
-le la les l un une de du des d au aux en à votre vos notre nos vous nous ce cet cette pour par avec et ou se s est sont a ont été n ne que plus tard nouveau bientôt veuillez désolé afficher voir charger chargement continuer utiliser contenu fichier vidéo texte interne inconnue peut pu trouvée trouvé trouver existe survenue survenu produite demandée demandé recherchée moment minutes retour trop données délai temporairement actuellement code répond fermé pendant lors puis dans ici
-страница страницу страницы сайт сервер сервера сервером сеанс сеанса сессия браузер браузере javascript скрипт скрипты скриптов cookie субтитры субтитров дорожка дорожки плеер запрос запроса запросов соединение подключение сеть сервис служба доступ доступа
-ошибка ошибки не невозможно истекло истек истекла запрещён запрещен запрещена отказано отключён отключен отключены включите включить разрешите требуется требуются нужны нужен перезагрузите обновите повторите попробуйте недоступна недоступен недоступно недействителен обслуживание обслуживания превышен превышено потеряно сбой занят
-и в на к с по для из от у о или а но ваш ваша ваше вашем ваши мы вы этот эта это этого этой был была было были будет пожалуйста извините позже скоро снова ещё еще раз найдена найден найдено найти существует произошла произошел загрузке загрузки загрузить загрузка показа просмотра увидеть посмотреть продолжить чтобы содержимое файл файла файлу видео текст внутренняя неизвестная удалось может запрошенная запрашиваемая время ожидания минут слишком много данных лимит временно сейчас код отвечает их закрыт технические работы
-página site servidor sessão navegador javascript script scripts cookies legendas legenda faixa leitor pedido solicitação conexão ligação rede serviço acesso permissão conta
-erro erros não impossível expirou expirada expirado negado proibido desativado ative ativar ativado habilite permitir necessário requer precisa recarregue recarregar atualize tente inválido indisponível disponível manutenção excedido perdida falha falhou inesperado
-o a os as um uma de do da dos das no na nos nas em ao à seu sua este esta para por com e ou se foi está estão é são que mais tarde novo novamente favor desculpe ver mostrar carregar continuar usar conteúdo arquivo ficheiro vídeo texto interno desconhecido pode encontrada encontrado existe ocorreu solicitada momento minutos breve código responde tempo limite
-pagina sito server sessione browser javascript script cookie sottotitoli sottotitolo traccia lettore richiesta richieste connessione rete servizio accesso permesso account
-errore errori non impossibile scaduta scaduto negato vietato disattivato disabilitato attivare attiva attivate abilita abilitare consentire necessario richiede ricaricare ricarica aggiornare riprova riprovare invalido disponibile manutenzione superato persa fallito fallita imprevisto
-il lo la i gli le un uno una di del della dei in nel nella a al alla tuo tua suo sua questo questa per con da e o si è sono stato stata che più tardi nuovo spiacenti vedere visualizzare mostrare caricare continuare usare contenuto file video testo interno sconosciuto può trovata trovato esiste verificato richiesta momento minuti presto codice risponde tempo scaduto
-pagina website server sessie browser javascript script scripts cookies ondertitels ondertiteling speler verzoek verbinding netwerk dienst toegang account
-fout fouten niet onmogelijk verlopen geweigerd verboden uitgeschakeld schakel activeer inschakelen vereist nodig herlaad vernieuw opnieuw ongeldig beschikbaar onderhoud overschreden verbroken mislukt onverwachte
-de het een deze dit uw je is zijn was werd worden kan kon heeft in op van te om voor met bij en of er alstublieft sorry later probeer nog eens bekijken tonen laden doorgaan gebruiken inhoud bestand video tekst interne onbekende gevonden bestaat opgetreden gevraagde moment minuten terug code reageert
-strona strony witryna serwer serwera sesja przeglądarka przeglądarce javascript skrypt skrypty skryptów cookies napisy napisów odtwarzacz żądanie połączenie sieć usługa dostęp konto
-błąd błędy nie nieosiągalny wygasła wygasł zabroniony wyłączony włącz włączyć wymaga wymagane potrzebuje odśwież spróbuj nieprawidłowy niedostępna niedostępny konserwacja przekroczono utracono
-w z na do i o się jest są został została zostało twoja twój ta ten to tej przepraszamy proszę później wkrótce ponownie jeszcze raz obsługę aby zobaczyć wyświetlić kontynuować plik wideo tekst wewnętrzny nieznany znaleziono istnieje wystąpił żądana chwilę minut czas kod odpowiada
+page website webpage url server servers session browser javascript script scripts scripting cookies database subtitle subtitles caption captions track player connection connections network service api login access plugin timeout timed gateway proxy host http account download downloads upload stream occurred file files exception limit quota cookie cdn token security certificate firewall router endpoint device account's username password credentials robot captcha resource resources pages maintenance request requests status encountered video videos content
+error errors failed failure unable cannot can't couldn't not unavailable expired denied forbidden disabled enable enabled activate allow turn switch required requires needs need reload refresh retry again invalid timeout timed down maintenance exceeded refused lost reset offline unauthorized unexpected unsupported support wrong busy missing removed deleted blocked unhandled uncaught undefined unreachable unresponsive gone used reached exhausted corrupt corrupted broken aborted crashed rejected forbidden maintenance install upgrade update verify bad nothing no fatal fault segmentation
+the a an this that these your you our we is are was were be been being has have had in on of to for from with by at and or but it its if then now no longer any please sorry oops try later soon back shortly while when before after only do does must will may can could should there here later minutes seconds hours moment temporarily currently permanently found exist exists available loading load loaded view see show shown display displayed continue use using watch content file files video text internal unknown fatal warning bad code status reached limit many too most requested looking out up off log sign in administrator contact support settings try's trying reason due scheduled under moved may under something went has your running run work works properly correctly first open read process processed complete completed respond responding response closed owner today document resource information refer reference id whilst again request requests permission used by today me us code ray id row line index null return back home go start click press tap here ok retry s ms sec wait waiting requests per day daily hour yet still via using every all other another address site link links visit visited page's feed key media option options preferences following correct properly order full features feature application app apps user users human prove that you're aren't isn't doesn't don't didn't hasn't won't that's there's it's we're we'll again once more over within next previous server's time times version old older outdated newer latest supported translation slow so hidden connect connecting connected establish establishing check checking accessing processing process rate country region happened happen got get
+página sitio servidor sesión navegador javascript script scripts cookies subtítulos subtítulo pista reproductor solicitud conexión red servicio acceso permiso cuenta base descargas descarga límite servidores cuota limite archivo fichero excepción contraseña usuario sistema mantenimiento ocurrido producido ocurrió produjo vídeo contenido
+error errores no imposible caducado caducada expirado expirada denegado denegada prohibido desactivado deshabilitado active activar activa activado habilite habilitar permita requiere necesita necesario recargue recargar actualice inténtelo intente inválido inválida disponible mantenimiento superado perdido perdida fallo falló fallido inesperado ocupado superado excedido agotado alcanzado ningún ninguna responde
+el la los las un una de del al en a su sus este esta para por con y o se ha han sido está están es son que más tarde nuevo por favor lo sentimos ver mostrar cargar cargando continuar usar contenido archivo vídeo video texto interno interna desconocido pudo puede pueden encontrado encontrada existe ocurrido producido solicitada solicitado buscada busca momento momentos minutos pronto volveremos demasiadas datos tiempo espera agotado temporalmente actualmente iniciar sesión código responde cerrado ya hoy ha han haber seguridad usted vuelva volver vuelve intentar intentarlo otra vez minutos horas servicio nos estamos trabajando red del diario diaria día para página ir inicio código ray actívelos debe deben conectar conectarse país
+seite webseite server sitzung browser javascript skript skripte skripten cookies untertitel spur player anfrage anfragen verbindung netzwerk dienst zugriff berechtigung konto datenbank limit tageslimit downloads ausnahme dateien passwort benutzer adresse wartung wartungsarbeiten aufgetreten video inhalt
+fehler nicht abgelaufen verweigert verboten deaktiviert aktivieren aktiviert einschalten erlauben erforderlich benötigt braucht laden erneut ungültig verfügbar wartung wartungsarbeiten überschritten verloren fehlgeschlagen gescheitert unerwarteter zeitüberschreitung ausgelastet erreicht ausgeschöpft gesperrt nichts antwortet unbekannt wartung unterbrochen
+die der das den dem des ein eine einen einem einer diese dieser dieses ihr ihre ihrem ihren sie wir sind ist war wurde werden worden wird hat haben im in auf zu zum zur für von mit bei und oder es um bitte leider später bald wieder noch einmal versuchen sie neu anzeigen angezeigt sehen fortfahren fortzufahren benutzen inhalt datei video text interner interne unbekannter gefunden existiert aufgetreten angeforderte angeforderten gesuchte konnte können kann geladen moment minuten zurück zu viele vorübergehend derzeit melden an code antwortet geschlossen keine kein mehr wegen aufgrund heute täglich tag dann bitte neue neuer seiten diesen dieser uns unsere unserer stunden gleich kommen kehren versuche versuch aus ray gegen während beim müssen muss damit um können sie dürfen man hergestellt herstellen verbinden land
+page site serveur session navigateur javascript script scripts cookies sous titres titre piste lecteur requête requêtes connexion réseau service accès autorisation compte base limite téléchargements téléchargement chargement serveurs fichier exception quota lien adresse maintenance survenue survenu produite produit vidéo contenu
+erreur erreurs pas impossible introuvable expiré expirée refusé refusée interdit interdite désactivé activer activez activé autoriser autorisez requis nécessaire nécessite exige rechargez recharger actualisez réessayez réessayer invalide indisponible disponible maintenance dépassé dépassée perdue échec échoué inattendue occupé atteinte atteint dépassée répond aucune aucun bloqué bloquée
+le la les l un une de du des d au aux en à votre vos notre nos vous nous ce cet cette pour par avec et ou se s est sont a ont été n ne que plus tard nouveau bientôt veuillez désolé afficher voir charger chargement continuer utiliser contenu fichier vidéo texte interne inconnue peut pu trouvée trouvé trouver existe survenue survenu produite demandée demandé recherchée moment minutes retour trop données délai temporairement actuellement code répond fermé pendant lors puis dans ici aujourd hui jour heure heures ray votre d'erreur l'erreur s'est qu qui cela veuillez essayer essayez fois être avoir été doit devez nous sommes en cours travaux ici utilisateur mot passe connecter doit pays
+страница страницу страницы сайт сервер сервера сервером сеанс сеанса сессия браузер браузере javascript скрипт скрипты скриптов cookie субтитры субтитров дорожка дорожки плеер запрос запроса запросов соединение подключение сеть сервис служба доступ доступа лимит загрузок загрузке загрузки загрузка файл файла файлу исключение пароль ссылка адрес обслуживание обслуживания произошла произошел произошло видео
+ошибка ошибки не невозможно истекло истек истекла запрещён запрещен запрещена отказано отключён отключен отключены включите включить разрешите требуется требуются нужны нужен перезагрузите обновите повторите попробуйте недоступна недоступен недоступно недействителен обслуживание обслуживания превышен превышено потеряно сбой занят превышен превышена исчерпан исчерпано заблокирован заблокирована заблокировано
+и в на к с по для из от у о или а но ваш ваша ваше вашем ваши мы вы этот эта это этого этой был была было были будет пожалуйста извините позже скоро снова ещё еще раз найдена найден найдено найти существует произошла произошел загрузке загрузки загрузить загрузка показа просмотра увидеть посмотреть продолжить чтобы содержимое файл файла файлу видео текст внутренняя неизвестная удалось может запрошенная запрашиваемая время ожидания минут слишком много данных лимит временно сейчас код отвечает их закрыт технические работы дневной дневная суточный сегодня завтра минут минуту вернитесь попробовать указан неверный неверно мы уже скоро проводятся вас вам нет такой такая этой сайта при
+página site servidor sessão navegador javascript script scripts cookies legendas legenda faixa leitor pedido solicitação conexão ligação rede serviço acesso permissão conta limite arquivo ficheiro ligações senha utilizador usuário manutenção ocorreu vídeo conteúdo
+erro erros não impossível expirou expirada expirado negado proibido desativado ative ativar ativado habilite permitir necessário requer precisa recarregue recarregar atualize tente inválido indisponível disponível manutenção excedido perdida falha falhou inesperado atingido atingida esgotado esgotada bloqueado
+o a os as um uma de do da dos das no na nos nas em ao à seu sua este esta para por com e ou se foi está estão é são que mais tarde novo novamente favor desculpe ver mostrar carregar continuar usar conteúdo arquivo ficheiro vídeo texto interno desconhecido pode encontrada encontrado existe ocorreu solicitada momento minutos breve código responde tempo limite hoje dia diário ray servidores vez tente estamos volte voltar mais nossa nosso você seu sua houve um foi deve país conectar
+pagina sito server sessione browser javascript script cookie sottotitoli sottotitolo traccia lettore richiesta richieste connessione rete servizio accesso permesso account limite file password utente manutenzione verificato verificata video contenuto
+errore errori non impossibile scaduta scaduto negato vietato disattivato disabilitato attivare attiva attivate abilita abilitare consentire necessario richiede ricaricare ricarica aggiornare riprova riprovare invalido disponibile manutenzione superato persa fallito fallita imprevisto raggiunto raggiunta esaurito bloccato superata
+il lo la i gli le un uno una di del della dei in nel nella a al alla tuo tua suo sua questo questa per con da e o si è sono stato stata che più tardi nuovo spiacenti vedere visualizzare mostrare caricare continuare usare contenuto file video testo interno sconosciuto può trovata trovato esiste verificato richiesta momento minuti presto codice risponde tempo scaduto oggi giorno giornaliero ray stiamo torna torneremo lavorando prova provare nostro nostra tuoi si prega di nuovamente volta deve connettersi paese
+pagina website server sessie browser javascript script scripts cookies ondertitels ondertiteling speler verzoek verbinding netwerk dienst toegang account limiet bestand wachtwoord gebruiker onderhoud opgetreden video inhoud
+fout fouten niet onmogelijk verlopen geweigerd verboden uitgeschakeld schakel activeer inschakelen vereist nodig herlaad vernieuw opnieuw ongeldig beschikbaar onderhoud overschreden verbroken mislukt onverwachte bereikt geblokkeerd
+de het een deze dit uw je is zijn was werd worden kan kon heeft in op van te om voor met bij en of er alstublieft sorry later probeer nog eens bekijken tonen laden doorgaan gebruiken inhoud bestand video tekst interne onbekende gevonden bestaat opgetreden gevraagde moment minuten terug code reageert vandaag dag ray onze wij we zijn bezig kom uw aan de
+strona strony witryna serwer serwera sesja przeglądarka przeglądarce javascript skrypt skrypty skryptów cookies napisy napisów odtwarzacz żądanie połączenie sieć usługa dostęp konto limit plik hasło użytkownik konserwacja wystąpił
+błąd błędy nie nieosiągalny wygasła wygasł zabroniony wyłączony włącz włączyć wymaga wymagane potrzebuje odśwież spróbuj nieprawidłowy niedostępna niedostępny konserwacja przekroczono utracono osiągnięto zablokowany przekroczony
+w z na do i o się jest są został została zostało twoja twój ta ten to tej przepraszamy proszę później wkrótce ponownie jeszcze raz obsługę aby zobaczyć wyświetlić kontynuować plik wideo tekst wewnętrzny nieznany znaleziono istnieje wystąpił żądana chwilę minut czas kod odpowiada dzisiaj dziś dzień ray nasza nasz trwa trwają prace wróć wrócimy
 """
 # Of the technical things and the failures, words of everyday speech; two of them alone are no notice.
 EVERYDAY = """
-page track player connection connections network service access account host stream download downloads upload proxy gateway occurred plugin caption captions subtitle subtitles
+request requests content video videos encountered inhalt contenu contenido contenuto inhoud conteúdo vídeo vidéo видео no nothing used reached gone bad broken device security token update verify quota's install robot pages link resource resources aborted crashed rejected
+descarga usuario sistema alcanzado ningún ninguna agotado password passwords contraseña passwort senha hasło wachtwoord пароль
+erreicht nichts adresse benutzer ausnahme
+atteint atteinte aucun aucune chargement adresse lien bloqué
+лимит загрузок загрузке загрузки загрузка адрес ссылка
+utente raggiunto bloccato usuário hoje
+bereikt gebruiker użytkownik
+page track player connection connections network service access account host stream download upload proxy gateway occurred plugin caption captions subtitle subtitles
 not cannot can't couldn't need needs lost again turn switch down wrong busy missing removed deleted blocked refused reset support allow disabled require required requires unexpected unsupported failure failed retry
 página sitio pista conexión red servicio acceso permiso cuenta base solicitud no imposible necesita necesario perdido perdida fallo falló fallido permita inesperado ocupado activa
 seite spur anfrage anfragen verbindung dienst zugriff berechtigung konto nicht braucht benötigt verloren gescheitert verboten erlauben laden
-titre titres sous piste lecteur connexion réseau service accès compte base requête requêtes pas impossible perdue échec échoué interdit nécessaire exige inattendue occupé
+titre titres sous piste lecteur connexion réseau service accès compte base requête requêtes pas impossible perdue échec échoué nécessaire exige inattendue occupé
 страница страницу страницы сеть служба доступ доступа дорожка дорожки соединение запрос запроса запросов не нужны нужен потеряно занят сбой запрещено отказано
 pedido solicitação conexão ligação rede serviço acesso permissão conta leitor faixa não impossível preciso precisa perdida falha proibido tente
 pagina traccia lettore richiesta richieste connessione rete servizio accesso permesso account sito non impossibile necessario persa vietato
 verzoek verbinding netwerk dienst toegang account speler niet onmogelijk nodig fout fouten vereist verboden
 strona strony witryna połączenie sieć usługa dostęp konto żądanie nie potrzebuje włącz
 """
-# What tells that a page is not there, said of a page alone.
-FOUND = "found exist exists encontrada encontrado existe gefunden existiert trouvée trouvé trouver найдена найден найдено существует trovata trovato esiste gevonden bestaat znaleziono istnieje loading load loaded cargar laden geladen charger загрузить caricare carregar"
+# What tells, of a thing, that it is not there.
+FOUND = "available disponible verfügbar disponibile dostępna beschikbaar disponível responding respond responde antwortet répond отвечает risponde reageert odpowiada found exist exists encontrada encontrado existe gefunden existiert trouvée trouvé trouver найдена найден найдено существует trovata trovato esiste gevonden bestaat znaleziono istnieje loading load loaded cargar laden geladen charger загрузить caricare carregar"
+
+
+# Words of empty slots: what is to be filled in; what says so; what says so if "here" or the like stands by; what stands around them.
+SLOT_WORDS = """
+text title subtitle subtitles caption captions dialogue dialog translation line name sentence content headline texto título subtítulo diálogo traducción untertitel übersetzung titel name dialog texte titre sous titre traduction dialogue текст титул название перевод реплика
+insert sample placeholder todo fixme tbd dummy untranslated xxx missing replace insertar insertad insérer einfügen platzhalter muestra ejemplo marcador вставьте вставить заглушка образец
+add enter type put your goes go translate write edit tu su escribe añadir aquí ihr hier eingeben übersetzen votre ici saisir traduire ваш здесь введите переведите
+here this the a an of with for please to be by el la de un der die das den le un une этот сюда
+"""
+# Words that say where a slot is.
+SLOT_PLACES = "here this aquí hier ici здесь сюда"
 
 # Names of status codes, which need their number before or after.
 STATUS = re.compile(
@@ -132,25 +127,42 @@ STATUS = re.compile(
     r"|request time-?out|conflict|gone|length required|precondition failed|(?:payload|content|request entity|uri) too (?:large|long)|unsupported media type|range not satisfiable|expectation failed|unprocessable (?:entity|content)|locked|too early"
     r"|upgrade required|too many requests|internal server error|not implemented|bad gateway|(?:service )?(?:temporarily )?unavailable|gateway time-?out|http version not supported|insufficient storage|loop detected|network authentication required)(?:[\W_]|#|error)*$", re.I
 )
+# What programs print in place of a text.
+LITERAL = re.compile(r"\W*(?:undefined|null|nan|\[object \w+\])\W*", re.I)
+READ_AS_LETTERS = str.maketrans({"0": "o", "1": "l", "|": "l", "5": "s"})
+# Names of code in a message, and words of its failures.
+CODE = re.compile(r"\b\w+\.(?:php|js|py|jsp|aspx?|rb|cgi|dll|java|c|cpp|html?)\b|\b\w+\(\)|\b\w+(?:Exception|Error)\b|\bat line #|\bon line #|\bstack ?trace\b|\btraceback\b|\b0x[0-9a-f#]+", re.I)
+CODE_HINT = re.compile(r"\.\w|\(\)|xception|rror|line #|stack|trace|0x|STACK|TRACE|XCEPTION|RROR|LINE #|Stack|Trace")
+CODE_FAILURE = re.compile(r"\b(?:unhandled|uncaught|traceback|fatal|undefined|warning|segmentation|syntax|parse|runtime|deprecated|stack|failed)\b|exception|error", re.I)
+
 #: Neighbouring cues that are judged together at most.
-SPREAD = 4
+SPREAD = 6
+#: Documents and sources from which on a message recurs widely.
+WIDE_DOCUMENTS, WIDE_SOURCES = 5, 3
 #: Kind of a message that is no residue by itself but may be a part of a notice.
 PART = "part"
 
 # Forms of placeholders that need no known name. Masked numbers are #.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|<%.{1,60}?%>|\{%.{1,60}?%\}|@@[\w. ]+@@|##\s?[^\W\d][\w. ]*##|\b__[A-Z][A-Z0-9_]*__"
-    r"|%[A-Z][A-Z_]{2,}%|%#\$[sd]|(?<![\\\w])\{#\}|<[A-Z]+(?:_[A-Z]+)*>|\[[Il1]NSERT [^\[\]]+\]|\[your [^\[\]]+\]"
+    r"|%[A-Z][A-Z_]{2,}%|%#\$[sd]|(?<![\\\w])\{#\}|<[A-Z]+(?:_[A-Z]+)*>|\[[Il1]NSERT [^\[\]]+\]|\[[Yy](?:our|OUR) [^\[\]]+\]|\[\[\s?[\w. |-]+\]\]|\[(?:[A-Z][a-z]+ )+(?:Name|Title|Date|Email|Address|Number|Text)\]"
 )
 MARKUP_NAMES = frozenset("HTML HEAD BODY TITLE META LINK DIV SPAN FONT STYLE SCRIPT TABLE CENTER STRONG".split())
 BRACKETED = re.compile(r"\{([^{}\\]{3,40})\}|<([^<>/%]{3,40})>|\[([^\[\]]{3,40})\]|\(\(\(([^()]{3,40})\)\)\)|\*([^*]{3,40})\*")
 PAGE = re.compile(r"<!doctype html|<html\b|<noscript\b|^\W*\{\s*\"(?:status|error|code)\"\s*:", re.I)
-MARKS = re.compile(r"[{$<%@#_\[(*]")
-TAIL = re.compile(r"(?:\s*\((?:code )?#\)|\s*\[retry in # s\]|[.\s]*\bray [0-9a-f#]+)[\s.]*$", re.I)
-# What services put before a message, as letters alone.
-LEADS = ("sorry", "oops", "whoops", "captiond", "http status")
+MARKS = re.compile(r"[{$<%@_\[*]|\(\(\(|##")
+# What services put behind a message: a number in brackets, an id.
+TAIL = re.compile(r"(?:\s*\([^()]*#[^()]*\)|\s*\[[^\[\]]*#[^\[\]]*\]|[\s.]*\b(?:ray|ref|reference|request|trace|incident)(?: id)?[ :#]+)[\s.]*$", re.I)
+# What services put before a message: an exclamation, the name of a program or header.
+LEAD = re.compile(r"^\W*(?:(?:sorry|oops|whoops|uh-oh|lo sentimos|ups|hoppla|désolé|извините|упс)\b[\s.!,:…-]*|[a-z][\w-]*(?: [a-z][\w-]*)?: )+", re.I)
+ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
+NUMBER = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|(?<![^\W_])\d+(?:[-./:]\d+)*(?![^\W_])", re.I)
+BLANKS = re.compile(r"[ \t\n\r\f\v\u00a0]+")
+# What a wrong encoding makes of a short word.
+LOST_WORD = re.compile("[\u00c2\u00c3\u00e2][\u0080-\u00bf]?")
+LOST_LETTER = re.compile(r"(?<=[^\W\d_])[?\ufffd](?=[^\W\d_])")
 # Letters that character recognition takes for one another, after lower-casing.
-ALIKE = str.maketrans({"i": "l", "1": "l", "|": "l", "0": "o", "5": "s", "f": "t", "e": "c", "ё": "е"})
+ALIKE = str.maketrans({"i": "l", "1": "l", "|": "l", "0": "o", "5": "s", "f": "t", "e": "c", "q": "g", "ё": "е"})
 # Marks of texts read in a wrong encoding, with (read as, written in) to undo it.
 MISREAD = (
     (re.compile("[ÐÑÃÂâ]"), (("cp1252", "utf-8"), ("latin-1", "utf-8"))),
@@ -160,23 +172,20 @@ MISREAD = (
 CYRILLIC = re.compile("[а-яА-Я]{3}")
 
 
-def messages(text: Column) -> Column:
-    """The normalised messages of a text, each once: layout marks gone, lines joined, numbers, addresses and dates masked."""
-    return F.array_distinct(cues(text))
-
 
 def cues(text: Column) -> Column:
-    """The messages of a text in order, repeats included."""
+    """The bodies of a text's cues, or its blocks, in order."""
     lines = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
-    parts = F.split(F.regexp_replace(lines, LAYOUT, ""), CUE_HEAD)
+    return F.split(F.regexp_replace(lines, LAYOUT, ""), CUE_HEAD)
 
-    def normal(part: Column) -> Column:
-        addressed = part.contains("www.") | part.contains("://") | part.contains("@")
-        part = F.when(addressed, F.regexp_replace(part, r"(?:https?://|www\.)\S+|\S+@\S+\.\w+", "<url>")).otherwise(part)
-        part = F.regexp_replace(part, r"[0-9](?<![\p{L}\d][0-9])[0-9]*(?:[-./:]\d+)*(?!\p{L}|\d)", "#")
-        return F.trim(F.regexp_replace(part, r"[\s\x{A0}]{2,}|[\n\t\x{A0}]", " "))
 
-    return F.array_remove(F.transform(parts, normal), "")
+def masked(message: str) -> str:
+    """A message on one line, with addresses as <url> and numbers, dates and ids as #, without marks that stand for a lost letter."""
+    if "www." in message or "://" in message or "@" in message:
+        message = ADDRESS.sub("<url>", message)
+    if "?" in message or "\ufffd" in message:
+        message = LOST_LETTER.sub("", message)
+    return BLANKS.sub(" ", NUMBER.sub("#", message)).strip()
 
 
 def repairs(text: str) -> list[str]:
@@ -206,18 +215,9 @@ def skeleton(text: str) -> str:
     return re.sub(r"[^a-z]", "", text.lower().translate(ALIKE)).replace("rn", "m").replace("ll", "h")
 
 
-def within_two(a: str, b: str) -> bool:
-    """Whether at most two letters must be put in, left out or changed to make a into b."""
-    if abs(len(a) - len(b)) > 2:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        if min(row) > 2:
-            return False
-    return row[-1] <= 2
+def grouped_as(message: str) -> str:
+    """The form in which messages are counted together: letters and marks alone, alike in case and misreadings, without what services put around."""
+    return re.sub(r"[^\w{}<>%$@*\[\]]|(?<![{%$])\d", "", TAIL.sub("", message).lower().translate(ALIKE)).replace("rn", "m").replace("ll", "h")
 
 
 def slips(word: str) -> list[str]:
@@ -229,53 +229,59 @@ def _listed(block: str) -> list[str]:
     return [x.strip() for x in block.replace("\n", "|").split("|") if x.strip()]
 
 
-class Rules:
-    """The fixed values in the form they are compared in.
+# Kinds of words, added up.
+THING, FAILURE, AROUND, COMMON, THERE, SLOT, FILL, MAY_FILL, SLOT_AROUND, PLACE, FILLER, LONG_FILLER = (1 << i for i in range(12))
+NOTICE = THING | FAILURE | AROUND
+IN_SLOT = SLOT | FILL | MAY_FILL | SLOT_AROUND
 
-    Texts mostly of letters a-z are compared by their skeletons, others as they are or as repaired. Up to
-    two slips are allowed in a text of 12 or more letters that begins or ends as it should.
-    """
 
-    ENDS = 5
-    #: Words of notices of so many letters may have one slip.
-    SLIP = 7
-    FILLER_STARTS = frozenset(w[:4] for w in (FILLER_WORDS + MORE_FILLER).split() if len(w) >= 4)
+class Rules:
+    """The fixed values in the form they are compared in: words by their letters, alike in case, misreadings and lost accents."""
+
+    #: Words of so many letters may have one slip.
+    SLIP = 6
 
     def __init__(self):
-        self.messages, self.names = (self._keys(_listed(block)) for block in (MESSAGES, FIELD_NAMES))
-        self.filler = {folded(w) for w in FILLER_WORDS.split()}
-        self.more_filler = self.filler | {folded(w) for w in MORE_FILLER.split()}
-        self.leads = [skeleton(x) for x in LEADS]
         self.words: dict[str, int] = {}
+        #: Words as they are written come first: read as their letters, some are alike ('file' and 'the').
+        self.written: dict[str, int] = {}
+
+        def add(words: str, kind: int) -> None:
+            for word in words.split():
+                self.written[word.lower()] = self.written.get(word.lower(), 0) | kind
+                if key := self._word(word):
+                    self.words[key] = self.words.get(key, 0) | kind
+
         for no, line in enumerate(_listed(NOTICE_WORDS)):
-            for word in line.split():
-                self.words[self._word(word)] = self.words.get(self._word(word), 0) | 1 << no % 3
-        for text in _listed(MESSAGES):
-            for word in re.findall(r"[^\W\d_]+", text):
-                self.words.setdefault(self._word(word), 4)
-        self.kinds: dict[str, int] = {}
-        for word in EVERYDAY.split():
-            self.words[self._word(word)] = self.words.get(self._word(word), 0) | 8
-        for word in FOUND.split():
-            self.words[self._word(word)] = self.words.get(self._word(word), 0) | 16
-        self.words.pop("", None)
+            add(line, (THING, FAILURE, AROUND)[no % 3])
+        for line, kind in zip(_listed(SLOT_WORDS), (SLOT, FILL, MAY_FILL, SLOT_AROUND)):
+            add(line, kind)
+        add(EVERYDAY, COMMON)
+        add(FOUND, THERE)
+        add(SLOT_PLACES, PLACE)
+        add(FILLER_WORDS, FILLER)
+        add(" ".join(w for w in (FILLER_WORDS + MORE_FILLER).split() if len(w) >= 4), LONG_FILLER)
         self.near: dict[str, int] = {}
         for word, kind in self.words.items():
             for form in slips(word) if len(word) >= self.SLIP else ():
                 self.near[form] = self.near.get(form, 0) | kind
+        self.compounds = tuple(self._word(w) for w in "server seite seiten datei dienst limit fehler verbindung sitzung browser".split())
+        self.names = {self._letters(x) for x in _listed(FIELD_NAMES)}
+        self.near_names = {form for name in self.names if len(name) >= 8 for form in slips(name)}
+        self.kinds: dict[str, int] = {}
+        self.tokens: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
-    def _latin(text: str) -> bool:
-        return text.isascii() or len(text.encode("ascii", "ignore")) * 3 > len(text) * 2
+    def _word(word: str) -> str:
+        return folded(word) if CYRILLIC.search(word) or not re.search("[a-zA-Z]", word) else skeleton(word)
 
-    def _word(self, word: str) -> str:
-        return folded(word) if CYRILLIC.search(word) or not self._latin(word) else skeleton(word)
+    def _letters(self, text: str) -> str:
+        return folded(text) if re.search("[а-яА-Я]", text) else skeleton(text)
 
-    def _notice_kind(self, word: str) -> int:
-        """1 for a technical thing, 2 for a failure or request, 4 for other words of notices, 8 for everyday ones, 16 for being there, added up; 0 for any other word."""
+    def word_kind(self, word: str) -> int:
         known = self.kinds.get(word)
         if known is None:
-            if len(self.kinds) >= 200_000:
+            if len(self.kinds) >= 300_000:
                 self.kinds.clear()
             known = self.kinds[word] = self._kind_of(word)
         return known
@@ -283,124 +289,195 @@ class Rules:
     def _kind_of(self, word: str) -> int:
         if word == "I":
             return 0
+        if kind := self.written.get(word.lower(), 0):
+            return kind
         key = self._word(word)
         kind = self.words.get(key, 0)
+        if not kind and "'" in word:
+            halves = [self.word_kind(x) for x in word.split("'") if x]
+            kind = AROUND if halves and all(h & NOTICE for h in halves) else 0
         if not kind and len(key) >= self.SLIP:
             for form in slips(key):
                 kind |= self.near.get(form, 0)
+            if not kind and len(key) >= 9 and key.endswith(self.compounds):
+                kind = THING
         return kind
 
-    def notice_words(self, message: str) -> list[int] | None:
-        """The kinds of a message's words, if all are words of notices."""
-        kinds = []
-        for word in message.replace("<url>", " ").split() if "<url>" in message else message.split():
-            for piece in (word,) if word.isalpha() else re.split(r"[-/—–:;,.!?\"«»“”()#]+", word):
-                if piece.isalpha() or any(map(str.isalpha, piece)):
-                    kind = self._notice_kind(piece.replace("’", "'").strip("'"))
-                    if not kind and "'" in piece:
-                        halves = [self._notice_kind(x) for x in piece.split("'") if x]
-                        kind = 4 if all(halves) else 0
-                    if not kind:
+    def word_kinds(self, message: str, spare: int = 6) -> list[int] | None:
+        """The kinds of a message's words, or null once more than one in ``spare`` is of no kind."""
+        kinds, unknown = [], 0
+        parts = message.replace("<url>", " ").split() if "<url>" in message else message.split()
+        most, tokens = len(parts) // spare, self.tokens
+        for word in parts:
+            some = tokens.get(word)
+            if some is None:
+                some = self._token(word)
+            for kind in some:
+                if not kind:
+                    unknown += 1
+                    if unknown > most:
                         return None
-                    kinds.append(kind)
+                kinds.append(kind)
         return kinds
 
-    def is_notice(self, message: str) -> bool:
-        """Whether a message names a technical thing and a failure or request and has no words but those of notices."""
-        if "#" in message and STATUS.match(message):
+    def _token(self, token: str) -> tuple[int, ...]:
+        """The kinds of the words in what stands between two blanks."""
+        pieces = (token,) if token.isalpha() else PIECES.split(token)
+        out = tuple(self.word_kind(x.replace("’", "'").strip("'")) for x in pieces if any(map(str.isalpha, x)) and not LOST_WORD.fullmatch(x))
+        if len(self.tokens) >= 300_000:
+            self.tokens.clear()
+        self.tokens[token] = out
+        return out
+
+    def _bare(self, message: str) -> list[int]:
+        """The kinds of the words of a message, digits within them read as letters."""
+        return [self.word_kind(w) for x in message.split() if (w := re.sub(r"^[^\w|]+|[^\w|]+$", "", x))]
+
+    def is_notice(self, message: str, wide: bool = False) -> bool:
+        """Whether a message names a technical thing and a failure or request in words of notices.
+
+        wide: whether it recurs widely, so that one word in six may be any.
+        """
+        if "#" in message and STATUS.match(TAIL.sub("", message)):
             return True
-        kinds = self.notice_words(message)
-        if not kinds or not 2 <= len(kinds) <= 60 or message.endswith("?"):
+        if message.endswith("?"):
+            return False
+        kinds = self.word_kinds(message)
+        if not kinds or len(kinds) < 2 or not wide and not all(k & NOTICE for k in kinds):
+            return False
+        core = [k & (THING | FAILURE) for k in kinds]
+        either, things, failures = core.count(THING | FAILURE), core.count(THING), core.count(FAILURE)
+        if things + either == 0 or failures + either == 0 or things + failures + either < 2:
+            return False
+        return any(k & THERE or c and not k & COMMON for k, c in zip(kinds, core))
+
+    def is_slot(self, message: str) -> bool:
+        """Whether a message has only words of empty slots and says that something is to be filled in."""
+        kinds = self._bare(message)
+        if not kinds or len(kinds) > 8 or message.endswith("?") or not all(k & IN_SLOT for k in kinds):
             return False
-        either, things, failures = (sum(k & 3 == x for k in kinds) for x in (3, 1, 2))
-        telling = any(k & 16 or k & 3 and not k & 8 for k in kinds)
-        if telling and things + either > 0 and failures + either > 0 and things + failures + either > 1:
+        slots, fills, may_fill, places = (sum(bool(k & x) for k in kinds) for x in (SLOT, FILL, MAY_FILL, PLACE))
+        if len(kinds) == 1:
+            return bool(kinds[0] & FILL) and skeleton(message) in ("placcholdcr", "todo", "ixmc", "untranslatcd", "tixmc")
+        return fills > 0 and slots + may_fill > 0 or may_fill > 0 and slots > 0 and places > 0
+
+    def is_filler(self, message: str) -> bool:
+        """Whether all words of a text are filler, three or more, or seven in ten are and five different ones of four or more letters among them."""
+        words = message.split()
+        if len(words) < 3:
+            return False
+        if not any(k & (FILLER | LONG_FILLER) for w in words[:3] for k in self.tokens.get(w) or self._token(w)):
+            return False
+        words = [w for x in words if (w := re.sub(r"^\W+|\W+$", "", x))]
+        kinds = [self.word_kind(w) for w in words]
+        if len(kinds) >= 3 and all(k & (FILLER | LONG_FILLER) for k in kinds) and any(k & LONG_FILLER for k in kinds):
             return True
-        sentences = [x for x in re.split(r"(?<=[.!?;])\s+|\s+[-–—]\s+", message) if x.strip()]
-        return len(sentences) > 1 and any(len(x.split()) >= 3 and self._is_one(x, self.messages) for x in sentences)
-
-    def _keys(self, texts: list[str]) -> tuple[set[str], dict[str, set[str]], dict[str, set[str]]]:
-        keys = {skeleton(t) if self._latin(t) else folded(t) for t in texts} - {""}
-        starts, ends = {}, {}
-        for key in keys:
-            if len(key) >= 12:
-                starts.setdefault(key[: self.ENDS], set()).add(key)
-                ends.setdefault(key[-self.ENDS :], set()).add(key)
-        return keys, starts, ends
-
-    def _known(self, key: str, known: tuple) -> bool:
-        keys, starts, ends = known
-        if key in keys:
+        long = {w.lower() for w, k in zip(words, kinds) if k & LONG_FILLER}
+        return 10 * sum(bool(k & (FILLER | LONG_FILLER)) for k in kinds) >= 7 * len(kinds) and len(long) >= 5
+
+    def is_field(self, text: str) -> bool:
+        """Whether a bracketed text is the name of a field of a template."""
+        if re.fullmatch(r"\s?[^\W\d_]+(?:_[^\W\d_]+)+\s?", text):
             return True
-        near = starts.get(key[: self.ENDS], set()) | ends.get(key[-self.ENDS :], set()) if len(key) >= 10 else ()
-        return any(within_two(key, other) for other in near)
-
-    def _is_one(self, text: str, known: tuple) -> bool:
-        if self._latin(text):
-            ways = [skeleton(text)]
-        else:
-            ways = [folded(x) for x in ([text] if CYRILLIC.search(text) else [text, *repairs(text)])]
-        for key in ways:
-            if self._known(key, known):
+        for way in (text, *repairs(text)):
+            key = self._letters(way)
+            if key in self.names or self.is_slot(way) and len(way.split()) > 1 or len(key) >= 8 and any(form in self.near_names for form in slips(key)):
                 return True
-            for lead in self.leads:
-                if key.startswith(lead) and self._known(key[len(lead) :], known):
-                    return True
         return False
 
     def holds_placeholder(self, message: str) -> bool:
         for hit in PLACEHOLDER.finditer(message):
             if hit[0].strip("<>") not in MARKUP_NAMES or "</" not in message:
                 return True
-        for hit in BRACKETED.finditer(message):
-            inner = next(x for x in hit.groups() if x is not None)
-            if re.fullmatch(r"\s?[^\W\d_]+(?:_[^\W\d_]+)+\s?", inner) or self._is_one(inner, self.names):
-                return True
-        return False
+        return any(self.is_field(next(x for x in hit.groups() if x is not None)) for hit in BRACKETED.finditer(message))
 
-    def kind(self, message: str) -> str | None:
-        """'placeholder', 'page', 'filler' or 'notice' for a message in place of content, else null."""
+    def read_again(self, message: str) -> list[str]:
+        """What a message in a wrong encoding may have been."""
+        return [] if message.isascii() or CYRILLIC.search(message) else [x for x in repairs(message) if CYRILLIC.search(x) or len(x) < len(message)]
+
+    def kind(self, message: str, wide: bool = False) -> str | None:
+        """'placeholder', 'page', 'code', 'filler' or 'notice' for a message in place of content, else null."""
         if MARKS.search(message):
             if self.holds_placeholder(message):
                 return "placeholder"
             if PAGE.search(message):
                 return "page"
-        if folded(message.split(None, 1)[0]) in self.filler:
-            words = re.findall(r"[^\W\d_]+", message)
-            if len(words) >= 3 and all(folded(w) in self.filler for w in words):
-                return "filler"
+        if LITERAL.fullmatch(message.translate(READ_AS_LETTERS)) or self.is_slot(message):
+            return "placeholder"
         if self.is_filler(message):
             return "filler"
-        if len(message) > 400:
-            return None
-        bare = TAIL.sub("", message) if message[-1:] in ")]" or "ay " in message.lower() else message
-        if self._is_one(bare, self.messages) or self.is_notice(message):
-            return "notice"
-        for text in self._read_again(message):
-            if self.is_notice(text):
+        if CODE.search(message) and CODE_FAILURE.search(message) and not message.endswith("?"):
+            return "code"
+        bare = TAIL.sub("", message)
+        for text in dict.fromkeys((message, bare, LEAD.sub("", bare), *self.read_again(message), *self.read_again(LEAD.sub("", bare)))):
+            if text and self.is_notice(text, wide):
                 return "notice"
         return None
 
-    def _read_again(self, message: str) -> list[str]:
-        return [] if self._latin(message) or CYRILLIC.search(message) else [x for x in repairs(message) if CYRILLIC.search(x)]
-
     def is_part(self, message: str) -> bool:
         """Whether a message may be a part of a notice: it has only words of notices."""
-        return len(message) <= 200 and any(self.notice_words(x) for x in (message, *self._read_again(message)))
+        for text in (message, *self.read_again(message)):
+            kinds = self.word_kinds(text)
+            if kinds and all(k & NOTICE for k in kinds):
+                return True
+        return False
+
+    def seen(self, message: str) -> bool | None:
+        """Whether a message could be residue, by itself or with its neighbours (null); without any of the costlier tests for most dialogue."""
+        message = masked(message) if TO_MASK.search(message) else message
+        first = self.word_kinds(message)
+        if first is None and (":" in message or "!" in message or message[:5].lower() == "sorry"):
+            first = self.word_kinds(LEAD.sub("", message))
+        if first is None and len(message) < 40 and LITERAL.fullmatch(message.translate(READ_AS_LETTERS)):
+            return True
+        if first is None and not (MARKS.search(message) or CODE_HINT.search(message) and CODE.search(message) or not message.isascii() and BEYOND.search(message)):
+            return self.is_filler(message)
+        if self.kind(masked(message), True):
+            return True
+        return None if self.is_part(masked(message)) else False
+
+
+TO_MASK = re.compile("[0-9?@\ufffd]|www[.]")
+PIECES = re.compile(r"[-/—–:;,.!?\"«»“”()\[\]#]+")
+# Letters of which three in a row tell of a wrong encoding.
+BEYOND = re.compile("[\u0080-\u00ff\u2500-\u259f\u0152-\u0178\u2013-\u2122]{2}|\u00d0|\u00d1")
 
-    def is_filler(self, message: str) -> bool:
-        """Whether seven in ten words of a text are filler, five different ones of four or more letters among them."""
-        words = message.split()
-        if len(words) < 7 or not any(w[:4].lower() in self.FILLER_STARTS for w in words):
-            return False
-        known = [k for k in map(folded, words) if k in self.more_filler]
-        return 10 * len(known) >= 7 * len(words) and len({k for k in known if len(k) >= 4}) >= 5
+
+def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each document's cues those that could be residue, and those that could be with a neighbour."""
+    rules, known = Rules(), {}
+    for frame in frames:
+        rows = []
+        for doc, source, row, parts in zip(frame["doc_id"].tolist(), frame["source"].tolist(), frame["row"].tolist(), frame["cues"].tolist()):
+            # a number alone is a cue's own number and stands between no cues
+            bodies = [x for part in parts if (x := part.strip()) and not x.isdigit()]
+            found = []
+            for at, body in enumerate(bodies):
+                could = known.get(body, 0)
+                if could == 0:
+                    if len(known) >= 200_000:
+                        known.clear()
+                    could = known[body] = rules.seen(body)
+                if could is not False:
+                    found.append((at, body, could))
+            places = {at for at, _, _ in found}
+            once = set()
+            for at, body, could in found:
+                if could or at - 1 in places or at + 1 in places:
+                    message = masked(body)
+                    group = grouped_as(message)
+                    rows.append((doc, source, row, at, message, group, int(group not in once)))
+                    once.add(group)
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "row", "at", "message", "group", "n"])
 
 
 def _classified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rules = Rules()
     for frame in frames:
-        kinds = [rules.kind(m) or (PART if rules.is_part(m) else None) for m in frame["message"]]
+        kinds = []
+        for message, n, sources in zip(frame["message"], frame["n_documents"], frame["n_sources"]):
+            kind = rules.kind(message, n >= WIDE_DOCUMENTS and sources >= WIDE_SOURCES)
+            kinds.append(kind or (PART if rules.is_part(message) else None))
         yield frame.assign(kind=kinds)[[k is not None for k in kinds]]
 
 
@@ -433,39 +510,50 @@ def _spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "source", "message", "kind"])
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("hash_a", F.xxhash64("message")).withColumn("hash_b", F.xxhash64(F.lit("residue"), "message"))
+def _hashed(rows: DataFrame, of: str) -> DataFrame:
+    return rows.withColumn("hash_a", F.xxhash64(of)).withColumn("hash_b", F.xxhash64(F.lit("residue"), of))
+
 
+HASH = ["hash_a", "hash_b"]
 
-def _judged(documents: DataFrame) -> DataFrame:
-    """Every message that is residue or a part of a notice: message, kind, n_documents, n_sources and its two hashes.
+
+def candidates(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, row, at, message, n, hash_a, hash_b) of the messages that could be residue, from one scan of the texts."""
+    kinds = dict(documents.dtypes)
+    split = documents.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), cues(F.col("text")).alias("cues")).where("size(cues) > 0")
+    rows = split.mapInPandas(_rows, f"doc_id {kinds['doc_id']}, source {kinds['source']}, row long, at int, message string, group string, n long")
+    return cut(_hashed(rows, "group").drop("group"))
+
+
+def judged(held: DataFrame) -> DataFrame:
+    """(hash_a, hash_b, message, n_documents, n_sources, kind) of the groups of messages that are residue or parts of a notice.
 
     Messages are first counted per source and then over sources, so none is gathered in one place.
     """
-    held = documents.select("source", F.explode(messages(F.col("text"))).alias("message"))
-    per_source = held.groupBy("message", "source").agg(F.count("*").alias("n"))
-    grouped = per_source.groupBy("message").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_sources"))
-    return _hashed(grouped.mapInPandas(_classified, "message string, n_documents long, n_sources long, kind string"))
+    per_source = held.groupBy(*HASH, "source").agg(F.sum("n").alias("n"), F.min("message").alias("message"))
+    grouped = per_source.groupBy(*HASH).agg(F.min("message").alias("message"), F.sum("n").alias("n_documents"), F.count("*").alias("n_sources"))
+    return grouped.mapInPandas(_classified, "hash_a long, hash_b long, message string, n_documents long, n_sources long, kind string")
 
 
-def _found(documents: DataFrame, judged: DataFrame) -> DataFrame:
+def _found(held: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc_id, source, message, kind): a row of nulls for documents with residue in one cue, and the messages spread over several."""
-    numbered = documents.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), cues(F.col("text")).alias("cues"))
-    # A number alone is a cue's own number and stands between no cues.
-    held = _hashed(numbered.select("doc_id", "source", "row", F.posexplode(F.array_remove("cues", "#")).alias("at", "message"))).drop("message")
-    known = judged.select("hash_a", "hash_b", (F.col("kind") != PART).alias("whole"), F.when(F.col("kind") == PART, F.col("message")).alias("message"))
+    known = groups.select(*HASH, (F.col("kind") != PART).alias("whole"))
     parts = F.array_sort(F.collect_list(F.when(~F.col("whole"), F.struct("at", "message"))))
-    hits = held.join(known, ["hash_a", "hash_b"]).groupBy("doc_id", "source", "row").agg(F.max("whole").alias("found"), parts.alias("parts"))
-    kinds = dict(documents.dtypes)
+    hits = spread_join(held, known, HASH).groupBy("doc_id", "source", "row").agg(F.max("whole").alias("found"), parts.alias("parts"))
+    kinds = dict(held.dtypes)
     return hits.where("found OR size(parts) > 1").mapInPandas(_spread, f"doc_id {kinds['doc_id']}, source {kinds['source']}, message string, kind string")
 
 
 def recurring(documents: DataFrame) -> DataFrame:
-    """Every message found to be residue: message, kind, n_documents, n_sources and its two hashes; those spread over cues too."""
-    judged = cut(_judged(documents))
-    over = _found(documents, judged).where("message IS NOT NULL").groupBy("message", "kind", "source").agg(F.count("*").alias("n"))
-    over = _hashed(over.groupBy("message", "kind").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_sources")))
-    whole = judged.where(F.col("kind") != PART)
+    """Every message found to be residue: message, kind, n_documents, n_sources and its two hashes; those spread over cues too.
+
+    Messages that differ only in case, misreadings or what services put around them are one, named by the least of them.
+    """
+    held = candidates(documents)
+    groups = cut(judged(held))
+    over = _found(held, groups).where("message IS NOT NULL").groupBy("message", "kind", "source").agg(F.count("*").alias("n"))
+    over = _hashed(over.groupBy("message", "kind").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_sources")), "message")
+    whole = groups.where(F.col("kind") != PART)
     return whole.unionByName(over.join(whole.select("message"), "message", "left_anti"))
 
 
@@ -476,4 +564,5 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     null source is a source of its own; rows with the same doc_id count as one document. Other columns
     play no part.
     """
-    return _found(documents, _judged(documents)).select("doc_id").distinct()
+    held = candidates(documents)
+    return _found(held, judged(held)).select("doc_id").distinct()
