@@ -1,21 +1,25 @@
 """Evaluation items quoted in corpus texts, wholly or in good part.
 
-An index holds all words of the items, in all forms that a slip leaves. Each text is normalised and looked up once: what only lays the text out (cue heads, markup, position codes) is blanked in place, so that
-offsets stay those of the original; words are lower-cased and brought to a form in which misreadings
-and letters lost to a wrong encoding are alike. Where half of an item's words stand within its stretch in any order, they
-are aligned with the words around: the longest run of words in the item's order, with small slips, within a
-stretch at most twice as long as the item. An item is quoted if that run holds half of its words.
-
-The items are a bounded set that goes to every task; a larger set is taken in chunks, one scan each.
+One Aho-Corasick automaton holds the words of all items, normalised. Each text is normalised and scanned once: what only
+lays the text out (cue heads, markup, position codes) is blanked in place, so that offsets stay those of the original; words
+are lower-cased and brought to a form in which misreadings and letters lost to a wrong encoding are alike. An item is looked
+at where a quarter of its words are met within its stretch, in any order: that is half of the half that makes a quotation, so
+none is lost while every second of its words stands without a slip. Of items of few words the halves of words are in
+the automaton, too, one of which any slip leaves whole. There the words are aligned with small slips: the longest run of words
+in the item's order, within a stretch at most twice as long as the item. An item is quoted if that run holds half of its words.
+
+Items of the same words are one. The items are a bounded set, broadcast to every task; a larger set is taken in chunks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,12 +27,12 @@ from pyspark.sql import functions as F
 
 from termweave.llm.residue import repairs
 
-#: Items of one index; more are scanned for in further passes. The index loses nothing at any size.
-CHUNK = 20_000
+#: Items of one automaton; more are scanned for in further passes, which loses nothing.
+CHUNK = 50_000
+#: An item whose quotation needs no more words than this is met by halves of words.
+FEW = 3
 #: Share of an item's words that a quotation holds, and its length in words against the item's.
 SHARE, STRETCH = 0.5, 2
-#: Words whose places are kept in a Python worker.
-KNOWN_WORDS = 300_000
 # Cue heads with the number before, markup and codes of subtitle files.
 LAYOUT = re.compile(
     r"(?m)^[ \t﻿]*(?:\d+[ \t]*\r?\n[ \t]*)?\d{1,2}:\d\d(?::\d\d)?[,.:]\d{1,3}[^\n]*\d\d[,.:]\d{1,3}[^\n]*$"
@@ -108,35 +112,35 @@ def slips(word: str) -> list[str]:
 
 
 class Items:
-    """The index over the items' words, and each item's words for the alignment."""
+    """The automaton over the items' words, and each item's words for the alignment."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(item, words) for item, text in items if (words := words_of(text or ""))]
-        self.ids, self.words = [item for item, _ in kept], [words for _, words in kept]
+        same: dict[tuple[str, ...], list[int]] = {}
+        for item, text in items:
+            if words := tuple(words_of(text or "")):
+                same.setdefault(words, []).append(item)
+        self.ids, self.words = list(same.values()), list(same)
         sizes = np.array([len(words) for words in self.words], dtype=np.int64)
         self.need = np.ceil(sizes * SHARE).astype(np.int64)
+        self.seeds = (self.need + 1) // 2
         #: Places of all items are numbered through; an item's begin at its start.
         self.starts = np.cumsum(sizes) - sizes
         self.size = int(sizes.sum())
         places: dict[str, list[int]] = defaultdict(list)
-        for start, words in zip(self.starts.tolist(), self.words):
+        for start, need, words in zip(self.starts.tolist(), self.need.tolist(), self.words):
             for at, word in enumerate(words):
-                for form in set(slips(word)):
-                    places[form].append(start + at)
-        self.places = {form: np.array(some, dtype=np.int64) for form, some in places.items()}
-        self.known: dict[str, np.ndarray] = {}
+                places[f" {word} "].append(start + at)
+                if need <= FEW and len(word) >= 4:
+                    places[f" {word[: len(word) // 2]}"].append(start + at)
+                    places[f"{word[len(word) // 2 :]} "].append(start + at)
+        self.automaton = ahocorasick.Automaton()
+        for no, pattern in enumerate(places):
+            self.automaton.add_word(pattern, no)
+        if places:
+            self.automaton.make_automaton()
+        self.places = [np.array(some, dtype=np.int64) for some in places.values()]
         self.forms: dict[int, dict[str, list[int]]] = {}
 
-    def _places(self, word: str) -> np.ndarray | None:
-        """The places of the words that a word may stand for, each once."""
-        if word in self.known:
-            return self.known[word]
-        if len(self.known) >= KNOWN_WORDS:
-            self.known.clear()
-        some = [self.places[form] for form in set(slips(word)) if form in self.places]
-        self.known[word] = found = np.unique(np.concatenate(some)) if some else None
-        return found
-
     def _forms(self, no: int) -> dict[str, list[int]]:
         """Places of each form of the item's words, last first."""
         if no not in self.forms:
@@ -147,29 +151,41 @@ class Items:
             self.forms[no] = forms
         return self.forms[no]
 
-    def quoted(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item number, first word, word after the last, words in common) of the items a text quotes."""
-        words = words_of(blanked(text))
-        met = [(word, places) for word in dict.fromkeys(words) if (places := self._places(word)) is not None]
+    def quoted(self, words: list[str]) -> list[tuple[int, int, int, int]]:
+        """(item number, first word, word after the last, words in common) of the items that the words of a text quote."""
+        if not words or not self.places:
+            return []
+        met = list(self.automaton.iter(f" {' '.join(words)} "))
         if not met:
             return []
-        every = np.concatenate([places for _, places in met])
+        ends, patterns = np.array(met, dtype=np.int64).T
         mark = np.zeros(self.size, dtype=np.int64)
-        mark[every] = 1
-        likely = np.flatnonzero(np.add.reduceat(mark, self.starts) >= self.need).tolist()
+        for pattern in np.unique(patterns).tolist():
+            mark[self.places[pattern]] = 1
+        likely = np.flatnonzero(np.add.reduceat(mark, self.starts) >= self.seeds).tolist()
         if not likely:
             return []
-        of_word = np.repeat(np.arange(len(met)), [len(places) for _, places in met])
-        at_words: dict[str, list[int]] = defaultdict(list)
-        for at, word in enumerate(words):
-            at_words[word].append(at)
+        # word k stands between blanks k and k + 1
+        blanks = np.cumsum([0, *(len(word) + 1 for word in words)])
+        at_words = np.searchsorted(blanks, ends) - 1
+        order = np.argsort(patterns, kind="stable")
+        patterns, at_words = patterns[order], at_words[order]
+        kinds, first = np.unique(patterns, return_index=True)
+        of_kind = dict(zip(kinds.tolist(), np.split(at_words, first[1:])))
+        wanted = np.zeros(self.size, dtype=bool)
+        for no in likely:
+            wanted[self.starts[no] : self.starts[no] + len(self.words[no])] = True
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for kind, ats in of_kind.items():
+            some = self.places[kind]
+            for place in some[wanted[some]].tolist():
+                no = int(np.searchsorted(self.starts, place, side="right")) - 1
+                hits[no] += [(at, place) for at in ats.tolist()]
         out = []
         for no in likely:
-            size, start = len(self.words[no]), int(self.starts[no])
-            own = np.flatnonzero((every >= start) & (every < start + size))
-            hits = sorted((at, place) for word, place in zip(of_word[own].tolist(), every[own].tolist()) for at in at_words[met[word][0]])
-            for first, last in _dense(hits, int(self.need[no]), STRETCH * size):
-                best = self._aligned(no, words, max(0, first - STRETCH * size), min(len(words), last + STRETCH * size))
+            size = len(self.words[no])
+            for first_at, last_at in _dense(sorted(hits[no]), int(self.seeds[no]), STRETCH * size):
+                best = self._aligned(no, words, max(0, first_at - STRETCH * size), min(len(words), last_at + STRETCH * size))
                 if best and 2 * best[2] >= 2 * SHARE * size:
                     out.append((no, *best))
                     break
@@ -236,29 +252,39 @@ def _in_order(hits: list[tuple[int, list[int]]]) -> int:
     return len(tails)
 
 
-_BUILT: dict[int, tuple[list, Items]] = {}
+_BUILT: dict[int, Items] = {}
 
 
-def _built(items: list[tuple[int, str]]) -> Items:
-    """The index of these items, built once in each Python worker."""
-    key = hash(tuple(items))
-    if key not in _BUILT or _BUILT[key][0] != items:
+def _built(shared) -> Items:
+    """The automaton of broadcast items, built once in each Python worker."""
+    if shared.id not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = (items, Items(items))
-    return _BUILT[key][1]
+        _BUILT[shared.id] = Items(shared.value)
+    return _BUILT[shared.id]
+
+
+class _Shared:
+    """Broadcast items with a name that tells them from others in a worker."""
+
+    def __init__(self, spark, items: list[tuple[int, str]]):
+        self.id, self.items = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    @property
+    def value(self) -> list[tuple[int, str]]:
+        return self.items.value
 
 
-def _scan(items: list[tuple[int, str]]):
+def _scan(shared: _Shared):
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = _built(items)
+        held = _built(shared)
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
-                found = held.quoted(text)
-                places = placed_words(text) if found else []
+                clear = blanked(text)
+                found = held.quoted(words_of(clear))
+                places = list(_placed(clear)) if found else []
                 for no, first, end, common in found:
-                    exact = end <= len(places)
-                    rows.append((doc, held.ids[no], common, len(held.words[no]), places[first][1] if exact else 0, places[end - 1][2] if exact else len(text)))
+                    rows += [(doc, item, common, len(held.words[no]), places[first][1], places[end - 1][2]) for item in held.ids[no]]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words_common", "words_item", "start", "end"])
 
     return scan
@@ -271,14 +297,15 @@ def quotations(documents: DataFrame, items: DataFrame) -> DataFrame:
     stretch found in the original text, in code points. Null and empty texts quote nothing, items without words
     are never quoted, repeated rows give their own rows; other columns play no part.
     """
+    spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), "item_text").dropna()
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), "item_text").dropna().distinct()
     schema = "doc_id long, item_id long, words_common int, words_item int, start int, end int"
     chunks = max(1, -(-wanted.count() // CHUNK))
     scans = []
     for chunk in range(chunks):
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(chunks)) == chunk).collect()  # about CHUNK rows
-        scans.append(texts.mapInPandas(_scan(sorted((r["item_id"], r["item_text"]) for r in rows)), schema))
+        scans.append(texts.mapInPandas(_scan(_Shared(spark, sorted((r["item_id"], r["item_text"]) for r in rows))), schema))
     found = scans[0]
     for other in scans[1:]:
         found = found.unionByName(other)

@@ -198,6 +198,35 @@ def test_quotations_of_ordinary_short_and_other_script_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == wanted
 
 
+def test_one_splitter_gives_words_and_offsets():
+    pick = random.Random(9)
+    letters = "ab 'Ré\n\t-字 и!\u3000\xa0\x1crnll1|"
+    for _ in range(300):
+        text = "".join(pick.choice(letters) for _ in range(40))
+        placed = leaks.placed_words(text)
+        assert leaks.words_of(text) == [w for w, _, _ in placed]
+        assert all(0 <= a < b <= len(text) and text[a:b].strip() for _, a, b in placed)
+
+
+CASES = {
+    1: "Северный олень переплыл широкую реку ранней весной",
+    2: "春天的早晨老人独自坐在河边钓鱼",
+    3: "Hasta luego",
+    4: "Seven green bottles",
+    5: "Twenty grey geese crossed the frozen lake at dusk",
+    6: "Twenty grey geese crossed the frozen lake at dusk",
+}
+
+
+def test_items_quoted_word_for_word(spark):
+    items = [*CASES.items(), *((10 + i, f"What is the capital city of {x}?") for i, x in enumerate("Peru Chad Mali Oman Cuba Fiji Iraq Laos Togo Niue".split()))]
+    texts = [(i, cues(["Well.", t, "Go on."])) for i, t in items]
+    got = {(r.doc_id, r.item_id): r for r in leaks.quotations(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()}
+    assert all((i, i) in got for i, _ in items) and (5, 6) in got and (6, 5) in got
+    text = texts[4][1]
+    assert text[got[5, 5].start : got[5, 5].end] == CASES[5]
+
+
 def test_residue(spark):
     case = {
         "Subtitles by {{ name }}": True, "Hello ${user}, welcome back.": True, "%1$s": True, "Synced for {0} on {0}": True, "by [INSERT TITLE HERE]": True, "by <SPEAKER>": True,
