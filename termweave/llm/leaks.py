@@ -29,6 +29,8 @@ from termweave.llm.residue import repairs
 
 #: Items of one automaton; more are scanned for in further passes, which loses nothing.
 CHUNK = 50_000
+#: Words of texts whose likenesses are kept in a Python worker.
+KNOWN_WORDS = 300_000
 #: An item whose quotation needs no more words than this is met by halves of words.
 FEW = 3
 #: Share of an item's words that a quotation holds, and its length in words against the item's.
@@ -139,17 +141,32 @@ class Items:
         if places:
             self.automaton.make_automaton()
         self.places = [np.array(some, dtype=np.int64) for some in places.values()]
-        self.forms: dict[int, dict[str, list[int]]] = {}
-
-    def _forms(self, no: int) -> dict[str, list[int]]:
-        """Places of each form of the item's words, last first."""
-        if no not in self.forms:
-            forms: dict[str, list[int]] = defaultdict(list)
+        self.word_places = {pattern[1:-1]: some for pattern, some in zip(places, self.places) if pattern[0] == pattern[-1] == " "}
+        #: The items' words by the forms that a slip leaves.
+        self.by_form: dict[str, list[str]] = defaultdict(list)
+        for word in {word for words in self.words for word in words}:
+            for form in set(slips(word)):
+                self.by_form[form].append(word)
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.own: dict[int, dict[str, list[int]]] = {}
+
+    def _near(self, word: str) -> tuple[str, ...]:
+        """The items' words that a word of a text may stand for."""
+        near = self.known.get(word)
+        if near is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            near = self.known[word] = tuple({x for form in set(slips(word)) if form in self.by_form for x in self.by_form[form]})
+        return near
+
+    def _own(self, no: int) -> dict[str, list[int]]:
+        """Places of each of the item's words, last first."""
+        if no not in self.own:
+            own: dict[str, list[int]] = defaultdict(list)
             for at in range(len(self.words[no]) - 1, -1, -1):
-                for form in set(slips(self.words[no][at])):
-                    forms[form].append(at)
-            self.forms[no] = forms
-        return self.forms[no]
+                own[self.words[no][at]].append(at)
+            self.own[no] = dict(own)
+        return self.own[no]
 
     def quoted(self, words: list[str]) -> list[tuple[int, int, int, int]]:
         """(item number, first word, word after the last, words in common) of the items that the words of a text quote."""
@@ -158,54 +175,39 @@ class Items:
         met = list(self.automaton.iter(f" {' '.join(words)} "))
         if not met:
             return []
-        ends, patterns = np.array(met, dtype=np.int64).T
-        mark = np.zeros(self.size, dtype=np.int64)
-        for pattern in np.unique(patterns).tolist():
-            mark[self.places[pattern]] = 1
-        likely = np.flatnonzero(np.add.reduceat(mark, self.starts) >= self.seeds).tolist()
-        if not likely:
+        likely = self._with({no for _, no in met}, self.places, self.seeds)
+        if not likely.any():
             return []
-        # word k stands between blanks k and k + 1
-        blanks = np.cumsum([0, *(len(word) + 1 for word in words)])
-        at_words = np.searchsorted(blanks, ends) - 1
-        order = np.argsort(patterns, kind="stable")
-        patterns, at_words = patterns[order], at_words[order]
-        kinds, first = np.unique(patterns, return_index=True)
-        of_kind = dict(zip(kinds.tolist(), np.split(at_words, first[1:])))
-        wanted = np.zeros(self.size, dtype=bool)
-        for no in likely:
-            wanted[self.starts[no] : self.starts[no] + len(self.words[no])] = True
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for kind, ats in of_kind.items():
-            some = self.places[kind]
-            for place in some[wanted[some]].tolist():
-                no = int(np.searchsorted(self.starts, place, side="right")) - 1
-                hits[no] += [(at, place) for at in ats.tolist()]
+        # with slips, half of an item's words must be met
+        near = [(at, some) for at, word in enumerate(words) if (some := self._near(word))]
+        likely &= self._with({word for some in dict.fromkeys(x for _, x in near) for word in some}, self.word_places, self.need)
         out = []
-        for no in likely:
-            size = len(self.words[no])
-            for first_at, last_at in _dense(sorted(hits[no]), int(self.seeds[no]), STRETCH * size):
-                best = self._aligned(no, words, max(0, first_at - STRETCH * size), min(len(words), last_at + STRETCH * size))
+        for no in np.flatnonzero(likely).tolist():
+            own, size = self._own(no), len(self.words[no])
+            hits = [(at, place) for at, some in near for word in some if word in own for place in own[word]]
+            for first_at, last_at in _dense(hits, int(self.need[no]), STRETCH * size):
+                best = self._aligned(no, near, first_at - STRETCH * size, last_at + STRETCH * size)
                 if best and 2 * best[2] >= 2 * SHARE * size:
                     out.append((no, *best))
                     break
         return out
 
-    def _aligned(self, no: int, words: list[str], start: int, end: int) -> tuple[int, int, int] | None:
-        """The first stretch that holds enough of the item's words in order: first word, end and number."""
-        forms, size = self._forms(no), len(self.words[no])
+    def _with(self, met: set, places: list[np.ndarray] | dict[str, np.ndarray], least: np.ndarray) -> np.ndarray:
+        """Of each item whether at least so many of its places are among those of what was met."""
+        mark = np.zeros(self.size, dtype=np.int32)
+        if met:
+            mark[np.concatenate([places[x] for x in met])] = 1
+        return np.add.reduceat(mark, self.starts) >= least
+
+    def _aligned(self, no: int, near: list[tuple[int, tuple[str, ...]]], start: int, end: int) -> tuple[int, int, int] | None:
+        """The first stretch from ``start`` to ``end`` that holds enough of the item's words in order: first word, end and number."""
+        own, size = self._own(no), len(self.words[no])
         need = -(-size * SHARE // 1)
         hits: list[tuple[int, list[int]]] = []
-        known: dict[str, list[int]] = {}
-        for at in range(start, end):
-            word = words[at]
-            if word not in known:
-                places = set()
-                for form in slips(word):
-                    places.update(forms.get(form, ()))
-                known[word] = sorted(places, reverse=True)
-            if known[word]:
-                hits.append((at, known[word]))
+        for at, some in near[bisect_left(near, (start,)) : bisect_left(near, (end,))]:
+            places = [own[word] for word in some if word in own]
+            if places:
+                hits.append((at, places[0] if len(places) == 1 else sorted({x for p in places for x in p}, reverse=True)))
         if len(hits) < need or _in_order(hits) < need:
             return None
         for first, (at, _) in enumerate(hits):
