@@ -111,11 +111,13 @@ def concept_index(
     keep_symbols: bool = False,
     min_entities: int = 5,
     min_npmi: float = 0.35,
+    max_phrases: int = 20_000,
     roots: Iterable[str] = ROOT_TERMS,
 ) -> DataFrame:
     """(entity_id, layer, concept, label), each concept of an entity once, in the chosen layers.
 
-    Without an ontology (names, reach and terms) the layer go is empty and go_names play no part.
+    Without an ontology (names, reach and terms) the layer go is empty and go_names play no part. The layer phrase holds
+    the max_phrases best pairs (see ``phrases``).
     Unknown layers raise ValueError.
     """
     if unknown := set(layers) - set(LAYERS):
@@ -129,7 +131,7 @@ def concept_index(
             out.append(words.select("entity_id", F.lit("word").alias("layer"), F.concat(F.lit("w:"), "word").alias("concept"), F.col("word").alias("label")))
         if "phrase" in layers:
             pairs = entity_bigrams(tokens)
-            kept = phrases(words, pairs, records.count(), min_entities, min_npmi)
+            kept = phrases(words, pairs, records.count(), min_entities, min_npmi, max_phrases)
             held = pairs.join(kept.select("pair"), "pair", "left_semi")
             out.append(held.select("entity_id", F.lit("phrase").alias("layer"), F.concat(F.lit("p:"), "pair").alias("concept"), F.col("pair").alias("label")))
     if "keyword" in layers:

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from termweave.functions import text as X
-from termweave.operators import concepts as C
-from termweave.operators import montecarlo as M
 from termweave.plans.hierarchies import GRAPH
 
-ID = r"\bVX[1-5CM]G\d{9}\b"
+# Written here a second time, so that a wrong list or pattern of the queries shows.
+ID = r"\bVX[12345CM]G[0-9]{9}\b"
+EVIDENCE = r"(?i)\{ECO:[^}]*\}|\(PubMed[^)]*\)|\(By similarity[^)]*\)|PubMed:[0-9]+"
+ENZYME = r"\bEC\s?[0-9]+((\.[-0-9]+)?(\.[-0-9]+)?(\.[-0-9]+)?)\b"
+PREFIXED = r"\b(anti|cis|co|cross|extra|hetero|homo|inter|intra|mono|multi|non|poly|post|pre|pro|self|semi|short|sub|trans)-([a-z])"
+KEPT_WHOLE = """abscisic analysis apoptosis axis basis biosynthesis bus cactus chitosanase class embryogenesis focus gas genesis glass has his homeostasis
+hydrolysis is its lens lysis meiosis mitosis morphogenesis mucus nucleus organogenesis osmosis pathogenesis pius plus process senescence series species
+status stress synthesis thesis this thus trans tris virus was""".split()
+TECHNICAL = ("3D-structure", "Acetylation", "Alternative splicing", "Direct protein sequencing", "Phosphoprotein", "Proteomics identification", "Reference proteome", "Signal")
+ROOTS = ("GO:0003674", "GO:0005575", "GO:0008150")
+NOISE = "best blast blink contains encodes expressed functions has hits interpro involved match ncbi plant plants protein proteincoding proteins source".split()
 
 
 def listed(words) -> str:
@@ -15,7 +23,7 @@ def listed(words) -> str:
 
 
 def lemma(w: str) -> str:
-    return f"""CASE WHEN length({w}) <= 4 OR {w} IN {listed(X.LEMMA_KEEP.split())} OR regexp_matches({w}, '(sis|ss|us|ics)$') THEN {w}
+    return f"""CASE WHEN length({w}) <= 4 OR {w} IN {listed(KEPT_WHOLE)} OR regexp_matches({w}, '(sis|ss|us|ics)$') THEN {w}
  WHEN {w} LIKE '%ies' AND length({w}) > 5 THEN {w}[:-4] || 'y' WHEN regexp_matches({w}, '(ches|shes|xes|zes)$') THEN {w}[:-3]
  WHEN {w} LIKE '%s' AND NOT regexp_matches({w}, '(is|as)$') THEN {w}[:-2] ELSE {w} END"""
 
@@ -26,16 +34,16 @@ def stem(w: str) -> str:
 
 
 def cleaned(t: str) -> str:
-    out = f"regexp_replace(replace({t}, 'FUNCTION: ', ' '), '{X.TAGGED}', '', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, '{X.CITED}', '', 'g'), '\\.(\\s*\\.)+', '.', 'g')"
+    out = f"regexp_replace(replace({t}, 'FUNCTION: ', ' '), '\\s*\\{{ECO:[^}}]*\\}}', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?i)\\s*\\((PubMed|By similarity|Ref\\.)[^)]*\\)', '', 'g'), '\\.(\\s*\\.)+', '.', 'g')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'), ' ')"
 
 
 def token_list(t: str, stop: list[str]) -> str:
-    out = f"regexp_replace(regexp_replace(regexp_replace({t}, '{X.EVIDENCE}', ' ', 'g'), '{X.ENZYME_NUMBER}', ' ', 'g'), '(?i){ID}', ' ', 'g')"
-    out = f"regexp_replace(lower({out}), '\\b({'|'.join(X.PREFIXES.split())})-([a-z])', '\\1{X.JOINED}\\2', 'g')"
-    out = f"regexp_replace(translate({out}, '-/', '  '), '{X.BREAKS}', ' . ', 'g')"
-    token = X.TOKEN.replace("'", "''").replace(r"\z", "$")
+    out = f"regexp_replace(regexp_replace(regexp_replace({t}, '{EVIDENCE}', ' ', 'g'), '{ENZYME}', ' ', 'g'), '(?i){ID}', ' ', 'g')"
+    out = f"regexp_replace(lower({out}), '{PREFIXED}', '\\1\u2011\\2', 'g')"
+    out = f"regexp_replace(translate({out}, '-/', '  '), '[][.,;:(){{}}\"]+', ' . ', 'g')"
+    token = "^[a-z]([a-z0-9''\u2011]*[a-z0-9])?$"
     valid = f"regexp_matches(w, '{token}') AND length(w) >= 3 AND w NOT IN {listed(stop)} AND NOT regexp_matches(w, '[0-9]')"
     return f"list_transform(list_transform(regexp_split_to_array(trim({out}, ' '), '\\s+'), lambda r: trim(r, '''')), lambda w: CASE WHEN {valid} THEN {lemma('w')} END)"
 
@@ -96,10 +104,10 @@ pdf_ AS (SELECT pair, count(*) AS n FROM pairs_ GROUP BY 1),
 scored_ AS (SELECT pair, p.n AS n_pair, a.n AS n_a, b.n AS n_b, ln((p.n / m) / ((a.n / m) * (b.n / m))) / -ln(p.n / m) AS npmi
  FROM pdf_ p JOIN wdf_ a ON a.word = split_part(pair, ' ', 1) JOIN wdf_ b ON b.word = split_part(pair, ' ', 2), (SELECT count(*)::DOUBLE AS m FROM everyone_) WHERE p.n >= 5 AND a.word <> b.word AND p.n < m),
 phrases_ AS (SELECT * FROM scored_ WHERE npmi >= 0.35 ORDER BY npmi DESC, split_part(pair, ' ', 1) DESC, split_part(pair, ' ', 2) DESC LIMIT 20000),
-held_terms_ AS (SELECT DISTINCT entity_id, id FROM (SELECT id AS entity_id, unnest(go) AS id FROM records_ UNION ALL SELECT g.entity_id, r.ancestor_id FROM (SELECT id AS entity_id, unnest(go) AS go FROM records_) g JOIN reach_ r ON r.id = g.go) WHERE id NOT IN {listed(C.ROOT_TERMS)}),
+held_terms_ AS (SELECT DISTINCT entity_id, id FROM (SELECT id AS entity_id, unnest(go) AS id FROM records_ UNION ALL SELECT g.entity_id, r.ancestor_id FROM (SELECT id AS entity_id, unnest(go) AS go FROM records_) g JOIN reach_ r ON r.id = g.go) WHERE id NOT IN {listed(ROOTS)}),
 word_ AS (SELECT entity_id, 'word' AS layer, 'w:' || word AS concept, word AS label FROM words_),
 phrase_ AS (SELECT entity_id, 'phrase' AS layer, 'p:' || pair AS concept, pair AS label FROM pairs_ WHERE pair IN (SELECT pair FROM phrases_)),
-keyword_ AS (SELECT DISTINCT entity_id, 'keyword' AS layer, 'k:' || label AS concept, label FROM (SELECT id AS entity_id, unnest(keywords) AS label FROM records_) WHERE label NOT IN {listed(C.TECHNICAL_KEYWORDS)}),
+keyword_ AS (SELECT DISTINCT entity_id, 'keyword' AS layer, 'k:' || label AS concept, label FROM (SELECT id AS entity_id, unnest(keywords) AS label FROM records_) WHERE label NOT IN {listed(TECHNICAL)}),
 go_ AS (SELECT entity_id, 'GO ' || coalesce(CASE term_namespace WHEN 'biological_process' THEN 'BP' WHEN 'molecular_function' THEN 'MF' WHEN 'cellular_component' THEN 'CC' END, '') AS layer, 'g:' || t.id AS concept, coalesce(term_name, t.id) AS label FROM held_terms_ h JOIN terms_ t ON t.id = h.id),
 sets_ AS (SELECT set_name AS set_id, upper(regexp_extract(entity_id, '(?i)({ID})', 1)) AS entity_id, min(pos_no) AS pos FROM gene_list
  WHERE set_name IS NOT NULL AND NOT starts_with(ltrim(entity_id), '#') AND regexp_extract(entity_id, '(?i)({ID})', 1) <> '' GROUP BY 1, 2)"""
@@ -153,7 +161,7 @@ leads_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER
 
 EVERY = described('word phrase keyword')
 ROUNDED = f"set_id, concept, layer, label, k_study, n_study, k_bg, n_bg, round(fold, 6) AS fold, {log('p_value')} AS p_value, tested, {log('fdr')} AS fdr, status"
-PUNCTUATION = M.PUNCTUATION.replace("'", "''")
+PUNCTUATION = "[^\\w\\s\u0080-\U0010ffff]|_"
 LEGACY = rf""",
 corpus_ AS (SELECT entity_id, text FROM texts_ WHERE field_name <> 'go_names'),
 legacy_ AS (SELECT entity_id, word, count(*) AS n FROM (SELECT entity_id, unnest(regexp_split_to_array(trim(lower(regexp_replace(text, '{PUNCTUATION}', '', 'g')), ' '), '\s+')) AS word FROM corpus_)
@@ -211,5 +219,5 @@ needs_ AS (SELECT DISTINCT word, freq, n_study FROM seen_),
 reached_ AS (SELECT word, freq, n_study, count(*) AS rdm FROM needs_ JOIN drawn_ USING (word) WHERE so_far >= freq AND so_far - n < freq AND place <= n_study GROUP BY ALL),
 overall_ AS (SELECT word, sum(n) AS genome_count FROM legacy_ GROUP BY 1)
 SELECT set_id, word, freq, coalesce(rdm, 0) AS rdm, CAST(genome_count AS BIGINT) AS genome_count, round((freq / n_study) / (genome_count / (SELECT count(*) FROM universe_)), 6) AS enrich_ratio,
- rdm IS NULL AND word NOT IN {listed(M.NOISE_WORDS.split())} AS significant FROM seen_ JOIN overall_ USING (word) LEFT JOIN reached_ USING (word, freq, n_study)""",
+ rdm IS NULL AND word NOT IN {listed(NOISE)} AS significant FROM seen_ JOIN overall_ USING (word) LEFT JOIN reached_ USING (word, freq, n_study)""",
 }

@@ -6,6 +6,8 @@ gzip are read as one piece each, which keeps their order.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,18 +107,44 @@ def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return terms, rows.select(F.explode("alternatives").alias("alt_id"), F.col("id").alias("term_id"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no, value): the lines of a file, or of the standard input for '-', which a user types or pipes."""
+    if path == "-":
+        return spark.createDataFrame([(i, line.rstrip("\r\n")) for i, line in enumerate(sys.stdin)], "row_no long, value string")
+    return _numbered(spark.read.text(path)).select("row_no", "value")
+
+
 def read_ids(spark: SparkSession, path: str, set_id: str = "list") -> DataFrame:
-    """(set_id, pos, entity_id) of a text file of ids between blanks, tabs or commas; # lines are comments."""
-    lines = _numbered(spark.read.text(path)).where("NOT startswith(ltrim(value), '#')")
+    """(set_id, pos, entity_id) of a text file of ids between blanks, tabs or commas; # lines are comments. '-' is the standard input.
+
+    pos orders the ids: the line's number and the place in it.
+    """
+    lines = _lines(spark, path).where("NOT startswith(ltrim(value), '#')")
     words = lines.select("row_no", F.posexplode(F.split(F.trim("value"), r"[,\s]+")).alias("at", "entity_id")).where("entity_id <> ''")
-    return words.select(F.lit(set_id).alias("set_id"), (F.col("row_no") * 100_000 + F.col("at")).alias("pos"), "entity_id")
+    return words.select(F.lit(set_id).alias("set_id"), F.struct("row_no", "at").alias("pos"), "entity_id")
+
 
+def sniffed_separator(lines: list[str]) -> str:
+    """Which of tab, comma and semicolon stands in the most lines, equally often in each if possible; the tab if none does."""
 
-def read_sets(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
-    """(set_id, pos, entity_id) of a file with an id and a set in the first two columns; a header row holds no id and drops out later."""
-    rows = _numbered(spark.read.csv(path, sep=separator, quote='"', escape='"'))
-    first, second = rows.columns[:2]
-    return rows.select(F.trim(F.col(second)).alias("set_id"), F.col("row_no").alias("pos"), F.trim(F.col(first)).alias("entity_id")).where("set_id IS NOT NULL AND entity_id <> ''")
+    def fitness(separator: str) -> tuple[int, bool]:
+        counts = [line.count(separator) for line in lines if line.strip()]
+        return sum(c > 0 for c in counts), len(set(counts)) == 1
+
+    return max("\t,;", key=fitness)
+
+
+def read_sets(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(set_id, pos, entity_id) of a file with an id and a set in the first two columns; a header row holds no id and drops out later.
+
+    Without a separator it is found from the first 50 lines. '-' is the standard input.
+    """
+    lines = _lines(spark, path)
+    if separator is None:
+        separator = sniffed_separator([r["value"] for r in lines.orderBy("row_no").limit(50).collect()])
+    cells = F.from_csv("value", F.lit("id string, name string"), {"sep": separator, "quote": '"', "escape": '"'})
+    rows = lines.select("row_no", cells.alias("c"))
+    return rows.select(F.trim("c.name").alias("set_id"), F.col("row_no").alias("pos"), F.trim("c.id").alias("entity_id")).where("set_id IS NOT NULL AND entity_id <> ''")
 
 
 #: Names of the four source files in their folder.
