@@ -20,16 +20,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", counted_on: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``, where one key may hold any share of the rows of ``left``.
 
     A key with more than HOT_ROWS rows on the left is dealt to one task per HOT_ROWS rows, by a hash of the
     row, and its rows on the right go to each of these. The hot keys are counted first, so ``left`` is best a table
     or a cheap plan; there are at most HOT_KEYS of them, and they are what is broadcast. how: 'inner',
-    'left', 'left_semi' or 'left_anti'. Null keys match nothing.
+    'left', 'left_semi' or 'left_anti'. Null keys match nothing. counted_on: a cheaper frame with about as many rows of each key.
     """
     keys = list(keys)
-    counts = left.groupBy(*keys).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > HOT_ROWS)
+    counts = (left if counted_on is None else counted_on).groupBy(*keys).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > HOT_ROWS)
     hot = counts.orderBy(F.col("n_of_key").desc()).limit(HOT_KEYS).collect()
     if not hot:
         return left.join(right, keys, how)
