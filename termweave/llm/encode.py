@@ -1,11 +1,13 @@
 """Encoding of whole texts with a public byte-level BPE vocabulary, by tree reduction.
 
-A text is halved down to short leaves; leaves are encoded and neighbours joined. The pattern that
-splits text before the merges never matches across the place between a character that is no white
-space and a following blank or line feed, whatever stands around it: encoding the two sides of such a
-place separately gives the encoding of the whole. Where a cut is such a place, the lists of ids are put
-together as they are. Elsewhere the window grows to the nearest such places on both sides; only it is
-encoded again, and the ids outside it are proven to stay. A text without such a place is one window.
+A text is halved down to short leaves; leaves are encoded and neighbours joined, from their ids alone. A window of a few
+tokens on both sides of the cut is encoded again and grows until the tokens outside it are proven to stay. That is so
+
+* at places that the pattern which splits text before the merges never matches across, whatever stands around: between a
+  character that is no white space and a following blank or line feed;
+* where there is no such place near, as in long runs of letters or of a script without blanks: once the window's first and last
+  tokens come out as they were. All neighbours in the joined list have then been neighbours in a correct encoding, and
+  a list of tokens is the encoding of its text just where each two neighbours are that of theirs.
 
 Texts above SEGMENT characters are cut into segments that Spark spreads over tasks, so that a few very
 long texts don't hold up one task; their lists are joined by the same rule. Decoding joins bytes, which
@@ -26,19 +28,93 @@ from pyspark.sql import functions as F
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf, and of a segment that is a task's own row.
-LEAF, SEGMENT = 4096, 262_144
+LEAF, SEGMENT = 1024, 262_144
+#: Tokens of the first window on each side of a cut, and those that must come out as they were at its ends.
+WINDOW, AGREED = 8, 2
 # Fixed value: the vocabulary's pattern, which splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+class Coder:
+    """A vocabulary: encodes a text, and joins lists of ids."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = self.encoding.encode_ordinary
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes[rank] = token
+
+    def text(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes[i] for i in ids])
+
+    def joined(self, left: list[int], right: list[int]) -> list[int]:
+        """Ids of the text that ``left`` and ``right`` are the ids of, one after the other."""
+        if not left or not right:
+            return left + right
+        size = WINDOW
+        while True:
+            first, last = max(0, len(left) - size), min(len(right), size)
+            # a window begins and ends between characters, not within one
+            while first > 0 and self.bytes[left[first]][0] & 0xC0 == 0x80:
+                first -= 1
+            while last < len(right) and self.bytes[right[last]][0] & 0xC0 == 0x80:
+                last += 1
+            before, after = self.text(left[first:]).decode(), self.text(right[:last]).decode()
+            window, cut = before + after, len(before)
+            if splits_at(window, cut):
+                return left + right
+            start = next((at for at in range(cut - 1, 0, -1) if splits_at(window, at)), 0 if first == 0 else None)
+            end = next((at for at in range(cut + 1, len(window)) if splits_at(window, at)), len(window) if last == len(right) else None)
+            if start is not None and end is not None:
+                kept = self._tokens_back(left, len(window[start:cut].encode()))
+                dropped = self._tokens_on(right, len(window[cut:end].encode()))
+                return left[: len(left) - kept] + self.encode(window[start:end]) + right[dropped:]
+            ids = self.encode(window)
+            stays_before = first == 0 or ids[:AGREED] == left[first : first + AGREED]
+            stays_after = last == len(right) or ids[-AGREED:] == right[last - AGREED : last]
+            if stays_before and stays_after and len(ids) > 2 * AGREED:
+                return left[:first] + ids + right[last:]
+            size *= 2
+
+    def _tokens_back(self, ids: list[int], length: int) -> int:
+        """How many tokens at the end of ``ids`` make up so many bytes."""
+        n = 0
+        while length > 0:
+            n += 1
+            length -= len(self.bytes[ids[-n]])
+        return n
+
+    def _tokens_on(self, ids: list[int], length: int) -> int:
+        n = 0
+        while length > 0:
+            length -= len(self.bytes[ids[n]])
+            n += 1
+        return n
+
+    def encoded(self, text: str) -> list[int]:
+        """Ids of a text, by halves."""
+        if len(text) <= LEAF:
+            return self.encode(text)
+        cut = len(text) // 2
+        return self.joined(self.encoded(text[:cut]), self.encoded(text[cut:]))
+
+    def reduced(self, parts: list[list[int]]) -> list[int]:
+        """Ids of neighbouring parts, joined pairwise up the tree."""
+        while len(parts) > 1:
+            pairs = [self.joined(a, b) for a, b in zip(parts[::2], parts[1::2])]
+            parts = pairs + parts[len(parts) - len(parts) % 2 :]
+        return parts[0] if parts else []
+
+
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def coder(path: str) -> Coder:
     """The vocabulary of a rank file; once in each Python worker."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Coder(path)
 
 
 def splits_at(text: str, at: int) -> bool:
@@ -46,53 +122,21 @@ def splits_at(text: str, at: int) -> bool:
     return text[at] in " \n" and not text[at - 1].isspace()
 
 
-def joined(encode, text: str, cut: int, left: list[int], right: list[int]) -> list[int]:
-    """Ids of ``text`` from those of its parts before and after ``cut``."""
-    if not left or not right:
-        return left + right
-    if splits_at(text, cut):
-        return left + right
-    start = cut - 1
-    while start > 0 and not splits_at(text, start):
-        start -= 1
-    end = cut + 1
-    while end < len(text) and not splits_at(text, end):
-        end += 1
-    kept = len(left) - len(encode(text[start:cut]))
-    return left[:kept] + encode(text[start:end]) + right[len(encode(text[cut:end])) :]
-
-
-def encoded(encode, text: str) -> list[int]:
-    """Ids of a text, by halves."""
-    if len(text) <= LEAF:
-        return encode(text)
-    cut = len(text) // 2
-    return joined(encode, text, cut, encoded(encode, text[:cut]), encoded(encode, text[cut:]))
-
-
-def reduced(encode, parts: list[tuple[str, list[int]]]) -> list[int]:
-    """Ids of neighbouring parts (text, ids), joined pairwise up the tree."""
-    while len(parts) > 1:
-        pairs = [(a[0] + b[0], joined(encode, a[0] + b[0], len(a[0]), a[1], b[1])) for a, b in zip(parts[::2], parts[1::2])]
-        parts = pairs + parts[len(parts) - len(parts) % 2 :]
-    return parts[0][1] if parts else []
-
-
 def _rows(path: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encoded = coder(path).encoded
         for batch in batches:
-            ids = [encoded(encode, text) if text else [] for text in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+            ids = [encoded(text) if text else [] for text in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "ids"])
 
     return scan
 
 
 def _joins(path: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        reduced = coder(path).reduced
         for batch in batches:
-            ids = [reduced(encode, [(p["text"], p["ids"]) for p in parts]) for parts in batch.column(1).to_pylist()]
+            ids = [reduced([p["ids"] for p in parts]) for parts in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return scan
@@ -107,13 +151,13 @@ def encode_texts(documents: DataFrame, path: str = f"{FOLDER}/{VOCABULARY}") ->
     named = documents.select("doc_id", "text")
     is_long = F.coalesce(F.char_length("text") > SEGMENT, F.lit(False))
     kind = dict(named.dtypes)["doc_id"]
-    short = named.where(~is_long).mapInArrow(_rows(path), f"doc_id {kind}, text string, ids array<int>").select("doc_id", "ids")
+    short = named.where(~is_long).mapInArrow(_rows(path), f"doc_id {kind}, ids array<int>")
     at = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / SEGMENT).cast("int"))
     rows = named.where(is_long).withColumn("row", F.monotonically_increasing_id())
     pieces = rows.select("row", "doc_id", F.posexplode(F.transform(at, lambda i: F.substring("text", i * SEGMENT + 1, F.lit(SEGMENT)))).alias("no", "text"))
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = pieces.repartition(parts, "row", "no").mapInArrow(_rows(path), f"row long, doc_id {kind}, no int, text string, ids array<int>")
-    ordered = ids.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "text", "ids"))).alias("parts"))
+    ids = pieces.repartition(parts, "row", "no").mapInArrow(_rows(path), f"row long, doc_id {kind}, no int, ids array<int>")
+    ordered = ids.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     return short.unionByName(ordered.select("doc_id", "parts").mapInArrow(_joins(path), f"doc_id {kind}, ids array<int>"))
 
 
@@ -122,7 +166,7 @@ def decode_ids(encoded_rows: DataFrame, path: str = f"{FOLDER}/{VOCABULARY}") ->
     kind = dict(encoded_rows.dtypes)["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoding(path).decode_bytes
+        decode = coder(path).text
         for batch in batches:
             texts = [decode(ids or []).decode("utf-8", errors="replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -4,7 +4,7 @@ Chance is the bipartite configuration model of largest entropy: record r holds i
 x_r y_i / (1 + x_r y_i), with x and y fitted so that every record has its size and every item its
 frequency on average. Records of one size share x and items of one frequency share y, so the fit needs
 the two histograms only. Under this null the number of records with both items is Poisson-binomial; its
-upper tail is the p value, and Benjamini-Hochberg gives q: over all pairs of items, or over the counted ones.
+upper tail is the p value, and Benjamini-Hochberg gives q over all pairs of items, those that never meet included.
 
 Pairs are enumerated within records, never within an item's records. A large record is split into blocks
 of items, and each two of its blocks meet in a task of their own choice, so no record is held whole.
@@ -18,24 +18,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.operators.spread import partitions, range_parts, spread_join
 from termweave.session import cut
 
 #: Items of a block; records with more are split.
 BLOCK = 64
-#: Sizes and frequencies up to this are classes of their own; above, a class spans about 1/64 of its value.
-EXACT_CLASSES = 512
-#: Copies of the small table of p values that a hot key is spread over.
-SALTS = 8
+#: Sizes and frequencies up to this are classes of their own; above, a class of items spans about 1/256 of its value and one of records 1/64.
+EXACT_CLASSES, ITEM_STEPS, RECORD_STEPS = 512, 256, 64
+#: An item's number holds its class above so many bits.
+CLASS_BITS = 48
 #: Steps of the fit, and the relative error at which it ends.
 FIT_STEPS, FIT_ERROR = 500, 1e-9
 
 
-def _size_class(value: Column) -> Column:
-    """Number of the class of a size or frequency; at most EXACT_CLASSES + 64 ln(value / EXACT_CLASSES) of them."""
-    return F.when(value <= EXACT_CLASSES, value).otherwise(EXACT_CLASSES + 1 + F.floor(F.log(value / EXACT_CLASSES) * 64)).cast("long")
+def _size_class(value: Column, steps: int) -> Column:
+    """Number of the class of a size or frequency; at most EXACT_CLASSES + steps ln(value / EXACT_CLASSES) of them."""
+    return F.when(value <= EXACT_CLASSES, value).otherwise(EXACT_CLASSES + 1 + F.floor(F.log(value / EXACT_CLASSES) * steps)).cast("long")
 
 
 def fit_null(sizes: pd.DataFrame, frequencies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,24 +114,24 @@ def _tails(x: np.ndarray, y: dict[int, float], weight: np.ndarray):
     return score
 
 
-def adjusted(tests: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+def adjusted(tests: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``tests`` (keys, n, p_value) with q_value: Benjamini-Hochberg where a row stands for n tests.
 
-    total: all tests, if there are more than the rows stand for; the others have p = 1 and rank last.
-    Ranks come from a global range-partitioned sort on p_value: the sums of the partitions before a
-    partition and the least value of those after it are one number each.
+    total: all tests; those that no row stands for have p = 1 and rank last. Ranks come from a global
+    range-partitioned sort on p_value: the sums of the partitions before a partition and the least value of those
+    after it are one number each.
     """
     spark = tests.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(tests.repartitionByRange(parts, "p_value").withColumn("part", F.spark_partition_id()))
-    order = "PARTITION BY part ORDER BY p_value"
+    placed = range_parts(tests, ["p_value"])
+    here = Window.partitionBy("part")
     sums = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row per partition
-    total, before, offsets = sum(sums.values()) if total is None else total, 0, []
+    before, offsets = 0, []
     for part in sorted(sums):
         offsets.append((part, before))
         before += sums[part]
     offset = spark.createDataFrame(offsets, "part int, rank_before long")
-    ranked = placed.join(F.broadcast(offset), "part").withColumn("rank", F.col("rank_before") + F.expr(f"sum(n) OVER ({order} RANGE UNBOUNDED PRECEDING)"))
+    up = here.orderBy("p_value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.join(F.broadcast(offset), "part").withColumn("rank", F.col("rank_before") + F.sum("n").over(up))
     raw = cut(ranked.withColumn("raw", F.col("p_value") * total / F.col("rank")))
     least = {r["part"]: r["raw"] for r in raw.groupBy("part").agg(F.min("raw").alias("raw")).collect()}
     after, rest = 1.0, []
@@ -138,8 +139,8 @@ def adjusted(tests: DataFrame, keys: list[str], total: int | None = None) -> Dat
         rest.append((part, after))
         after = min(after, least[part])
     floor = spark.createDataFrame(rest, "part int, least_after double")
-    within = F.expr(f"min(raw) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
-    return raw.join(F.broadcast(floor), "part").withColumn("q_value", F.least(within, "least_after")).select(*keys, "n", *[c for c in tests.columns if c not in (*keys, "n")], "q_value")
+    down = here.orderBy(F.col("p_value").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return raw.join(F.broadcast(floor), "part").withColumn("q_value", F.least(F.min("raw").over(down), "least_after")).select(*keys, "n", *[c for c in tests.columns if c not in (*keys, "n")], "q_value")
 
 
 def _pairs_within(baskets: DataFrame) -> DataFrame:
@@ -161,37 +162,40 @@ def _pair_counts(baskets: DataFrame) -> DataFrame:
     return _pairs_within(whole).unionByName(crossed).groupBy("a", "b").agg(F.count("*").alias("n_both"))
 
 
-def cooccurrence(items: DataFrame, record_count: int, min_records: int = 1, all_pairs: bool = False) -> DataFrame:
+def cooccurrence(items: DataFrame, record_count: int, min_records: int = 1) -> DataFrame:
     """One row per pair of items in at least ``min_records`` records together.
 
     items: record STRING, item STRING; nulls in either are left out, repeats count once, other columns play
     no part. record_count: all records, those without items included. Gives item_a < item_b (by code
     point), n_a, n_b, n_both, lift (n_both over the number expected from the two frequencies alone),
-    expected, p_value and q_value under the fitted null. No items or no pairs give no rows.
-    all_pairs: q_value over all pairs of items instead of those counted; with min_records it is an upper bound, as rarer
-    pairs get no rank.
+    expected, p_value and q_value under the fitted null. q_value is over all pairs of items at any
+    min_records; with more than 1 it is an upper bound, as rarer pairs get no rank. No items or no pairs give no rows.
     """
     held = cut(items.select("record", "item").dropna().distinct())
-    catalog = cut(held.groupBy("item").agg(F.count("*").alias("support")).select("item", F.monotonically_increasing_id().alias("item_no"), "support", _size_class(F.col("support")).alias("class")))
+    supports = held.groupBy("item").agg(F.count("*").alias("support")).withColumn("class", _size_class(F.col("support"), ITEM_STEPS))
+    number = F.shiftleft(F.col("class"), CLASS_BITS) + F.monotonically_increasing_id() % F.lit(1 << CLASS_BITS)
+    catalog = cut(supports.select("item", number.alias("item_no"), "support", "class"))
     frequencies = catalog.groupBy("class").agg(F.avg("support").alias("value"), F.count("*").alias("n")).orderBy("class").toPandas()  # bounded by _size_class
     per_record = held.groupBy("record").agg(F.count("*").alias("size"))
-    sizes = per_record.groupBy(_size_class(F.col("size")).alias("class")).agg(F.avg("size").alias("value"), F.count("*").alias("n")).orderBy("class").toPandas()
+    sizes = per_record.groupBy(_size_class(F.col("size"), RECORD_STEPS).alias("class")).agg(F.avg("size").alias("value"), F.count("*").alias("n")).orderBy("class").toPandas()
     x, y, weight = fit_null(sizes, frequencies) if len(sizes) else (np.zeros(1), np.zeros(0), np.zeros(1))
-    common = held.join(catalog.where(F.col("support") >= min_records).select("item", "item_no"), "item").select("record", F.col("item_no").alias("item"))
+    common = spread_join(held, catalog.where(F.col("support") >= min_records).select("item", "item_no"), ["item"]).select("record", F.col("item_no").alias("item"))
     large = common.groupBy("record").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     sized = common.join(large, "record", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     counted = _pair_counts(sized).where(F.col("n_both") >= min_records)
-    side = lambda s: catalog.select(F.col("item_no").alias(s), F.col("item").alias(f"item_{s}"), F.col("support").alias(f"n_{s}"), F.col("class").alias(f"class_{s}"))
-    named = counted.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
-    turned = F.col("item_a") > F.col("item_b")
-    both = [F.when(turned, F.col(f"{c}_{q}")).otherwise(F.col(f"{c}_{p}")).alias(f"{c}_{p}") for c in ("item", "n") for p, q in ("ab", "ba")]
-    pairs = cut(named.select(*both, "n_both", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")))
+    # the numbers tell the classes, so names and supports are joined last
+    classes = [F.shiftright(F.col(c), CLASS_BITS) for c in "ab"]
+    pairs = cut(counted.select("a", "b", "n_both", F.least(*classes).alias("class_a"), F.greatest(*classes).alias("class_b")))
     keys = ["class_a", "class_b", "n_both"]
     kinds = pairs.groupBy(*keys).agg(F.count("*").alias("n"))
     n_items = int(frequencies["n"].sum())
     by_class = dict(zip(frequencies["class"].tolist(), y.tolist()))
-    tested = adjusted(kinds.repartition(*keys).mapInPandas(_tails(x, by_class, weight), "class_a long, class_b long, n_both long, n long, expected double, p_value double"), keys, n_items * (n_items - 1) // 2 if all_pairs else None)
-    spread = tested.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("item_a", "item_b"), F.lit(SALTS)).cast("int"))
+    scored = kinds.repartition(partitions(kinds), *keys).mapInPandas(_tails(x, by_class, weight), "class_a long, class_b long, n_both long, n long, expected double, p_value double")
+    tested = adjusted(scored, keys, n_items * (n_items - 1) // 2).drop("n")
+    side = lambda s: catalog.select(F.col("item_no").alias(s), F.col("item").alias(f"item_{s}"), F.col("support").alias(f"n_{s}"))
+    out = spread_join(pairs, tested, keys).select("a", "b", "n_both", "expected", "p_value", "q_value")
+    out = spread_join(spread_join(out, side("a"), ["a"], counted_on=pairs), side("b"), ["b"], counted_on=pairs)
+    turned = F.col("item_a") > F.col("item_b")
+    both = [F.when(turned, F.col(f"{c}_{q}")).otherwise(F.col(f"{c}_{p}")).alias(f"{c}_{p}") for c in ("item", "n") for p, q in ("ab", "ba")]
     lift = F.col("n_both") * F.lit(float(record_count)) / (F.col("n_a").cast("double") * F.col("n_b"))
-    return salted.join(spread, [*keys, "salt"]).select("item_a", "item_b", "n_a", "n_b", "n_both", lift.alias("lift"), "expected", "p_value", "q_value")
+    return out.select(*both, "n_both", lift.alias("lift"), "expected", "p_value", "q_value")

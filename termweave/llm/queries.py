@@ -12,14 +12,20 @@ from termweave.session import table
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every two items that the same genes carry, with counts and surprise."""
-    return pairs.cooccurrence(genes.basket_items(spark, folder), genes.gene_count(spark, folder), all_pairs=True)
+    return pairs.cooccurrence(genes.basket_items(spark, folder), genes.gene_count(spark, folder))
+
+
+def p1_surprising(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs met more often than chance allows, at a false discovery rate of one in a hundred over all pairs."""
+    rows = p1_pairs(spark, folder).where("q_value <= 0.01 AND n_both > expected")
+    return rows.select("item_a", "item_b", "n_both", F.round("expected", 6).alias("expected"), F.round(-F.log10(F.greatest("p_value", F.lit(1e-300))), 6).alias("log_p"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs in at least 5 and a 2,000th of all genes, at least four times as often as by their frequencies."""
     n = genes.gene_count(spark, folder)
-    rows = pairs.cooccurrence(genes.basket_items(spark, folder), n, max(5, -(-n // 2000)), all_pairs=True)
-    return rows.where(f"q_value <= 1 AND n_both * {n} >= 4 * n_a * n_b").select("item_a", "item_b")
+    rows = pairs.cooccurrence(genes.basket_items(spark, folder), n, max(5, -(-n // 2000)))
+    return rows.where(f"n_both * {n} >= 4 * n_a * n_b").select("item_a", "item_b")
 
 
 #: Similarity of p2: 7/10 or more between sets of four or more values.
@@ -153,4 +159,4 @@ SELECT gene_a AS class_a, gene_b AS class_b, overlap, n_values FROM alike_ JOIN
     "p6_roundtrip": "SELECT doc_id, TRUE AS exact FROM documents",
     "p5_found": f"WITH {TOP} SELECT set_name, label FROM placed_ WHERE position <= 5",
 }
-QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found, p6_ids, p6_roundtrip, p7_quotations, p7_found, p8_found, p8_messages)}
+QUERIES = {f.__name__: f for f in (p1_pairs, p1_surprising, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found, p6_ids, p6_roundtrip, p7_quotations, p7_found, p8_found, p8_messages)}

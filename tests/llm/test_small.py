@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from termweave.operators import spread
 from termweave.llm import encode, frequency, leaks, pairs, residue, similar, topn
 
 
@@ -66,8 +67,36 @@ def test_tails_follow_the_exact_distribution():
         assert math.isclose(tail[0], exact, rel_tol=0.06, abs_tol=1e-12), (k, tail[0], exact)
 
 
+def log_binomial_tail(n, p, k):
+    """ln P(X >= k), summed from the greatest term."""
+    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, k + 400)]
+    return max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+
+
+@pytest.mark.parametrize("p,k", [(1e-6, 12), (1e-5, 50), (1e-4, 205), (1e-3, 1320), (1e-6, 22), (3e-7, 5)])
+def test_tails_of_a_million_records(p, k):
+    wanted = log_binomial_tail(10**6, p, k)
+    mean, tail = pairs.upper_tails(np.array([[p, 0.0]]), np.array([1e6, 5.0]), np.array([float(k)]))
+    assert math.isclose(mean[0], 1e6 * p, rel_tol=1e-9) and abs(math.log(tail[0]) - wanted) < 0.06, (math.log10(tail[0]), wanted / math.log(10))
+
+
+def test_error_of_classes_above_the_exact_ones():
+    """Frequencies that share a class: how far ln p is off for pairs nine standard deviations above their expected count."""
+    records, worst = 10**6, 0.0
+    for f in (520, 700, 1500, 6000, 40_000):
+        low = 512 * math.exp(math.floor(math.log(f / 512) * pairs.ITEM_STEPS) / pairs.ITEM_STEPS)
+        middle = low * math.exp(1 / pairs.ITEM_STEPS / 2)
+        for a in (low, middle, low * math.exp(1 / pairs.ITEM_STEPS)):
+            count = math.ceil(middle**2 / records + 9 * middle / records**0.5 + 5)
+            tails = [pairs.upper_tails(np.array([[x * x / records**2]]), np.array([float(records)]), np.array([count]))[1][0] for x in (a, middle)]
+            worst = max(worst, abs(math.log(tails[0]) / math.log(tails[1]) - 1))
+    print("worst", worst)
+    assert worst < 0.04
+
+
 def test_pair_counts_null_and_rates(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK", 6)
+    monkeypatch.setattr(spread, "HOT_ROWS", 30)
     pick = random.Random(4)
     baskets = {f"r{i}": {f"i{int(abs(pick.gauss(0, 5)))}" for _ in range(pick.choice([0, 1, 3, 30]))} | ({"x", "y"} if i % 9 == 0 else set()) for i in range(120)}
     rows = [(r, i) for r, items in baskets.items() for i in items]
@@ -80,11 +109,9 @@ def test_pair_counts_null_and_rates(spark, monkeypatch):
     assert {(r.item_a, r.item_b): r.n_both for r in out} == wanted
     single = {i: sum(i in s for s in baskets.values()) for i in {i for s in baskets.values() for i in s}}
     assert all(r.n_a == single[r.item_a] and r.n_b == single[r.item_b] and math.isclose(r.lift, r.n_both * 120 / (r.n_a * r.n_b)) for r in out)
-    ps = sorted(r.p_value for r in out)
+    ps, total = sorted(r.p_value for r in out), len(single) * (len(single) - 1) // 2
     for r in out:
-        rank = sum(p <= r.p_value for p in ps)
-        assert r.q_value <= min(1, r.p_value * len(ps) / rank) + 1e-12
-        assert math.isclose(r.q_value, min(1, min(p * len(ps) / sum(x <= p for x in ps) for p in ps if p >= r.p_value)), rel_tol=1e-9)
+        assert math.isclose(r.q_value, min(1, min(p * total / sum(x <= p for x in ps) for p in ps if p >= r.p_value)), rel_tol=1e-9)
     assert min(out, key=lambda r: r.p_value)[:2] == ("x", "y")
     some = {(r.item_a, r.item_b): r.n_both for r in pairs.cooccurrence(frame, 120, 5).collect()}
     assert some == {k: n for k, n in wanted.items() if n >= 5}
@@ -131,17 +158,18 @@ def test_similar_sets(spark, monkeypatch):
 
 
 def test_encoding_joins_anywhere(spark, monkeypatch):
-    plain = encode.encoding(f"{encode.FOLDER}/{encode.VOCABULARY}").encode_ordinary
+    coder = encode.coder(f"{encode.FOLDER}/{encode.VOCABULARY}")
+    plain = coder.encode
     pick = random.Random(6)
-    letters = " \n\t'sabtreé字1 2 .,! 　\x1c\x85'll're"
-    for leaf in (1, 3, 8):
+    alphabets = [" \n\t'sabtreé字1 2 .,! \u3000\x1c\x85'll're", "abcdefghijklmnopqrstuvwxyz", "etaoin", "字語漢春天的早晨", "01", "!'s", " \n", "😀é", "a'ls1"]
+    for leaf in (1, 3, 8, 40):
         monkeypatch.setattr(encode, "LEAF", leaf)
-        for _ in range(300):
-            text = "".join(pick.choice(letters) for _ in range(pick.randint(0, 120)))
-            assert encode.encoded(plain, text) == plain(text), (leaf, text)
+        for n in range(400):
+            text = "".join(pick.choice(alphabets[n % len(alphabets)]) for _ in range(pick.randint(0, 300)))
+            assert coder.encoded(text) == plain(text), (leaf, text)
             cuts = sorted(pick.sample(range(len(text) + 1), min(3, len(text))))
             parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-            assert encode.reduced(plain, [(p, plain(p)) for p in parts if p]) == plain(text)
+            assert coder.reduced([plain(p) for p in parts if p]) == plain(text)
     monkeypatch.setattr(encode, "SEGMENT", 50)
     texts = [None, "", " ", "short <|endoftext|> text", "don't stop " * 60, "x" * 130, "short <|endoftext|> text"]
     frame = extra(spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string"))
@@ -151,6 +179,20 @@ def test_encoding_joins_anywhere(spark, monkeypatch):
     assert {r.doc_id: r.text for r in back.collect()} == {1: "Ünï 字", 2: "", 3: ""}
 
 
+def test_windows_stay_small_in_a_text_without_blanks():
+    coder = encode.coder(f"{encode.FOLDER}/{encode.VOCABULARY}")
+    pick = random.Random(10)
+    text = "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    wanted = coder.encode(text)
+    done = []
+    plain, coder.encode = coder.encode, lambda t: done.append(len(t)) or plain(t)
+    try:
+        assert coder.encoded(text) == wanted
+    finally:
+        coder.encode = plain
+    assert sum(done) < 1.2 * len(text)
+
+
 ITEM = "Late in autumn, Kekartbias sketched 822 gendpeonddoils using wooden spoons, because Staendiarqua produces some 443 queondhiaglurors for Panddrialsund."
 HEAD = "\n\n{}\n00:00:{:02d},100 --> 00:00:{:02d},900\n"
 
