@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts that the counter of one term is spread over.
-SALTS = 16
+from termweave.operators.spread import partitions
+
+#: Tokens that a task counts; the numbers of partitions and of parts of one term's counter follow from it.
+TASK_TOKENS = 1_000_000
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,17 +63,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["field_name", "term", "occurrences", "records"])
 
 
-def term_frequency(tokens: DataFrame, salts: int = SALTS) -> DataFrame:
+def term_frequency(tokens: DataFrame) -> DataFrame:
     """(field_name, term, occurrences, records) of tokens (field_name, record, term), all STRING.
 
     Rows with a null in any of the three are left out; the empty string is a term like any other; other
-    columns play no part. No tokens give no rows.
+    columns play no part. No tokens give no rows. The tokens are counted first: a task gets about TASK_TOKENS,
+    also of a term that holds a third of all.
     """
     named = tokens.select("field_name", "term", "record").dropna()
+    shares = -(-named.count() // TASK_TOKENS)
     combined = named.mapInArrow(_combine, "field_name string, term string, record string, n long")
-    salted = combined.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = salted.repartition(parts, "field_name", "term", "salt").select("field_name", "term", "record", "n").sortWithinPartitions("record")
+    salted = combined.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(max(shares, 1))))
+    ordered = salted.repartition(max(partitions(tokens), 2 * shares), "field_name", "term", "salt").select("field_name", "term", "record", "n").sortWithinPartitions("record")
     counted = ordered.mapInArrow(_count, "field_name string, term string, occurrences long, records long")
     return counted.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 

@@ -15,6 +15,11 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.cooccurrence(genes.basket_items(spark, folder), genes.gene_count(spark, folder))
 
 
+def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two items that the same genes carry, with their counts and how often they meet against the two frequencies."""
+    return p1_pairs(spark, folder).select("item_a", "item_b", "n_a", "n_b", "n_both", F.round("lift", 6).alias("lift"))
+
+
 def p1_surprising(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs met more often than chance allows, at a false discovery rate of one in a hundred over all pairs."""
     rows = p1_pairs(spark, folder).where("q_value <= 0.01 AND n_both > expected")
@@ -148,6 +153,9 @@ frequent_ AS (SELECT i.* FROM items_ i JOIN single_ s USING (item), all_ WHERE s
 both_ AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_both FROM frequent_ a JOIN frequent_ b ON a.gene = b.gene AND a.item < b.item GROUP BY ALL)
 SELECT item_a, item_b FROM both_ JOIN single_ x ON x.item = item_a JOIN single_ y ON y.item = item_b, all_
 WHERE n_both >= 5 AND 2000 * n_both >= all_.n AND n_both * all_.n >= 4 * x.n * y.n""",
+    "p1_counts": f"""WITH {GENES}, {ITEMS},
+met_ AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_both FROM items_ a JOIN items_ b ON a.gene = b.gene AND a.item < b.item GROUP BY ALL)
+SELECT item_a, item_b, x.n AS n_a, y.n AS n_b, n_both, round(n_both * all_.n / (x.n * y.n), 6) AS lift FROM met_ JOIN single_ x ON x.item = item_a JOIN single_ y ON y.item = item_b, all_""",
     "p2_found": f"WITH {GENES}, {SETS} SELECT gene_a, gene_b FROM alike_",
     "p2_classes": f"""WITH {GENES}, {SETS}, ends_ AS (SELECT gene_a AS gene FROM alike_ UNION ALL SELECT gene_b FROM alike_)
 SELECT s.gene, class_id, class_size, (SELECT count(*) FROM ends_ e WHERE e.gene = s.gene) AS n_links FROM sets_ s JOIN classes_ USING (content)""",
@@ -159,4 +167,4 @@ SELECT gene_a AS class_a, gene_b AS class_b, overlap, n_values FROM alike_ JOIN
     "p6_roundtrip": "SELECT doc_id, TRUE AS exact FROM documents",
     "p5_found": f"WITH {TOP} SELECT set_name, label FROM placed_ WHERE position <= 5",
 }
-QUERIES = {f.__name__: f for f in (p1_pairs, p1_surprising, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found, p6_ids, p6_roundtrip, p7_quotations, p7_found, p8_found, p8_messages)}
+QUERIES = {f.__name__: f for f in (p1_pairs, p1_counts, p1_surprising, p1_found, p2_pairs, p2_classes, p2_found, p3_terms, p3_found, p5_top, p5_found, p6_ids, p6_roundtrip, p7_quotations, p7_found, p8_found, p8_messages)}

@@ -9,7 +9,8 @@ s - o(s, t) + 1 values are listed, since one of them must be shared, and the pla
 in both bound the overlap that is still possible. Both lots of pairs are put together and filtered by
 the exact overlap.
 
-Records with the same set are one class throughout; pairs are between classes.
+Records with the same set are one class throughout; pairs are between classes. Values, lists and classes that
+hold a large share of the rows are met by several tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.operators.spread import spread_join
 from termweave.session import cut
 
 #: A set is small if it has at most so many subsets to enumerate.
@@ -117,12 +119,13 @@ def set_classes(rows: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     """
     held = cut(rows.select("record", "value").dropna().distinct())
     values = cut(held.groupBy("value").agg(F.count("*").alias("n")).select("value", F.monotonically_increasing_id().alias("value_no"), "n"))
-    numbered = held.join(values, "value").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("n", "value_no"))).alias("items"))
+    numbered = spread_join(held, values, ["value"]).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("n", "value_no"))).alias("items"))
     sets = numbered.where(F.size("items") >= min_size).select("record", F.transform("items", lambda x: x["value_no"]).alias("items"))
     sets = cut(sets.withColumn("digest", F.sha2(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), 256)))
     classes = sets.groupBy("digest").agg(F.min("record").alias("class_id"), F.first("items").alias("items"), F.count("*").alias("n_records"))
     classes = cut(classes.select("digest", F.monotonically_increasing_id().alias("class_no"), "class_id", "items", F.size("items").alias("size"), "n_records"))
-    return sets.select("record", "digest").join(classes.select("digest", "class_no"), "digest").select("record", "class_no"), classes.drop("digest")
+    members = cut(spread_join(sets.select("record", "digest"), classes.select("digest", "class_no"), ["digest"]).select("record", "class_no"))
+    return members, classes.drop("digest")
 
 
 def similar_classes(classes: DataFrame, num: int, den: int, min_size: int) -> DataFrame:
@@ -136,13 +139,15 @@ def similar_classes(classes: DataFrame, num: int, den: int, min_size: int) -> Da
     keys = lambda smaller, name: small.mapInArrow(_subset_keys(sizes, smaller), f"key long, {name} long")
     met = keys(True, "class_a").join(keys(False, "class_b"), "key").select("class_a", "class_b")
     lists = lambda smaller, name: rows.mapInArrow(_listed(sizes, smaller), f"value long, lo int, hi int, {name}_place int, {name} long")
-    scanned = lists(True, "class_a").join(lists(False, "class_b"), ["value", "lo", "hi"])
+    # a value in the lists of a large share of all sets is met by several tasks
+    scanned = spread_join(lists(True, "class_a"), lists(False, "class_b"), ["value", "lo", "hi"])
     needed = F.ceil(F.lit(num) * (F.col("lo") + F.col("hi")) / F.lit(num + den))
     possible = F.least("class_a_place", "class_b_place") + 1 + F.least(F.col("lo") - F.col("class_a_place"), F.col("hi") - F.col("class_b_place")) - 1
     scanned = scanned.where(possible >= needed).select("class_a", "class_b")
     candidates = met.unionByName(scanned).where("class_a <> class_b").select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct()
     side = lambda s: classes.select(F.col("class_no").alias(f"class_{s}"), F.col("items").alias(f"items_{s}"))
-    both = candidates.join(side("a"), "class_a").join(side("b"), "class_b").withColumn("overlap", F.size(F.array_intersect("items_a", "items_b")))
+    candidates = cut(candidates)
+    both = spread_join(spread_join(candidates, side("a"), ["class_a"]), side("b"), ["class_b"], counted_on=candidates).withColumn("overlap", F.size(F.array_intersect("items_a", "items_b")))
     both = both.withColumn("n_values", F.size("items_a") + F.size("items_b") - F.col("overlap"))
     return both.where(F.lit(den) * F.col("overlap") >= F.lit(num) * F.col("n_values")).select("class_a", "class_b", "overlap", "n_values")
 
@@ -150,8 +155,9 @@ def similar_classes(classes: DataFrame, num: int, den: int, min_size: int) -> Da
 def record_pairs(members: DataFrame, linked: DataFrame) -> DataFrame:
     """(record_a, record_b), record_a < record_b by code point: the pairs of classes and copies expanded."""
     side = lambda s: members.select(F.col("class_no").alias(f"class_{s}"), F.col("record").alias(f"record_{s}"))
-    across = linked.select("class_a", "class_b").join(side("a"), "class_a").join(side("b"), "class_b")
-    copies = side("a").join(side("b"), F.col("class_a") == F.col("class_b")).where("record_a < record_b")
+    across = spread_join(spread_join(linked.select("class_a", "class_b"), side("a"), ["class_a"]), side("b"), ["class_b"], counted_on=linked)
+    same = [members.select("class_no", F.col("record").alias(f"record_{s}")) for s in "ab"]
+    copies = spread_join(*same, ["class_no"]).where("record_a < record_b")
     pairs = across.select("record_a", "record_b").unionByName(copies.select("record_a", "record_b"))
     return pairs.select(F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b"))
 
@@ -162,4 +168,4 @@ def class_links(members: DataFrame, classes: DataFrame, linked: DataFrame) -> Da
     ways = linked.select(F.col("class_a").alias("class_no"), F.col("class_b").alias("to")).unionByName(linked.select(F.col("class_b").alias("class_no"), F.col("class_a").alias("to")))
     links = ways.join(sized.select(F.col("class_no").alias("to"), "n_records"), "to").groupBy("class_no").agg(F.sum("n_records").alias("others"))
     rows = sized.join(links, "class_no", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("n_records") - 1)
-    return members.join(rows, "class_no").select("record", "class_id", F.col("n_records").alias("class_size"), "n_links")
+    return spread_join(members, rows, ["class_no"]).select("record", "class_id", F.col("n_records").alias("class_size"), "n_links")

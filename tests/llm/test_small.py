@@ -32,7 +32,8 @@ def test_top_n_with_ties_nulls_and_a_large_group(spark):
     assert topn.top_n(frame.where("false"), 5).count() == 0
 
 
-def test_term_frequency(spark):
+def test_term_frequency(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "TASK_TOKENS", 700)
     pick = random.Random(2)
     rows = [(pick.choice("fg"), f"r{pick.randint(0, 30)}", pick.choice(["hot"] * 5 + ["", "a", "b", "ä"])) for _ in range(4000)]
     wanted = {}
@@ -134,6 +135,7 @@ def test_rates_of_p1_are_over_all_pairs(spark, tmp_path):
 
 def test_similar_sets(spark, monkeypatch):
     monkeypatch.setattr(similar, "MAX_SUBSETS", 20)
+    monkeypatch.setattr(spread, "HOT_ROWS", 25)
     pick = random.Random(5)
     base = [[f"v{pick.randint(0, 60)}" for _ in range(pick.randint(2, 14))] for _ in range(40)]
     sets = {}
