@@ -173,6 +173,20 @@ def parent_edges(terms: DataFrame, node: Column, parents: Column) -> tuple[DataF
     return nodes, known.select("src", "dst", F.lit(1).cast("long").alias("dist"))
 
 
+def path_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, root): the edges of all paths to each root. A node's paths to a root are the ways along its rows of that root.
+
+    This holds every path of a node with several parents, of which there may be exponentially many, in a row per
+    edge and root; ``hierarchy`` writes out one of them. Edges that lead only to loops have no rows.
+    """
+    has_parent = edges.select(F.col("src").alias("node")).distinct()
+    roots = cut(nodes.join(has_parent, "node", "left_anti").select(F.col("node").alias("root")))
+    pairs = closure(edges)
+    led = spread_join(pairs.select("src", F.col("dst").alias("root")), roots, ["root"], "left_semi")
+    led = led.unionByName(roots.select(F.col("root").alias("src"), "root"))
+    return spread_join(edges.select("src", "dst"), led.select(F.col("src").alias("dst"), "root"), ["dst"]).select("src", "dst", "root")
+
+
 def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per node: depth, path, roots, numbers of ancestors and descendants, on_loop.
 

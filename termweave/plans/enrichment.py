@@ -94,11 +94,11 @@ def normalise_ids(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "gene").select("row_no", entity_id(F.col("id")).alias("gene"))
 
 
-def read_id_list(spark: SparkSession, folder: str) -> DataFrame:
+def recognised_members(spark: SparkSession, folder: str) -> DataFrame:
     return sets(spark, folder).select("set_id", "pos", "entity_id")
 
 
-def read_sets(spark: SparkSession, folder: str) -> DataFrame:
+def set_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sets(spark, folder).groupBy("set_id").agg(F.count("*").alias("n_ids"), F.min("entity_id").alias("first_id"))
 
 
@@ -206,7 +206,9 @@ def bh_fdr(spark: SparkSession, folder: str) -> DataFrame:
 
 def _enriched(layers: tuple[str, ...], spark: SparkSession, folder: str) -> DataFrame:
     rows = E.enrich(cut(index(spark, folder, layers)), sets(spark, folder), background(spark, folder), LIMITS)
-    return rounded(rows).select("set_id", "concept", "layer", "label", "k_study", "n_study", "k_bg", "n_bg", "fold", "p_value", "tested", "fdr", "status")
+    # places of rows without a status depend on the last digits of p values near 1
+    rows = rounded(rows.withColumn("place", F.when(F.col("status") != "", F.col("rank"))))
+    return rows.select("set_id", "concept", "layer", "label", "k_study", "n_study", "k_bg", "n_bg", "fold", "p_value", "tested", "fdr", "status", "place")
 
 
 def significant(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,7 +264,7 @@ def legacy_mc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    normalise_ids, read_id_list, read_sets, clean_text, split_names, lemma, merge_records, text_fields, concepts_word, word_df, bigram_df,
+    normalise_ids, recognised_members, set_sizes, clean_text, split_names, lemma, merge_records, text_fields, concepts_word, word_df, bigram_df,
     phrases_npmi, concepts_phrase, concepts_keyword, concepts_ontology, concept_index, concept_df, onto_resolve, onto_ancestors, universe,
     missing_entities, hypergeom, bh_fdr, significant, top_concepts, merge_groups, display_phrase, overlap_pairs, compare_top, compare_grid,
     legacy_freq, legacy_mc,

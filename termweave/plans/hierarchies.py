@@ -27,6 +27,13 @@ def p4_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("path", F.array_join("path", ">")).withColumn("roots", F.array_join("roots", ","))
 
 
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every link of every path: a term, a parent and a root that the parent is or leads to."""
+    nodes, edges = ontology_graph(spark, folder)
+    links = H.path_links(nodes, edges)
+    return links.select(F.col("src").alias("id"), F.col("dst").alias("parent_id"), F.col("root").alias("root_id"))
+
+
 GRAPH = """
 rows_ AS (SELECT upper(trim(id, ' ')) AS id, parents FROM ontology WHERE trim(id, ' ') <> ''),
 nodes_ AS (SELECT DISTINCT id FROM rows_),
@@ -47,5 +54,9 @@ SELECT n.id, d.depth, p.path,
  (SELECT count(*) FROM reach_ r WHERE r.ancestor_id = n.id) AS n_descendants,
  EXISTS (SELECT 1 FROM reach_ r WHERE r.id = n.id AND r.ancestor_id = n.id) AS on_loop
 FROM nodes_ n LEFT JOIN depths_ d ON d.id = n.id LEFT JOIN paths_ p ON p.id = n.id""",
+    "p4_links": f"""WITH RECURSIVE {GRAPH},
+roots_ AS (SELECT id FROM nodes_ WHERE id NOT IN (SELECT id FROM edges_)),
+led_ AS (SELECT id, ancestor_id AS root_id FROM reach_ WHERE ancestor_id IN (SELECT id FROM roots_) UNION SELECT id, id FROM roots_)
+SELECT e.id, e.parent AS parent_id, l.root_id FROM edges_ e JOIN led_ l ON l.id = e.parent""",
 }
-QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy}
+QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_links": p4_links}

@@ -160,7 +160,8 @@ leads_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER
 
 
 EVERY = described('word phrase keyword')
-ROUNDED = f"set_id, concept, layer, label, k_study, n_study, k_bg, n_bg, round(fold, 6) AS fold, {log('p_value')} AS p_value, tested, {log('fdr')} AS fdr, status"
+ROUNDED = f"""set_id, concept, layer, label, k_study, n_study, k_bg, n_bg, round(fold, 6) AS fold, {log('p_value')} AS p_value, tested, {log('fdr')} AS fdr, status,
+ CASE WHEN status <> '' THEN row_number() OVER (PARTITION BY set_id ORDER BY results_.fdr, results_.p_value, k_study DESC, layer, concept) END AS place"""
 PUNCTUATION = "[^\\w\\s\u0080-\U0010ffff]|_"
 LEGACY = rf""",
 corpus_ AS (SELECT entity_id, text FROM texts_ WHERE field_name <> 'go_names'),
@@ -168,8 +169,8 @@ legacy_ AS (SELECT entity_id, word, count(*) AS n FROM (SELECT entity_id, unnest
  WHERE length(word) >= 3 AND word NOT IN {listed(X.ENGLISH_STOP_WORDS.split())} GROUP BY ALL)"""
 ORACLE = {
     "normalise_ids": "SELECT row_no, nullif(upper(split_part(trim(id, ' '), '.', 1)), '') AS gene FROM gene",
-    "read_id_list": f"{PRELUDE} SELECT set_id, pos, entity_id FROM sets_",
-    "read_sets": f"{PRELUDE} SELECT set_id, count(*) AS n_ids, min(entity_id) AS first_id FROM sets_ GROUP BY 1",
+    "recognised_members": f"{PRELUDE} SELECT set_id, pos, entity_id FROM sets_",
+    "set_sizes": f"{PRELUDE} SELECT set_id, count(*) AS n_ids, min(entity_id) AS first_id FROM sets_ GROUP BY 1",
     "clean_text": f"SELECT row_no, {cleaned('function_text')} AS cleaned FROM gene",
     "split_names": "SELECT row_no, coalesce(array_to_string(list_filter(list_transform(list_filter(protein_names, lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')), lambda x: NOT starts_with(x, 'EC ')), '|'), '') AS parts FROM gene",
     "lemma": f"SELECT word, {lemma('word')} AS lemma, {stem('word')} AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(function_text), '[a-z]+')) AS word FROM gene)",

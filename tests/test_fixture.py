@@ -162,7 +162,9 @@ def test_command_line_from_sources_to_outputs(spark, source_folder, tmp_path, mo
         cli.main(["run", str(told), *common, "-o", f"{out}/run", "--formats", "pdf"])
 
 
-def test_merge_of_pieces(spark):
+@pytest.mark.parametrize("at_once", [10_000, 1])
+def test_merge_of_pieces(spark, monkeypatch, at_once):
+    monkeypatch.setattr(records, "ENTITY_ROWS", at_once)
     rows = [
         (3, "g1", "-", ["b", "a"], None, "last", ["P (x)"], "Binds. Binds more.", ["k2"], None, ["go:2"], False),
         (1, " G1.1", "S1", ["a", None, "-"], ["n"], "first", None, "Binds.", ["k1", ""], [], [" GO:1"], False),

@@ -61,3 +61,5 @@ def test_hierarchy_names_loops_and_paths(spark):
     assert rows["Z"].path == ["R", "A", "C", "Z"] and not rows["Z"].on_loop
     assert rows["X"].on_loop and rows["X"].depth is None and rows["X"].path is None and rows["X"].roots == []
     assert rows["R"].n_descendants == 4 and rows["R"].depth == 0 and rows["Z"].n_ancestors == 6
+    links = {(r.src, r.dst, r.root) for r in H.path_links(nodes, edges).collect()}
+    assert links == {("A", "R", "R"), ("B", "A", "R"), ("C", "B", "R"), ("C", "A", "R"), ("Z", "C", "R")}
