@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termweave.session import cut
 
 #: Rows of one key that a task takes; a key with more is spread over several.
-HOT_ROWS = 250_000
+HOT_ROWS = 1_000_000
 #: At most so many keys are spread: a key must hold more than a HOT_KEYS-th of all rows, too.
 HOT_KEYS = 10_000
 
@@ -24,12 +24,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """``left`` joined with ``right`` on ``keys``, where one key may hold any share of the rows of ``left``.
 
     A key with more than HOT_ROWS rows on the left is dealt to one task per HOT_ROWS rows, by a hash of the
-    row, and its rows on the right go to each of these. The hot keys are counted first, so ``left`` is best a table
-    or a cheap plan; there are at most HOT_KEYS of them, and they are what is broadcast. how: 'inner',
+    row, and its rows on the right go to each of these. The hot keys are counted first, unless all rows are no more than
+    that, so ``left`` is best a table or a cheap plan; there are at most HOT_KEYS of them, and they are what is broadcast. how: 'inner',
     'left', 'left_semi' or 'left_anti'. Null keys match nothing. counted_on: a cheaper frame with about as many rows of each key.
     """
-    keys = list(keys)
-    counts = (left if counted_on is None else counted_on).groupBy(*keys).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > HOT_ROWS)
+    keys, counted = list(keys), left if counted_on is None else counted_on
+    if counted.count() <= HOT_ROWS:
+        return left.join(right, keys, how)
+    counts = counted.groupBy(*keys).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > HOT_ROWS)
     hot = counts.orderBy(F.col("n_of_key").desc()).limit(HOT_KEYS).collect()
     if not hot:
         return left.join(right, keys, how)
