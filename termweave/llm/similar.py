@@ -140,7 +140,7 @@ def similar_classes(classes: DataFrame, num: int, den: int, min_size: int) -> Da
     met = keys(True, "class_a").join(keys(False, "class_b"), "key").select("class_a", "class_b")
     lists = lambda smaller, name: rows.mapInArrow(_listed(sizes, smaller), f"value long, lo int, hi int, {name}_place int, {name} long")
     # a value in the lists of a large share of all sets is met by several tasks
-    scanned = spread_join(lists(True, "class_a"), lists(False, "class_b"), ["value", "lo", "hi"])
+    scanned = spread_join(cut(lists(True, "class_a")), lists(False, "class_b"), ["value", "lo", "hi"])
     needed = F.ceil(F.lit(num) * (F.col("lo") + F.col("hi")) / F.lit(num + den))
     possible = F.least("class_a_place", "class_b_place") + 1 + F.least(F.col("lo") - F.col("class_a_place"), F.col("hi") - F.col("class_b_place")) - 1
     scanned = scanned.where(possible >= needed).select("class_a", "class_b")
