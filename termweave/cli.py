@@ -5,14 +5,13 @@ from __future__ import annotations
 import argparse
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from termweave import __version__
-from termweave.functions.ids import term_id
-from termweave.operators import compare, concepts, enrich, hierarchy, montecarlo, redundancy
-from termweave.render import page, svg, tables
-from termweave.session import cut
+from termweave.engine import Engine
+from termweave.operators import concepts, enrich
+from termweave.render import svg, tables
 from termweave.sources import annotation
 
 FORMATS = ("tsv", "svg", "html")
@@ -49,74 +48,42 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def set_entities(study: DataFrame, records: DataFrame) -> dict[str, tuple[int, list[dict]]]:
-    """Of each set the number of its entities and the first ones, with symbol and a name, for the page."""
-    name = F.coalesce(F.get("protein_names", F.lit(0)), F.nullif("description", F.lit("")), F.lit(""))
-    named = study.join(records.select(F.col("id").alias("entity_id"), "symbol", name.alias("name")), "entity_id")
-    counts = {r["set_id"]: r["n"] for r in study.groupBy("set_id").agg(F.count("*").alias("n")).collect()}  # a row per set
-    out: dict[str, tuple[int, list[dict]]] = {name: (n, []) for name, n in counts.items()}
-    shown = svg.positions(named, "set_id", [F.col("entity_id")], "place").where(F.col("place") <= page.ENTITIES)
-    for r in shown.orderBy("set_id", "place").collect():
-        out[r["set_id"]][1].append({"id": r["entity_id"], "symbol": r["symbol"], "name": r["name"]})
-    return out
-
-
-def draw(rows: DataFrame, study: DataFrame, records: DataFrame, stems: dict[str, Path], titles: dict[str, str], args) -> None:
-    """The cloud and the page of each set."""
-    shown = svg.cloud_rows(rows, top=args.top)
-    entities = set_entities(study, records) if "html" in args.formats else {}
-    for name, stem in stems.items():
-        picture = svg.cloud_svg(shown.get(name, []), titles[name], theme=args.theme)
-        if "svg" in args.formats:
-            Path(f"{stem}.svg").write_text(picture)
-        if "html" in args.formats:
-            n, listed = entities.get(name, (0, []))
-            Path(f"{stem}.html").write_text(page.page(titles[name], picture, shown.get(name, []), listed, n))
-
-
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
-    spark, species = SparkSession.builder.appName("termweave").getOrCreate(), concepts.SPECIES[args.species]
+    spark = SparkSession.builder.appName("termweave").getOrCreate()
     if args.command == "build":
-        records, terms = annotation.build_records(spark, args.sources, species.id_pattern)
-        records.write.mode("overwrite").parquet(f"{args.out}/records")
+        records, terms = annotation.build_records(spark, args.sources, concepts.SPECIES[args.species].id_pattern)
+        records.orderBy("id").write.mode("overwrite").parquet(f"{args.out}/records")
         terms.write.mode("overwrite").parquet(f"{args.out}/terms")
         print(args.out)
         return
-    records, terms = (spark.read.parquet(f"{args.annotation}/{name}") for name in ("records", "terms"))
-    everyone = cut(enrich.recognised(annotation.read_ids(spark, args.background), species.id_pattern).select("entity_id"))
-    members = cut(enrich.recognised(annotation.read_sets(spark, args.sets) if args.command == "compare" else annotation.read_ids(spark, args.genes), species.id_pattern))
+    engine = Engine(spark, args.annotation, args.species, args.layers.split(","))
+    background, out = annotation.read_ids(spark, args.background), Path(args.out)
     if args.command == "legacy":
-        texts = concepts.text_fields(records, terms, concepts.TEXT_FIELDS[:-1])
-        tested = montecarlo.frequency_test(texts, members, everyone, args.sampling, args.seed).drop("set_id")
+        tested = engine.legacy(annotation.read_ids(spark, args.genes), background, args.sampling, args.seed).drop("set_id")
         tables.write_tsv(tested.orderBy(F.desc("significant"), F.desc("freq"), "word"), args.out)
         print(args.out)
         return
-    _, edges = hierarchy.parent_edges(terms, term_id(F.col("id")), F.transform("parents", lambda x: term_id(x)))
-    index = cut(concepts.concept_index(records, species, tuple(args.layers.split(",")), terms, hierarchy.closure(edges), terms))
     limits = enrich.Limits(args.min_genes, args.fdr, args.max_frac, args.merge, args.min_fold, args.trend_p)
-    study = cut(members.join(enrich.universe(index, everyone), "entity_id", "left_semi"))
-    rows = cut(redundancy.described(enrich.enrich(index, study, everyone, limits), index, study, records.select("id", "symbol"), limits))
-    out = Path(args.out)
     out.parent.mkdir(parents=True, exist_ok=True)
     if args.command == "compare":
-        names = [r["set_id"] for r in members.select("set_id").distinct().orderBy("set_id").limit(compare.GRID_SETS + 1).collect()]
-        grid = cut(compare.filled(compare.comparison(rows, args.per_set), names).orderBy("label", "set_id"))
+        result = engine.run(annotation.read_sets(spark, args.sets), background, limits)
         taken: set[str] = set()
-        stems = {name: Path(f"{out}_{tables.file_stem(name, taken)}") for name in names}
-        draw(rows, study, records, stems, {name: f"{args.title}: {name}" if args.title else name for name in names}, args)
+        stems = {name: f"{out}_{tables.file_stem(name, taken)}" for name in result.names}
+        result.draw(stems, {name: f"{args.title}: {name}" if args.title else name for name in stems}, args.formats, args.theme, args.top)
         if "tsv" in args.formats:
-            tables.write_tsv(rows.orderBy("set_id", "rank"), f"{out}_sets.tsv", by="set_id")
-        tables.write_tsv(grid.orderBy("label", "set_id"), f"{out}_compare.tsv")
-        Path(f"{out}_compare.svg").write_text(svg.dots_svg([r.asDict() for r in grid.orderBy("label", "set_id").collect()], args.theme))  # sets times their leading labels
-        print(f"{len(names)} sets -> {out}_*")
+            result.to_tsv(f"{out}_sets.tsv")
+        grid = result.comparison(args.per_set).orderBy("label", "set_id")
+        tables.write_tsv(grid, f"{out}_compare.tsv")
+        Path(f"{out}_compare.svg").write_text(svg.dots_svg([r.asDict() for r in grid.collect()], args.theme))  # sets times their leading labels
+        print(f"{len(stems)} sets -> {out}_*")
         return
+    result = engine.run(annotation.read_ids(spark, args.genes), background, limits)
     if "tsv" in args.formats:
-        tables.write_tsv(rows.orderBy("rank"), f"{out}.tsv")
-    draw(rows, study, records, {"list": out}, {"list": args.title or (Path(args.genes).stem if args.genes != "-" else "list")}, args)
-    n_used = study.count()
-    n_found = rows.where("status = 'significant' AND representative").count()
-    print(f"{n_found} significant concepts; {n_used} entities used, {members.count() - n_used} missing -> {out}.*")
+        result.to_tsv(f"{out}.tsv")
+    name = result.names[0]
+    result.draw({name: out}, {name: args.title or (Path(args.genes).stem if args.genes != "-" else name)}, args.formats, args.theme, args.top)
+    print(f"{result.summary()} -> {out}.*")
 
 
 if __name__ == "__main__":

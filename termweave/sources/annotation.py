@@ -1,12 +1,13 @@
 """Readers of the annotation formats: gene tables, protein tables, association files, ontologies, lists.
 
 Each gives rows in the form that operators.records merges, with row_no in file order. Files compressed with
-gzip are read as one piece each, which keeps their order.
+gzip, whatever their name, are read as one piece each, which keeps their order.
 """
 
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,36 @@ from pyspark.sql import functions as F
 from termweave.functions import text as X
 from termweave.functions.ids import entity_id
 from termweave.operators.records import merged_records, resolved_terms
+from termweave.session import shared_folder
 
 CSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8"}
 
 
+def sniffed(spark: SparkSession, path: str) -> str:
+    """The path of a file whose name tells whether it is compressed, as Spark goes by the name: the file's own, or that of a copy.
+
+    A file of gzip's first two bytes without the name, or with the name and without the bytes, is copied to the
+    shared folder under a name that fits. Folders and patterns are taken as they are.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf)
+    if not files.exists(place) or not files.getFileStatus(place).isFile():
+        return path
+    stream = files.open(place)
+    try:
+        packed = stream.read() == 0x1F and stream.read() == 0x8B
+    finally:
+        stream.close()
+    if packed == path.endswith(".gz"):
+        return path
+    copy = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/source-{uuid.uuid4().hex}{'.gz' if packed else ''}")
+    target = copy.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(files, place, target, copy, False, conf)
+    target.deleteOnExit(copy)
+    return copy.toString()
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_no", F.monotonically_increasing_id())
 
@@ -44,7 +71,7 @@ def gene_rows(table: DataFrame, pattern: str) -> DataFrame:
 
 def read_gene_table(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``gene_rows`` of a tab-separated file with a header, whose first name may begin with #."""
-    table = spark.read.csv(path, **CSV)
+    table = spark.read.csv(sniffed(spark, path), **CSV)
     return gene_rows(_numbered(table.toDF(*[c.lstrip("#") for c in table.columns])), pattern)
 
 
@@ -66,7 +93,7 @@ def protein_rows(table: DataFrame, pattern: str) -> DataFrame:
 
 def read_protein_table(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``protein_rows`` of a tab-separated file with a header."""
-    return protein_rows(_numbered(spark.read.csv(path, **CSV)), pattern)
+    return protein_rows(_numbered(spark.read.csv(sniffed(spark, path), **CSV)), pattern)
 
 
 def association_rows(lines: DataFrame, pattern: str) -> DataFrame:
@@ -84,7 +111,7 @@ def association_rows(lines: DataFrame, pattern: str) -> DataFrame:
 
 def read_associations(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``association_rows`` of a file."""
-    return association_rows(_numbered(spark.read.text(path)), pattern)
+    return association_rows(_numbered(spark.read.text(sniffed(spark, path))), pattern)
 
 
 def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +119,7 @@ def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     Only [Term] stanzas count; parents are the targets of is_a and of part_of relationships.
     """
-    stanzas = spark.read.option("lineSep", "\n\n").text(path).where(F.regexp_like("value", F.lit(r"^\s*\[Term\]")))
+    stanzas = spark.read.option("lineSep", "\n\n").text(sniffed(spark, path)).where(F.regexp_like("value", F.lit(r"^\s*\[Term\]")))
     one = lambda key: F.nullif(F.regexp_extract("value", rf"(?m)^{key}: (.*)$", 1), F.lit(""))
     every = lambda pattern: F.regexp_extract_all("value", F.lit(rf"(?m)^{pattern}"), F.lit(1))
     rows = stanzas.select(

@@ -8,7 +8,7 @@ import pytest
 from conftest import N_MOSS, moss, moss_species
 from pyspark.sql import functions as F
 
-from termweave import cli
+from termweave import Engine, cli
 from termweave.operators import compare, concepts, enrich, hierarchy, montecarlo, records, redundancy
 from termweave.session import cut
 from termweave.sources import annotation
@@ -140,6 +140,34 @@ def test_lists_and_sets_from_files_and_standard_input(spark, tmp_path, monkeypat
         assert [(r.set_id, r.entity_id) for r in rows] == [("set", "gene"), ("one", "A1"), ("two", "B2")]
 
 
+def test_compression_is_known_by_its_bytes(spark, source_folder, tmp_path):
+    import gzip
+
+    packed = Path(f"{source_folder}/annotations.gaf.gz").read_bytes()
+    (tmp_path / "packed").write_bytes(packed)
+    (tmp_path / "plain.gz").write_bytes(gzip.decompress(packed))
+    wanted = annotation.read_associations(spark, f"{source_folder}/annotations.gaf.gz", SPECIES.id_pattern).drop("row_no").collect()
+    for name in ("packed", "plain.gz"):
+        assert sorted(map(str, annotation.read_associations(spark, str(tmp_path / name), SPECIES.id_pattern).drop("row_no").collect())) == sorted(map(str, wanted))
+    assert len(wanted) == N_MOSS
+
+
+def test_engine(spark, source_folder, tmp_path):
+    rows, terms = annotation.build_records(spark, source_folder, SPECIES.id_pattern)
+    rows.write.parquet(f"{tmp_path}/records")
+    terms.write.parquet(f"{tmp_path}/terms")
+    engine = Engine(spark, str(tmp_path), SPECIES, ("word", "keyword"))
+    result = engine.run([*COPPER, "PP99G99999", "no id"], [moss(i) for i in range(N_MOSS)])
+    assert result.background_size == N_MOSS and [r.entity_id for r in result.missing.collect()] == ["PP99G99999"]
+    assert result.significant.count() == 1 and result.trend.count() == 0 and result.summary().startswith("1 significant concepts; 5 entities used, 1 missing")
+    assert {r.symbol for r in engine.symbol(result.study.select("entity_id")).collect()} == {f"CUP{i}" for i in range(5)}
+    for background in (None, "PP01G00100", [], ["nothing"]):
+        with pytest.raises(ValueError):
+            engine.run(COPPER, background)
+    with pytest.raises(ValueError):
+        Engine(spark, str(tmp_path), SPECIES, ("colour",))
+
+
 def test_command_line_from_sources_to_outputs(spark, source_folder, tmp_path, monkeypatch, capsys):
     monkeypatch.setitem(concepts.SPECIES, "moss", SPECIES)
     told, background, sets, out = (tmp_path / n for n in ("told.txt", "all.txt", "sets.csv", "out"))

@@ -25,6 +25,13 @@ def test_tail_against_exact_fractions(spark):
         assert math.isclose(r.p, exact_tail(r.k, r.n, r.m, r.t), rel_tol=1e-8, abs_tol=1e-13), r
 
 
+def test_tail_of_a_published_row(spark):
+    """Forty-four of 396 against 137 of 21,521: fold 17.454 and p 1.421e-42 are published."""
+    frame = spark.createDataFrame([(44, 396, 137, 21521)], "k long, n long, m long, t long")
+    assert math.isclose(frame.select(S.hypergeometric_tail(*[F.col(c) for c in "knmt"])).first()[0], 1.421183151909268e-42, rel_tol=1e-9)
+    assert round((44 / 396) / (137 / 21521), 3) == 17.454
+
+
 def test_tail_does_not_underflow(spark):
     frame = spark.createDataFrame([(5000, 40000, 25000, 100000)], "k long, n long, m long, t long")
     assert frame.select(S.hypergeometric_tail(*[F.col(c) for c in "knmt"])).first()[0] == 1.0
