@@ -10,7 +10,7 @@ all cues is judged once, with the number of documents and sources it recurs in.
 * pages of markup or status objects, status numbers with their names, errors that name code;
 * filler by its vocabulary;
 * notices: a technical thing and a failure or request, and no words but those of notices. Where a message recurs
-  in WIDE_DOCUMENTS documents of WIDE_SOURCES sources, one word in six may be any, as its wording is then no accident.
+  in one of WIDE_SHARE documents and in several sources, one word in six may be any, as its wording is then no accident.
 
 A sentence of dialogue that merely speaks of an error has other words too and is no match. Up to SPREAD neighbouring
 cues that have only words of notices are judged together as well.
@@ -61,7 +61,7 @@ volutpat pulvinar bibendum dignissim fringilla interdum lobortis rutrum venenati
 NOTICE_WORDS = """
 page website webpage url server servers session browser javascript script scripts scripting cookies database subtitle subtitles caption captions track player connection connections network service api login access plugin timeout timed gateway proxy host http account download downloads upload stream occurred file files exception limit quota cookie cdn token security certificate firewall router endpoint device account's username password credentials robot captcha resource resources pages maintenance request requests status encountered video videos content
 error errors failed failure unable cannot can't couldn't not unavailable expired denied forbidden disabled enable enabled activate allow turn switch required requires needs need reload refresh retry again invalid timeout timed down maintenance exceeded refused lost reset offline unauthorized unexpected unsupported support wrong busy missing removed deleted blocked unhandled uncaught undefined unreachable unresponsive gone used reached exhausted corrupt corrupted broken aborted crashed rejected forbidden maintenance install upgrade update verify bad nothing no fatal fault segmentation
-the a an this that these your you our we is are was were be been being has have had in on of to for from with by at and or but it its if then now no longer any please sorry oops try later soon back shortly while when before after only do does must will may can could should there here later minutes seconds hours moment temporarily currently permanently found exist exists available loading load loaded view see show shown display displayed continue use using watch content file files video text internal unknown fatal warning bad code status reached limit many too most requested looking out up off log sign in administrator contact support settings try's trying reason due scheduled under moved may under something went has your running run work works properly correctly first open read process processed complete completed respond responding response closed owner today document resource information refer reference id whilst again request requests permission used by today me us code ray id row line index null return back home go start click press tap here ok retry s ms sec wait waiting requests per day daily hour yet still via using every all other another address site link links visit visited page's feed key media option options preferences following correct properly order full features feature application app apps user users human prove that you're aren't isn't doesn't don't didn't hasn't won't that's there's it's we're we'll again once more over within next previous server's time times version old older outdated newer latest supported translation slow so hidden connect connecting connected establish establishing check checking accessing processing process rate country region happened happen got get
+the a an this that these your you our we is are was were be been being has have had in on of to for from with by at and or but it its if then now no longer any please sorry oops try later soon back shortly while when before after only do does must will may can could should there here later minutes seconds hours moment temporarily currently permanently found exist exists available loading load loaded view see show shown display displayed continue use using watch content file files video text internal unknown fatal warning bad code status reached limit many too most requested looking out up off log sign in administrator contact support settings try's trying reason due scheduled under moved may under something went has your running run work works properly correctly first open read process processed complete completed respond responding response closed owner today document resource information refer reference id whilst again request requests permission used by today me us code ray id row line index null return back home go start click press tap here ok retry s ms sec wait waiting requests per day daily hour yet still via using every all other another address site link links visit visited page's feed key media option options preferences following correct properly order full features feature application app apps user users human prove that you're aren't isn't doesn't don't didn't hasn't won't that's there's it's we're we'll again once more over within next previous server's time times version old older outdated newer latest supported translation slow so hidden connect connecting connected establish establishing check checking accessing processing process rate country region happened happen got get without
 página sitio servidor sesión navegador javascript script scripts cookies subtítulos subtítulo pista reproductor solicitud conexión red servicio acceso permiso cuenta base descargas descarga límite servidores cuota limite archivo fichero excepción contraseña usuario sistema mantenimiento ocurrido producido ocurrió produjo vídeo contenido
 error errores no imposible caducado caducada expirado expirada denegado denegada prohibido desactivado deshabilitado active activar activa activado habilite habilitar permita requiere necesita necesario recargue recargar actualice inténtelo intente inválido inválida disponible mantenimiento superado perdido perdida fallo falló fallido inesperado ocupado superado excedido agotado alcanzado ningún ninguna responde
 el la los las un una de del al en a su sus este esta para por con y o se ha han sido está están es son que más tarde nuevo por favor lo sentimos ver mostrar cargar cargando continuar usar contenido archivo vídeo video texto interno interna desconocido pudo puede pueden encontrado encontrada existe ocurrido producido solicitada solicitado buscada busca momento momentos minutos pronto volveremos demasiadas datos tiempo espera agotado temporalmente actualmente iniciar sesión código responde cerrado ya hoy ha han haber seguridad usted vuelva volver vuelve intentar intentarlo otra vez minutos horas servicio nos estamos trabajando red del diario diaria día para página ir inicio código ray actívelos debe deben conectar conectarse país
@@ -137,8 +137,8 @@ CODE_FAILURE = re.compile(r"\b(?:unhandled|uncaught|traceback|fatal|undefined|wa
 
 #: Neighbouring cues that are judged together at most.
 SPREAD = 6
-#: Documents and sources from which on a message recurs widely.
-WIDE_DOCUMENTS, WIDE_SOURCES = 5, 3
+#: A message recurs widely from so many documents and sources on, and if it stands in one of WIDE_SHARE documents.
+WIDE_DOCUMENTS, WIDE_SOURCES, WIDE_SHARE = 5, 3, 5000
 #: Kind of a message that is no residue by itself but may be a part of a notice.
 PART = "part"
 
@@ -155,7 +155,7 @@ MARKS = re.compile(r"[{$<%@_\[*]|\(\(\(|##")
 TAIL = re.compile(r"(?:\s*\([^()]*#[^()]*\)|\s*\[[^\[\]]*#[^\[\]]*\]|[\s.]*\b(?:ray|ref|reference|request|trace|incident)(?: id)?[ :#]+)[\s.]*$", re.I)
 # What services put before a message: an exclamation, the name of a program or header.
 LEAD = re.compile(r"^\W*(?:(?:sorry|oops|whoops|uh-oh|lo sentimos|ups|hoppla|désolé|извините|упс)\b[\s.!,:…-]*|[a-z][\w-]*(?: [a-z][\w-]*)?: )+", re.I)
-ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
+ADDRESS = re.compile(r"(?:https?://|www\.)[^\s{}<>%@]+|(?<![^\s<(])[^\s@]+@[^\s@]+\.\w+")
 NUMBER = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|(?<![^\W_])\d+(?:[-./:]\d+)*(?![^\W_])", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f\v\u00a0]+")
 # What a wrong encoding makes of a short word.
@@ -216,8 +216,8 @@ def skeleton(text: str) -> str:
 
 
 def grouped_as(message: str) -> str:
-    """The form in which messages are counted together: letters and marks alone, alike in case and misreadings, without what services put around."""
-    return re.sub(r"[^\w{}<>%$@*\[\]]|(?<![{%$])\d", "", TAIL.sub("", message).lower().translate(ALIKE)).replace("rn", "m").replace("ll", "h")
+    """The form in which messages are counted together: letters, marks and all that is not ASCII, alike in case and misreadings, without what services put around."""
+    return re.sub(r"[\x00-\x7f](?<![\w{}<>%$@*\[\]])|(?<![{%$])\d", "", TAIL.sub("", message).lower().translate(ALIKE)).replace("rn", "m").replace("ll", "h")
 
 
 def slips(word: str) -> list[str]:
@@ -471,14 +471,17 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "source", "row", "at", "message", "group", "n"])
 
 
-def _classified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rules = Rules()
-    for frame in frames:
-        kinds = []
-        for message, n, sources in zip(frame["message"], frame["n_documents"], frame["n_sources"]):
-            kind = rules.kind(message, n >= WIDE_DOCUMENTS and sources >= WIDE_SOURCES)
-            kinds.append(kind or (PART if rules.is_part(message) else None))
-        yield frame.assign(kind=kinds)[[k is not None for k in kinds]]
+def _classified(least: int):
+    def classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rules = Rules()
+        for frame in frames:
+            kinds = []
+            for message, n, sources in zip(frame["message"], frame["n_documents"], frame["n_sources"]):
+                kind = rules.kind(message, n >= least and sources >= WIDE_SOURCES)
+                kinds.append(kind or (PART if rules.is_part(message) else None))
+            yield frame.assign(kind=kinds)[[k is not None for k in kinds]]
+
+    return classify
 
 
 def _runs(parts: list[tuple[int, str]]) -> list[str]:
@@ -525,14 +528,14 @@ def candidates(documents: DataFrame) -> DataFrame:
     return cut(_hashed(rows, "group").drop("group"))
 
 
-def judged(held: DataFrame) -> DataFrame:
+def judged(held: DataFrame, document_count: int) -> DataFrame:
     """(hash_a, hash_b, message, n_documents, n_sources, kind) of the groups of messages that are residue or parts of a notice.
 
     Messages are first counted per source and then over sources, so none is gathered in one place.
     """
     per_source = held.groupBy(*HASH, "source").agg(F.sum("n").alias("n"), F.min("message").alias("message"))
     grouped = per_source.groupBy(*HASH).agg(F.min("message").alias("message"), F.sum("n").alias("n_documents"), F.count("*").alias("n_sources"))
-    return grouped.mapInPandas(_classified, "hash_a long, hash_b long, message string, n_documents long, n_sources long, kind string")
+    return grouped.mapInPandas(_classified(max(WIDE_DOCUMENTS, document_count // WIDE_SHARE)), "hash_a long, hash_b long, message string, n_documents long, n_sources long, kind string")
 
 
 def _found(held: DataFrame, groups: DataFrame) -> DataFrame:
@@ -550,7 +553,7 @@ def recurring(documents: DataFrame) -> DataFrame:
     Messages that differ only in case, misreadings or what services put around them are one, named by the least of them.
     """
     held = candidates(documents)
-    groups = cut(judged(held))
+    groups = cut(judged(held, documents.count()))
     over = _found(held, groups).where("message IS NOT NULL").groupBy("message", "kind", "source").agg(F.count("*").alias("n"))
     over = _hashed(over.groupBy("message", "kind").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_sources")), "message")
     whole = groups.where(F.col("kind") != PART)
@@ -565,4 +568,4 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     play no part.
     """
     held = candidates(documents)
-    return _found(held, judged(held)).select("doc_id").distinct()
+    return _found(held, judged(held, documents.count())).select("doc_id").distinct()

@@ -48,6 +48,8 @@ Notice: Undefined variable: title in header.php on line 7
 Segmentation fault at 0x0042
 SyntaxError: Unexpected token < in JSON at line 1
 {{user.name}}
+Presented by @@episode.no@@
+Find it at http://{{site}}/list
 ${episode_title}
 %TITLE%
 <%= subtitle %>
