@@ -52,19 +52,19 @@ def false_discovery(tests: DataFrame) -> DataFrame:
     tests = cut(tests)
     steps = tests.where("tested").groupBy("set_id", "p_value").agg(F.count("*").alias("n_equal"))
     placed = range_parts(steps, ["set_id", "p_value"])
-    per_part = placed.groupBy("set_id", "part").agg(F.sum("n_equal").alias("n_here"))
+    per_part = placed.groupBy("set_id", "part_of_range").agg(F.sum("n_equal").alias("n_here"))
     by_set = Window.partitionBy("set_id")
-    reach = per_part.withColumn("m", F.sum("n_here").over(by_set)).withColumn("n_parts", F.count("*").over(by_set)).where("n_parts > 1").select("set_id", "part", "m")
-    reach = reach.join(parts_before(per_part, "set_id", "n_here", "n_before"), ["set_id", "part"])
-    here = Window.partitionBy("set_id", "part")
+    reach = per_part.withColumn("m", F.sum("n_here").over(by_set)).withColumn("n_parts", F.count("*").over(by_set)).where("n_parts > 1").select("set_id", "part_of_range", "m")
+    reach = reach.join(parts_before(per_part, "set_id", "n_here", "n_before"), ["set_id", "part_of_range"])
+    here = Window.partitionBy("set_id", "part_of_range")
     up = here.orderBy("p_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.withColumn("rank", F.sum("n_equal").over(up)).withColumn("n_here", F.sum("n_equal").over(here)).join(F.broadcast(reach), ["set_id", "part"], "left")
+    ranked = placed.withColumn("rank", F.sum("n_equal").over(up)).withColumn("n_here", F.sum("n_equal").over(here)).join(F.broadcast(reach), ["set_id", "part_of_range"], "left")
     raw = F.col("p_value") * F.coalesce("m", "n_here") / (F.col("rank") + F.coalesce("n_before", F.lit(0)))
     down = here.orderBy(F.col("p_value").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rates = cut(ranked.withColumn("raw", raw).withColumn("least", F.min("raw").over(down)).select("set_id", "part", "p_value", "least", (F.col("m").isNotNull()).alias("torn")))
-    later = Window.partitionBy("set_id").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    floors = rates.where("torn").groupBy("set_id", "part").agg(F.min("least").alias("least")).withColumn("floor", F.min("least").over(later)).select("set_id", "part", "floor")
-    rates = rates.join(F.broadcast(floors), ["set_id", "part"], "left").select("set_id", "p_value", F.least(F.lit(1.0), "least", "floor").alias("fdr"))
+    rates = cut(ranked.withColumn("raw", raw).withColumn("least", F.min("raw").over(down)).select("set_id", "part_of_range", "p_value", "least", (F.col("m").isNotNull()).alias("torn")))
+    later = Window.partitionBy("set_id").orderBy(F.col("part_of_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    floors = rates.where("torn").groupBy("set_id", "part_of_range").agg(F.min("least").alias("least")).withColumn("floor", F.min("least").over(later)).select("set_id", "part_of_range", "floor")
+    rates = rates.join(F.broadcast(floors), ["set_id", "part_of_range"], "left").select("set_id", "p_value", F.least(F.lit(1.0), "least", "floor").alias("fdr"))
     done = spread_join(tests.where("tested"), rates, ["set_id", "p_value"])
     return done.select(*tests.columns, "fdr").unionByName(tests.where("NOT tested").withColumn("fdr", F.lit(1.0)))
 

@@ -86,7 +86,7 @@ def frequency_test(texts: DataFrame, study: DataFrame, background: DataFrame, sa
 def _running(drawn: DataFrame) -> DataFrame:
     """With so_far: a word's occurrences in its sample up to a place, that one included."""
     placed = range_parts(drawn, ["series", "place"])
-    offsets = parts_before(placed.groupBy("series", "part").agg(F.sum("n").alias("n_here")), "series", "n_here", "n_before")
-    local = F.sum("n").over(Window.partitionBy("series", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summed = placed.withColumn("so_far", local).join(F.broadcast(offsets), ["series", "part"], "left")
-    return summed.withColumn("so_far", F.col("so_far") + F.coalesce("n_before", F.lit(0))).drop("n_before", "part", "series")
+    offsets = parts_before(placed.groupBy("series", "part_of_range").agg(F.sum("n").alias("n_here")), "series", "n_here", "n_before")
+    local = F.sum("n").over(Window.partitionBy("series", "part_of_range").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = placed.withColumn("so_far", local).join(F.broadcast(offsets), ["series", "part_of_range"], "left")
+    return summed.withColumn("so_far", F.col("so_far") + F.coalesce("n_before", F.lit(0))).drop("n_before", "part_of_range", "series")

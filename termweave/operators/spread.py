@@ -45,19 +45,19 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def range_parts(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """``rows`` as a table with ``part``, the number of the range of ``order`` that a row is in. A tie is not torn apart."""
-    return cut(rows.repartitionByRange(partitions(rows), *order).withColumn("part", F.spark_partition_id()))
+    """``rows`` as a table with ``part_of_range``, the number of the range of ``order`` that a row is in. A tie is not torn apart."""
+    return cut(rows.repartitionByRange(partitions(rows), *order).withColumn("part_of_range", F.spark_partition_id()))
 
 
 def parts_before(per_part: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """(group, part, name) of the groups in several parts: the sum of ``value`` over the parts before.
+    """(group, part_of_range, name) of the groups in several parts: the sum of ``value`` over the parts before.
 
-    per_part: group, part, value, a row per group and part. Only the first and last group of a part can
+    per_part: group, part_of_range, value, a row per group and part. Only the first and last group of a part can
     reach into others, so there are at most two rows per part.
     """
     by_group = Window.partitionBy(group)
-    before = F.sum(value).over(by_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return per_part.withColumn(name, F.coalesce(before, F.lit(0))).withColumn("n_parts", F.count("*").over(by_group)).where("n_parts > 1").select(group, "part", name)
+    before = F.sum(value).over(by_group.orderBy("part_of_range").rowsBetween(Window.unboundedPreceding, -1))
+    return per_part.withColumn(name, F.coalesce(before, F.lit(0))).withColumn("n_parts", F.count("*").over(by_group)).where("n_parts > 1").select(group, "part_of_range", name)
 
 
 def positions(rows: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
@@ -67,7 +67,7 @@ def positions(rows: DataFrame, group: str, order: Sequence[Column], name: str) -
     numbers its own, and the sizes of a group's parts before are added, so a group is never in one task.
     """
     placed = range_parts(rows, [F.col(group), *order])
-    offsets = parts_before(placed.groupBy(group, "part").agg(F.count("*").alias("n_here")), group, "n_here", "n_before")
-    local = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
-    numbered = placed.withColumn(name, local).join(F.broadcast(offsets), [group, "part"], "left")
-    return numbered.withColumn(name, (F.col(name) + F.coalesce("n_before", F.lit(0))).cast("long")).drop("n_before", "part")
+    offsets = parts_before(placed.groupBy(group, "part_of_range").agg(F.count("*").alias("rows_in_part")), group, "rows_in_part", "rows_before_part")
+    local = F.row_number().over(Window.partitionBy(group, "part_of_range").orderBy(*order))
+    numbered = placed.withColumn(name, local).join(F.broadcast(offsets), [group, "part_of_range"], "left")
+    return numbered.withColumn(name, (F.col(name) + F.coalesce("rows_before_part", F.lit(0))).cast("long")).drop("rows_before_part", "part_of_range")

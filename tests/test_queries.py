@@ -8,7 +8,7 @@ import pytest
 from termweave.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["p4_hierarchy", "normalise_ids", "clean_text", "split_names", "lemma", "merge_records", "concepts_phrase", "bh_fdr", "enrich_multi"]
+NAMES = ["p4_hierarchy", "normalise_ids", "clean_text", "split_names", "lemma", "merge_records", "concepts_phrase", "bh_fdr", "enrich_multi", "significant", "legacy_mc", "p4_links"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 
 

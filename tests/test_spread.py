@@ -24,7 +24,7 @@ def test_hot_keys_join_as_others(spark, monkeypatch, how):
 def test_places_in_groups_over_many_parts(spark):
     pick = random.Random(2)
     rows = [("big" if i % 3 else f"g{i % 40}", pick.randint(0, 5), i) for i in range(900)]
-    frame = spark.createDataFrame(rows, "g string, score int, id int").repartition(5)
+    frame = spark.createDataFrame(rows, "g string, score int, id int").withColumn("part", F.lit("x")).repartition(5)
     got = {(r.g, r.id): r.place for r in spread.positions(frame, "g", [F.col("score").desc(), F.col("id")], "place").collect()}
     wanted = {}
     for g in {r[0] for r in rows}:
