@@ -123,24 +123,24 @@ def adjusted(tests: DataFrame, keys: list[str], total: int) -> DataFrame:
     """
     spark = tests.sparkSession
     placed = range_parts(tests, ["p_value"])
-    here = Window.partitionBy("part")
-    sums = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row per partition
+    here = Window.partitionBy("part_of_range")
+    sums = {r["part_of_range"]: r["n"] for r in placed.groupBy("part_of_range").agg(F.sum("n").alias("n")).collect()}  # a row per partition
     before, offsets = 0, []
     for part in sorted(sums):
         offsets.append((part, before))
         before += sums[part]
-    offset = spark.createDataFrame(offsets, "part int, rank_before long")
+    offset = spark.createDataFrame(offsets, "part_of_range int, rank_before long")
     up = here.orderBy("p_value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(F.broadcast(offset), "part").withColumn("rank", F.col("rank_before") + F.sum("n").over(up))
+    ranked = placed.join(F.broadcast(offset), "part_of_range").withColumn("rank", F.col("rank_before") + F.sum("n").over(up))
     raw = cut(ranked.withColumn("raw", F.col("p_value") * total / F.col("rank")))
-    least = {r["part"]: r["raw"] for r in raw.groupBy("part").agg(F.min("raw").alias("raw")).collect()}
+    least = {r["part_of_range"]: r["raw"] for r in raw.groupBy("part_of_range").agg(F.min("raw").alias("raw")).collect()}
     after, rest = 1.0, []
     for part in sorted(least, reverse=True):
         rest.append((part, after))
         after = min(after, least[part])
-    floor = spark.createDataFrame(rest, "part int, least_after double")
+    floor = spark.createDataFrame(rest, "part_of_range int, least_after double")
     down = here.orderBy(F.col("p_value").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.join(F.broadcast(floor), "part").withColumn("q_value", F.least(F.min("raw").over(down), "least_after")).select(*keys, "n", *[c for c in tests.columns if c not in (*keys, "n")], "q_value")
+    return raw.join(F.broadcast(floor), "part_of_range").withColumn("q_value", F.least(F.min("raw").over(down), "least_after")).select(*keys, "n", *[c for c in tests.columns if c not in (*keys, "n")], "q_value")
 
 
 def _pairs_within(baskets: DataFrame) -> DataFrame:
