@@ -59,27 +59,27 @@ volutpat pulvinar bibendum dignissim fringilla interdum lobortis rutrum venenati
 
 # Per language the words of notices: technical things; failures and requests; what stands around them.
 NOTICE_WORDS = """
-page website webpage url server servers session browser javascript script scripts scripting cookies database subtitle subtitles caption captions track player connection connections network service api login access plugin timeout timed gateway proxy host http account download downloads upload stream occurred file files exception limit quota cookie cdn token security certificate firewall router endpoint device account's username password credentials robot captcha resource resources pages maintenance request requests status encountered video videos content
-error errors failed failure unable cannot can't couldn't not unavailable expired denied forbidden disabled enable enabled activate allow turn switch required requires needs need reload refresh retry again invalid timeout timed down maintenance exceeded refused lost reset offline unauthorized unexpected unsupported support wrong busy missing removed deleted blocked unhandled uncaught undefined unreachable unresponsive gone used reached exhausted corrupt corrupted broken aborted crashed rejected forbidden maintenance install upgrade update verify bad nothing no fatal fault segmentation
-the a an this that these your you our we is are was were be been being has have had in on of to for from with by at and or but it its if then now no longer any please sorry oops try later soon back shortly while when before after only do does must will may can could should there here later minutes seconds hours moment temporarily currently permanently found exist exists available loading load loaded view see show shown display displayed continue use using watch content file files video text internal unknown fatal warning bad code status reached limit many too most requested looking out up off log sign in administrator contact support settings try's trying reason due scheduled under moved may under something went has your running run work works properly correctly first open read process processed complete completed respond responding response closed owner today document resource information refer reference id whilst again request requests permission used by today me us code ray id row line index null return back home go start click press tap here ok retry s ms sec wait waiting requests per day daily hour yet still via using every all other another address site link links visit visited page's feed key media option options preferences following correct properly order full features feature application app apps user users human prove that you're aren't isn't doesn't don't didn't hasn't won't that's there's it's we're we'll again once more over within next previous server's time times version old older outdated newer latest supported translation slow so hidden connect connecting connected establish establishing check checking accessing processing process rate country region happened happen got get without
-página sitio servidor sesión navegador javascript script scripts cookies subtítulos subtítulo pista reproductor solicitud conexión red servicio acceso permiso cuenta base descargas descarga límite servidores cuota limite archivo fichero excepción contraseña usuario sistema mantenimiento ocurrido producido ocurrió produjo vídeo contenido
-error errores no imposible caducado caducada expirado expirada denegado denegada prohibido desactivado deshabilitado active activar activa activado habilite habilitar permita requiere necesita necesario recargue recargar actualice inténtelo intente inválido inválida disponible mantenimiento superado perdido perdida fallo falló fallido inesperado ocupado superado excedido agotado alcanzado ningún ninguna responde
-el la los las un una de del al en a su sus este esta para por con y o se ha han sido está están es son que más tarde nuevo por favor lo sentimos ver mostrar cargar cargando continuar usar contenido archivo vídeo video texto interno interna desconocido pudo puede pueden encontrado encontrada existe ocurrido producido solicitada solicitado buscada busca momento momentos minutos pronto volveremos demasiadas datos tiempo espera agotado temporalmente actualmente iniciar sesión código responde cerrado ya hoy ha han haber seguridad usted vuelva volver vuelve intentar intentarlo otra vez minutos horas servicio nos estamos trabajando red del diario diaria día para página ir inicio código ray actívelos debe deben conectar conectarse país
-seite webseite server sitzung browser javascript skript skripte skripten cookies untertitel spur player anfrage anfragen verbindung netzwerk dienst zugriff berechtigung konto datenbank limit tageslimit downloads ausnahme dateien passwort benutzer adresse wartung wartungsarbeiten aufgetreten video inhalt
-fehler nicht abgelaufen verweigert verboten deaktiviert aktivieren aktiviert einschalten erlauben erforderlich benötigt braucht laden erneut ungültig verfügbar wartung wartungsarbeiten überschritten verloren fehlgeschlagen gescheitert unerwarteter zeitüberschreitung ausgelastet erreicht ausgeschöpft gesperrt nichts antwortet unbekannt wartung unterbrochen
-die der das den dem des ein eine einen einem einer diese dieser dieses ihr ihre ihrem ihren sie wir sind ist war wurde werden worden wird hat haben im in auf zu zum zur für von mit bei und oder es um bitte leider später bald wieder noch einmal versuchen sie neu anzeigen angezeigt sehen fortfahren fortzufahren benutzen inhalt datei video text interner interne unbekannter gefunden existiert aufgetreten angeforderte angeforderten gesuchte konnte können kann geladen moment minuten zurück zu viele vorübergehend derzeit melden an code antwortet geschlossen keine kein mehr wegen aufgrund heute täglich tag dann bitte neue neuer seiten diesen dieser uns unsere unserer stunden gleich kommen kehren versuche versuch aus ray gegen während beim müssen muss damit um können sie dürfen man hergestellt herstellen verbinden land
-page site serveur session navigateur javascript script scripts cookies sous titres titre piste lecteur requête requêtes connexion réseau service accès autorisation compte base limite téléchargements téléchargement chargement serveurs fichier exception quota lien adresse maintenance survenue survenu produite produit vidéo contenu
-erreur erreurs pas impossible introuvable expiré expirée refusé refusée interdit interdite désactivé activer activez activé autoriser autorisez requis nécessaire nécessite exige rechargez recharger actualisez réessayez réessayer invalide indisponible disponible maintenance dépassé dépassée perdue échec échoué inattendue occupé atteinte atteint dépassée répond aucune aucun bloqué bloquée
-le la les l un une de du des d au aux en à votre vos notre nos vous nous ce cet cette pour par avec et ou se s est sont a ont été n ne que plus tard nouveau bientôt veuillez désolé afficher voir charger chargement continuer utiliser contenu fichier vidéo texte interne inconnue peut pu trouvée trouvé trouver existe survenue survenu produite demandée demandé recherchée moment minutes retour trop données délai temporairement actuellement code répond fermé pendant lors puis dans ici aujourd hui jour heure heures ray votre d'erreur l'erreur s'est qu qui cela veuillez essayer essayez fois être avoir été doit devez nous sommes en cours travaux ici utilisateur mot passe connecter doit pays
-страница страницу страницы сайт сервер сервера сервером сеанс сеанса сессия браузер браузере javascript скрипт скрипты скриптов cookie субтитры субтитров дорожка дорожки плеер запрос запроса запросов соединение подключение сеть сервис служба доступ доступа лимит загрузок загрузке загрузки загрузка файл файла файлу исключение пароль ссылка адрес обслуживание обслуживания произошла произошел произошло видео
-ошибка ошибки не невозможно истекло истек истекла запрещён запрещен запрещена отказано отключён отключен отключены включите включить разрешите требуется требуются нужны нужен перезагрузите обновите повторите попробуйте недоступна недоступен недоступно недействителен обслуживание обслуживания превышен превышено потеряно сбой занят превышен превышена исчерпан исчерпано заблокирован заблокирована заблокировано
-и в на к с по для из от у о или а но ваш ваша ваше вашем ваши мы вы этот эта это этого этой был была было были будет пожалуйста извините позже скоро снова ещё еще раз найдена найден найдено найти существует произошла произошел загрузке загрузки загрузить загрузка показа просмотра увидеть посмотреть продолжить чтобы содержимое файл файла файлу видео текст внутренняя неизвестная удалось может запрошенная запрашиваемая время ожидания минут слишком много данных лимит временно сейчас код отвечает их закрыт технические работы дневной дневная суточный сегодня завтра минут минуту вернитесь попробовать указан неверный неверно мы уже скоро проводятся вас вам нет такой такая этой сайта при
-página site servidor sessão navegador javascript script scripts cookies legendas legenda faixa leitor pedido solicitação conexão ligação rede serviço acesso permissão conta limite arquivo ficheiro ligações senha utilizador usuário manutenção ocorreu vídeo conteúdo
-erro erros não impossível expirou expirada expirado negado proibido desativado ative ativar ativado habilite permitir necessário requer precisa recarregue recarregar atualize tente inválido indisponível disponível manutenção excedido perdida falha falhou inesperado atingido atingida esgotado esgotada bloqueado
-o a os as um uma de do da dos das no na nos nas em ao à seu sua este esta para por com e ou se foi está estão é são que mais tarde novo novamente favor desculpe ver mostrar carregar continuar usar conteúdo arquivo ficheiro vídeo texto interno desconhecido pode encontrada encontrado existe ocorreu solicitada momento minutos breve código responde tempo limite hoje dia diário ray servidores vez tente estamos volte voltar mais nossa nosso você seu sua houve um foi deve país conectar
-pagina sito server sessione browser javascript script cookie sottotitoli sottotitolo traccia lettore richiesta richieste connessione rete servizio accesso permesso account limite file password utente manutenzione verificato verificata video contenuto
-errore errori non impossibile scaduta scaduto negato vietato disattivato disabilitato attivare attiva attivate abilita abilitare consentire necessario richiede ricaricare ricarica aggiornare riprova riprovare invalido disponibile manutenzione superato persa fallito fallita imprevisto raggiunto raggiunta esaurito bloccato superata
-il lo la i gli le un uno una di del della dei in nel nella a al alla tuo tua suo sua questo questa per con da e o si è sono stato stata che più tardi nuovo spiacenti vedere visualizzare mostrare caricare continuare usare contenuto file video testo interno sconosciuto può trovata trovato esiste verificato richiesta momento minuti presto codice risponde tempo scaduto oggi giorno giornaliero ray stiamo torna torneremo lavorando prova provare nostro nostra tuoi si prega di nuovamente volta deve connettersi paese
+page website webpage url server servers session browser javascript script scripts scripting cookies database subtitle subtitles caption captions track player connection connections network service api login access plugin timeout timed gateway proxy host http account download downloads upload stream occurred file files exception limit quota cookie cdn token security certificate firewall router endpoint device account's username password credentials robot captcha resource resources pages maintenance request requests status encountered video videos content something problem problems issue playback media streaming player codec subscription cache blocker adblock popup extension vpn domain dns hosting ip firewall webmaster plugins html5 webgl flash
+error errors failed failure unable cannot can't couldn't not unavailable expired denied forbidden disabled enable enabled activate allow turn switch required requires needs need reload refresh retry again invalid timeout timed down maintenance exceeded refused lost reset offline unauthorized unexpected unsupported support wrong busy missing removed deleted blocked unhandled uncaught undefined unreachable unresponsive gone used reached exhausted corrupt corrupted broken aborted crashed rejected forbidden maintenance install upgrade update verify bad nothing no fatal fault segmentation suspended banned restricted refusing refuses overloaded reachable clear verify redirected redirects incompatible dead
+the a an this that these your you our we is are was were be been being has have had in on of to for from with by at and or but it its if then now no longer any please sorry oops try later soon back shortly while when before after only do does must will may can could should there here later minutes seconds hours moment temporarily currently permanently found exist exists available loading load loaded view see show shown display displayed continue use using watch content file files video text internal unknown fatal warning bad code status reached limit many too most requested looking out up off log sign in administrator contact support settings try's trying reason due scheduled under moved may under something went has your running run work works properly correctly first open read process processed complete completed respond responding response closed owner today document resource information refer reference id whilst again request requests permission used by today me us code ray id row line index null return back home go start click press tap here ok retry s ms sec wait waiting requests per day daily hour yet still via using every all other another address site link links visit visited page's feed key media option options preferences following correct properly order full features feature application app apps user users human prove that you're aren't isn't doesn't don't didn't hasn't won't that's there's it's we're we'll again once more over within next previous server's time times version old older outdated newer latest supported translation slow so hidden connect connecting connected establish establishing check checking accessing processing process rate country region happened happen got get without went experiencing ad ads may be moved temporarily permanently followed owner's traffic high volume queue position capacity redirect large length size format policy terms area because them these those been from at of its own human verification complete security checks another version prevented prevent supports
+página sitio servidor sesión navegador javascript script scripts cookies subtítulos subtítulo pista reproductor solicitud conexión red servicio acceso permiso cuenta base descargas descarga límite servidores cuota limite archivo fichero excepción contraseña usuario sistema mantenimiento ocurrido producido ocurrió produjo vídeo contenido algo problema streaming suscripción formato dirección ip
+error errores no imposible caducado caducada expirado expirada denegado denegada prohibido desactivado deshabilitado active activar activa activado habilite habilitar permita requiere necesita necesario recargue recargar actualice inténtelo intente inválido inválida disponible mantenimiento superado perdido perdida fallo falló fallido inesperado ocupado superado excedido agotado alcanzado ningún ninguna responde sobrecargado bloqueado suspendida suspendido restringido compatible
+el la los las un una de del al en a su sus este esta para por con y o se ha han sido está están es son que más tarde nuevo por favor lo sentimos ver mostrar cargar cargando continuar usar contenido archivo vídeo video texto interno interna desconocido pudo puede pueden encontrado encontrada existe ocurrido producido solicitada solicitado buscada busca momento momentos minutos pronto volveremos demasiadas datos tiempo espera agotado temporalmente actualmente iniciar sesión código responde cerrado ya hoy ha han haber seguridad usted vuelva volver vuelve intentar intentarlo otra vez minutos horas servicio nos estamos trabajando red del diario diaria día para página ir inicio código ray actívelos debe deben conectar conectarse país salió mal admite puede alcanzar tráfico zona
+seite webseite server sitzung browser javascript skript skripte skripten cookies untertitel spur player anfrage anfragen verbindung netzwerk dienst zugriff berechtigung konto datenbank limit tageslimit downloads ausnahme dateien passwort benutzer adresse wartung wartungsarbeiten aufgetreten video inhalt etwas problem streaming abonnement konto webseiten adresse ip
+fehler nicht abgelaufen verweigert verboten deaktiviert aktivieren aktiviert einschalten erlauben erforderlich benötigt braucht laden erneut ungültig verfügbar wartung wartungsarbeiten überschritten verloren fehlgeschlagen gescheitert unerwarteter zeitüberschreitung ausgelastet erreicht ausgeschöpft gesperrt nichts antwortet unbekannt wartung unterbrochen überlastet erreichbar unterstützt blockiert gesperrt eingeschränkt
+die der das den dem des ein eine einen einem einer diese dieser dieses ihr ihre ihrem ihren sie wir sind ist war wurde werden worden wird hat haben im in auf zu zum zur für von mit bei und oder es um bitte leider später bald wieder noch einmal versuchen sie neu anzeigen angezeigt sehen fortfahren fortzufahren benutzen inhalt datei video text interner interne unbekannter gefunden existiert aufgetreten angeforderte angeforderten gesuchte konnte können kann geladen moment minuten zurück zu viele vorübergehend derzeit melden an code antwortet geschlossen keine kein mehr wegen aufgrund heute täglich tag dann bitte neue neuer seiten diesen dieser uns unsere unserer stunden gleich kommen kehren versuche versuch aus ray gegen während beim müssen muss damit um können sie dürfen man hergestellt herstellen verbinden land schiefgelaufen schief gelaufen ging gegangen versuchen ihre wurde derzeit momentan
+page site serveur session navigateur javascript script scripts cookies sous titres titre piste lecteur requête requêtes connexion réseau service accès autorisation compte base limite téléchargements téléchargement chargement serveurs fichier exception quota lien adresse maintenance survenue survenu produite produit vidéo contenu problème abonnement lecteur format adresse ip
+erreur erreurs pas impossible introuvable expiré expirée refusé refusée interdit interdite désactivé activer activez activé autoriser autorisez requis nécessaire nécessite exige rechargez recharger actualisez réessayez réessayer invalide indisponible disponible maintenance dépassé dépassée perdue échec échoué inattendue occupé atteinte atteint dépassée répond aucune aucun bloqué bloquée surchargé bloqué suspendu suspendue restreint
+le la les l un une de du des d au aux en à votre vos notre nos vous nous ce cet cette pour par avec et ou se s est sont a ont été n ne que plus tard nouveau bientôt veuillez désolé afficher voir charger chargement continuer utiliser contenu fichier vidéo texte interne inconnue peut pu trouvée trouvé trouver existe survenue survenu produite demandée demandé recherchée moment minutes retour trop données délai temporairement actuellement code répond fermé pendant lors puis dans ici aujourd hui jour heure heures ray votre d'erreur l'erreur s'est qu qui cela veuillez essayer essayez fois être avoir été doit devez nous sommes en cours travaux ici utilisateur mot passe connecter doit pays quelque chose mal passé prend charge en ne pas prise actuellement
+страница страницу страницы сайт сервер сервера сервером сеанс сеанса сессия браузер браузере javascript скрипт скрипты скриптов cookie субтитры субтитров дорожка дорожки плеер запрос запроса запросов соединение подключение сеть сервис служба доступ доступа лимит загрузок загрузке загрузки загрузка файл файла файлу исключение пароль ссылка адрес обслуживание обслуживания произошла произошел произошло видео проблема подписка формат
+ошибка ошибки не невозможно истекло истек истекла запрещён запрещен запрещена отказано отключён отключен отключены включите включить разрешите требуется требуются нужны нужен перезагрузите обновите повторите попробуйте недоступна недоступен недоступно недействителен обслуживание обслуживания превышен превышено потеряно сбой занят превышен превышена исчерпан исчерпано заблокирован заблокирована заблокировано перегружен приостановлен ограничен недоступны
+и в на к с по для из от у о или а но ваш ваша ваше вашем ваши мы вы этот эта это этого этой был была было были будет пожалуйста извините позже скоро снова ещё еще раз найдена найден найдено найти существует произошла произошел загрузке загрузки загрузить загрузка показа просмотра увидеть посмотреть продолжить чтобы содержимое файл файла файлу видео текст внутренняя неизвестная удалось может запрошенная запрашиваемая время ожидания минут слишком много данных лимит временно сейчас код отвечает их закрыт технические работы дневной дневная суточный сегодня завтра минут минуту вернитесь попробовать указан неверный неверно мы уже скоро проводятся вас вам нет такой такая этой сайта при что то пошло так сейчас данный
+página site servidor sessão navegador javascript script scripts cookies legendas legenda faixa leitor pedido solicitação conexão ligação rede serviço acesso permissão conta limite arquivo ficheiro ligações senha utilizador usuário manutenção ocorreu vídeo conteúdo assinatura formato endereço
+erro erros não impossível expirou expirada expirado negado proibido desativado ative ativar ativado habilite permitir necessário requer precisa recarregue recarregar atualize tente inválido indisponível disponível manutenção excedido perdida falha falhou inesperado atingido atingida esgotado esgotada bloqueado sobrecarregado suspensa suspenso restrito
+o a os as um uma de do da dos das no na nos nas em ao à seu sua este esta para por com e ou se foi está estão é são que mais tarde novo novamente favor desculpe ver mostrar carregar continuar usar conteúdo arquivo ficheiro vídeo texto interno desconhecido pode encontrada encontrado existe ocorreu solicitada momento minutos breve código responde tempo limite hoje dia diário ray servidores vez tente estamos volte voltar mais nossa nosso você seu sua houve um foi deve país conectar suporta atualmente momento
+pagina sito server sessione browser javascript script cookie sottotitoli sottotitolo traccia lettore richiesta richieste connessione rete servizio accesso permesso account limite file password utente manutenzione verificato verificata video contenuto problema qualcosa abbonamento formato indirizzo
+errore errori non impossibile scaduta scaduto negato vietato disattivato disabilitato attivare attiva attivate abilita abilitare consentire necessario richiede ricaricare ricarica aggiornare riprova riprovare invalido disponibile manutenzione superato persa fallito fallita imprevisto raggiunto raggiunta esaurito bloccato superata sovraccarico sospeso limitato raggiungibile
+il lo la i gli le un uno una di del della dei in nel nella a al alla tuo tua suo sua questo questa per con da e o si è sono stato stata che più tardi nuovo spiacenti vedere visualizzare mostrare caricare continuare usare contenuto file video testo interno sconosciuto può trovata trovato esiste verificato richiesta momento minuti presto codice risponde tempo scaduto oggi giorno giornaliero ray stiamo torna torneremo lavorando prova provare nostro nostra tuoi si prega di nuovamente volta deve connettersi paese andato storto supporta supportato attualmente momento
 pagina website server sessie browser javascript script scripts cookies ondertitels ondertiteling speler verzoek verbinding netwerk dienst toegang account limiet bestand wachtwoord gebruiker onderhoud opgetreden video inhoud
 fout fouten niet onmogelijk verlopen geweigerd verboden uitgeschakeld schakel activeer inschakelen vereist nodig herlaad vernieuw opnieuw ongeldig beschikbaar onderhoud overschreden verbroken mislukt onverwachte bereikt geblokkeerd
 de het een deze dit uw je is zijn was werd worden kan kon heeft in op van te om voor met bij en of er alstublieft sorry later probeer nog eens bekijken tonen laden doorgaan gebruiken inhoud bestand video tekst interne onbekende gevonden bestaat opgetreden gevraagde moment minuten terug code reageert vandaag dag ray onze wij we zijn bezig kom uw aan de
@@ -89,6 +89,8 @@ w z na do i o się jest są został została zostało twoja twój ta ten to tej
 """
 # Of the technical things and the failures, words of everyday speech; two of them alone are no notice.
 EVERYDAY = """
+high clear dead domain extension abonnement lecteur suscripción dirección adresse endereço indirizzo подписка formato format assinatura abbonamento compatible refuses refusing restricted
+something problem problems issue algo problema etwas problème проблема qualcosa
 request requests content video videos encountered inhalt contenu contenido contenuto inhoud conteúdo vídeo vidéo видео no nothing used reached gone bad broken device security token update verify quota's install robot pages link resource resources aborted crashed rejected
 descarga usuario sistema alcanzado ningún ninguna agotado password passwords contraseña passwort senha hasło wachtwoord пароль
 erreicht nichts adresse benutzer ausnahme
@@ -127,6 +129,8 @@ STATUS = re.compile(
     r"|request time-?out|conflict|gone|length required|precondition failed|(?:payload|content|request entity|uri) too (?:large|long)|unsupported media type|range not satisfiable|expectation failed|unprocessable (?:entity|content)|locked|too early"
     r"|upgrade required|too many requests|internal server error|not implemented|bad gateway|(?:service )?(?:temporarily )?unavailable|gateway time-?out|http version not supported|insufficient storage|loop detected|network authentication required)(?:[\W_]|#|error)*$", re.I
 )
+# The request to come back, which tells of a notice where nothing else does.
+TRY_LATER = re.compile(r"\b(?:try|retry|check|come|inténtelo|intente|inténtalo|versuchen|versuche|réessayez|réessayer|попробуйте|повторите|riprova|riprovare|tente|probeer|spróbuj)\b.*\b(?:later|shortly|soon|más tarde|später|plus tard|позже|più tardi|mais tarde|później)\b", re.I)
 # What programs print in place of a text.
 LITERAL = re.compile(r"\W*(?:undefined|null|nan|\[object \w+\])\W*", re.I)
 READ_AS_LETTERS = str.maketrans({"0": "o", "1": "l", "|": "l", "5": "s"})
@@ -349,7 +353,7 @@ class Rules:
         either, things, failures = core.count(THING | FAILURE), core.count(THING), core.count(FAILURE)
         if things + either == 0 or failures + either == 0 or things + failures + either < 2:
             return False
-        return any(k & THERE or c and not k & COMMON for k, c in zip(kinds, core))
+        return TRY_LATER.search(message) is not None and len(kinds) >= 5 or any(k & THERE or c and not k & COMMON for k, c in zip(kinds, core))
 
     def is_slot(self, message: str) -> bool:
         """Whether a message has only words of empty slots and says that something is to be filled in."""

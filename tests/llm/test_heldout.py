@@ -1,7 +1,8 @@
 """Residue rules on messages that stand nowhere in the test tables: wordings of common servers, players, templates and frameworks.
 
 RESIDUE and DIALOGUE were written before the rules were first run on them (58 of 85 found, no dialogue); the
-rules were then extended by kinds of words that were missing. UNSEEN and SPOKEN were written after that and changed nothing.
+rules were then extended by kinds of words that were missing. UNSEEN and SPOKEN were written after that (19 of 30, no
+dialogue), and the vocabulary was extended again. LAST and SAID were written after that and changed nothing.
 """
 
 from termweave.llm.residue import Rules, masked
@@ -196,6 +197,48 @@ We request the pleasure of your company.
 """.strip().split("\n")
 
 
+LAST = """
+Playback error. Reload the player.
+This domain has expired
+Video unavailable
+Connection refused by host
+We are experiencing technical problems. Please come back later.
+Subscription required to view this content
+Please disable your ad blocker to continue.
+Verify you are human to continue
+The requested page has been moved permanently.
+Invalid request method
+Unable to decode video: codec not supported
+Token expired. Sign in again to continue watching.
+System.NullReferenceException: object reference not set
+Warning: mysqli_connect(): access denied for user in db.php on line 9
+{{ t('greeting') }}
+%%EPISODE_NAME%%
+<INSERT TITLE>
+Translation goes here
+Add caption text here
+Sed ut perspiciatis unde omnis iste natus error sit voluptatem
+Ungültige Anfrage
+Ihr Konto wurde gesperrt. Bitte wenden Sie sich an den Administrator.
+Service indisponible pour le moment
+El navegador no es compatible con este reproductor
+Сервер перегружен, попробуйте позже
+""".strip().split("\n")
+
+SAID = """
+The domain of the king was wide.
+Clear the table, please.
+We refuse to pay.
+The traffic was high that day.
+He moved permanently to Lisbon.
+They suspended the service at the church.
+It was a dead page in his life.
+Verify it yourself, professor.
+Das Konto ist leer, mein Lieber.
+Je ne prends pas en charge vos dettes.
+""".strip().split("\n")
+
+
 def test_share_of_unseen_messages_found():
     rules = Rules()
     missed = [m for m in RESIDUE if not rules.kind(masked(m))]
@@ -217,7 +260,7 @@ def test_a_wide_message_may_hold_a_word_of_its_own():
 
 def test_messages_the_rules_were_not_extended_by():
     rules = Rules()
-    missed = [m for m in UNSEEN if not rules.kind(masked(m))]
-    wrong = [m for m in SPOKEN if rules.kind(masked(m))]
-    print(len(missed), len(UNSEEN), missed, wrong)
-    assert len(missed) <= len(UNSEEN) * 4 // 10 and len(wrong) <= 2
+    missed = [m for m in LAST if not rules.kind(masked(m))]
+    wrong = [m for m in SPOKEN + SAID if rules.kind(masked(m))]
+    print(len(missed), len(LAST), missed, wrong, [m for m in UNSEEN if not rules.kind(masked(m))])
+    assert len(missed) <= len(LAST) * 4 // 10 and len(wrong) <= 2
