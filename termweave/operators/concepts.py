@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import stats as S
 from termweave.functions import text as X
+from termweave.operators.spread import spread_join
 from termweave.session import cut
 
 LAYERS = ("word", "phrase", "keyword", "go")
@@ -35,7 +36,7 @@ SPECIES = {"arabidopsis": Species("Arabidopsis thaliana", r"\bAT[1-5CM]G\d{5}\b"
 def text_fields(records: DataFrame, names: DataFrame, fields: Sequence[str] = TEXT_FIELDS) -> DataFrame:
     """(entity_id, field_name, text): the non-empty texts of the chosen fields, one row each.
 
-    names: id, term_name, for the field go_names; a term without a name is given by its id. Unknown fields raise ValueError.
+    records is best a table, as its terms are counted first. names: id, term_name, for the field go_names; a term without a name is given by its id. Unknown fields raise ValueError.
     """
     if unknown := set(fields) - set(TEXT_FIELDS):
         raise ValueError(f"unknown text fields {sorted(unknown)}; choose from {TEXT_FIELDS}")
@@ -47,7 +48,7 @@ def text_fields(records: DataFrame, names: DataFrame, fields: Sequence[str] = TE
         out = rows.select("entity_id", "f.field_name", F.explode("f.texts").alias("text"))
     if "go_names" in fields:
         go = records.select(F.col("id").alias("entity_id"), F.explode("go").alias("id"))
-        named = go.join(names.select("id", "term_name"), "id", "left").select("entity_id", F.lit("go_names").alias("field_name"), F.coalesce("term_name", "id").alias("text"))
+        named = spread_join(go, names.select("id", "term_name"), ["id"], "left").select("entity_id", F.lit("go_names").alias("field_name"), F.coalesce("term_name", "id").alias("text"))
         out = named if out is None else out.unionByName(named)
     return out.where("text <> ''")
 
@@ -94,10 +95,10 @@ def term_concepts(records: DataFrame, reach: DataFrame, terms: DataFrame, roots:
     reach: src, dst of the hierarchy's closure; terms: id, term_name, term_namespace.
     """
     direct = records.select(F.col("id").alias("entity_id"), F.explode("go").alias("src"))
-    above = direct.join(reach.select("src", "dst"), "src").select("entity_id", F.col("dst").alias("id"))
+    above = spread_join(direct, reach.select("src", "dst"), ["src"]).select("entity_id", F.col("dst").alias("id"))
     held = direct.select("entity_id", F.col("src").alias("id")).unionByName(above).distinct().where(~F.col("id").isin(*roots))
     short = F.coalesce(*[F.when(F.col("term_namespace") == k, v) for k, v in NAMESPACES.items()], F.lit(""))
-    return held.join(terms, "id").select("entity_id", F.concat(F.lit("GO "), short).alias("layer"), F.concat(F.lit("g:"), "id").alias("concept"), F.coalesce("term_name", "id").alias("label"))
+    return spread_join(cut(held), terms, ["id"]).select("entity_id", F.concat(F.lit("GO "), short).alias("layer"), F.concat(F.lit("g:"), "id").alias("concept"), F.coalesce("term_name", "id").alias("label"))
 
 
 def concept_index(

@@ -77,7 +77,7 @@ def rank_order() -> list[Column]:
 def enrich(index: DataFrame, sets: DataFrame, background: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per set and concept of its members: counts, fold, p_value, tested, fdr, status and rank.
 
-    index: entity_id, layer, concept, label. sets: set_id, entity_id (each once per set; see ``recognised``).
+    index: entity_id, layer, concept, label, best a table, as its entities are counted first. sets: set_id, entity_id (each once per set; see ``recognised``).
     background: entity_id. Only entities of the background with a concept count; n_bg is their number,
     n_study that of the set's among them. Concepts in more than max_concept_frac of n_bg are left
     out; those in fewer than min_genes of the set stay untested with fdr 1. status is 'significant', 'trend' or
@@ -90,13 +90,13 @@ def enrich(index: DataFrame, sets: DataFrame, background: DataFrame, limits: Lim
     n_bg = inside.count()
     if n_bg == 0:
         raise ValueError("no entity of the background has a concept")
-    held = index.join(inside, "entity_id", "left_semi")
+    held = spread_join(index, inside, ["entity_id"], "left_semi")
     known = held.groupBy("layer", "concept", "label").agg(F.count("*").alias("k_bg")).where(F.col("k_bg") <= limits.max_concept_frac * n_bg)
     study = cut(sets.select("set_id", "entity_id").join(inside, "entity_id", "left_semi"))
     if study.isEmpty():
         raise ValueError("no member of any set is in the background and has a concept")
     sizes = study.groupBy("set_id").agg(F.count("*").alias("n_study"))
-    hits = study.join(held, "entity_id").groupBy("set_id", "concept").agg(F.count("*").alias("k_study"))
+    hits = spread_join(held, study, ["entity_id"], counted_on=index).groupBy("set_id", "concept").agg(F.count("*").alias("k_study"))
     rows = hits.join(known, "concept").join(sizes, "set_id").withColumn("n_bg", F.lit(n_bg).cast("long"))
     fold = (F.col("k_study") / F.col("n_study")) / (F.col("k_bg") / F.col("n_bg"))
     rows = rows.withColumn("fold", fold).withColumn("p_value", S.hypergeometric_tail(F.col("k_study"), F.col("n_study"), F.col("k_bg"), F.col("n_bg")))

@@ -168,8 +168,8 @@ def parent_edges(terms: DataFrame, node: Column, parents: Column) -> tuple[DataF
     """
     rows = terms.select(node.alias("src"), parents.alias("parents")).where("src IS NOT NULL")
     nodes = rows.select(F.col("src").alias("node")).distinct()
-    edges = rows.select("src", F.explode("parents").alias("dst")).where("dst IS NOT NULL").distinct()
-    known = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    edges = cut(rows.select("src", F.explode("parents").alias("dst")).where("dst IS NOT NULL").distinct())
+    known = spread_join(edges, nodes.select(F.col("node").alias("dst")), ["dst"], "left_semi")
     return nodes, known.select("src", "dst", F.lit(1).cast("long").alias("dist"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as X
 from termweave.functions.ids import entity_id, term_id
+from termweave.operators.spread import spread_join
 from termweave.session import cut
 
 #: Fields of which only rows of reviewed entries count, where an entity has any.
@@ -124,6 +125,6 @@ def _by_value(cleaned: DataFrame) -> DataFrame:
 
 def _resolved_go(cleaned: DataFrame, resolved: DataFrame) -> DataFrame:
     """(entity_id, go): an entity's terms as they resolve, in order of first delivery."""
-    given = cleaned.select("entity_id", "row_no", F.posexplode("go").alias("pos", "given")).groupBy("entity_id", "given").agg(F.min(F.struct("row_no", "pos")).alias("at"))
-    known = given.join(resolved.select("given", "id"), "given").groupBy("entity_id", "id").agg(F.min("at").alias("at"))
+    given = cleaned.select("entity_id", "row_no", F.posexplode("go").alias("pos", "given"))
+    known = spread_join(given, resolved.select("given", "id"), ["given"]).groupBy("entity_id", "id").agg(F.min(F.struct("row_no", "pos")).alias("at"))
     return known.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("go"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as X
 from termweave.operators.enrich import Limits
+from termweave.operators.spread import spread_join
 from termweave.session import cut, discard
 
 
 def candidate_hits(results: DataFrame, index: DataFrame, study: DataFrame) -> DataFrame:
     """(set_id, rank, concept, entity_id): the members of the set that carry each concept with a status."""
     chosen = results.where("status <> ''").select("set_id", "rank", "concept")
-    held = study.select("set_id", "entity_id").join(index.select("entity_id", "concept"), "entity_id")
+    held = spread_join(index.select("entity_id", "concept"), study.select("set_id", "entity_id"), ["entity_id"])
     return held.join(chosen, ["set_id", "concept"]).select("set_id", "rank", "concept", "entity_id")
 
 

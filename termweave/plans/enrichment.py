@@ -32,7 +32,7 @@ def resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    return R.merged_records(table(spark, folder, "gene"), resolved(spark, folder), TABLES.id_pattern)
+    return cut(R.merged_records(table(spark, folder, "gene"), resolved(spark, folder), TABLES.id_pattern))
 
 
 def names(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,7 @@ def index(spark: SparkSession, folder: str, layers: tuple[str, ...] = ("word", "
     reach = terms = None
     if "go" in layers:
         reach, terms = H.closure(ontology_graph(spark, folder)[1]), term_table(spark, folder)
-    return C.concept_index(cut(records(spark, folder)), TABLES, layers, names(spark, folder), reach, terms)
+    return C.concept_index(records(spark, folder), TABLES, layers, names(spark, folder), reach, terms)
 
 
 def term_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +77,7 @@ def results(spark: SparkSession, folder: str, layers: tuple[str, ...]) -> tuple[
 
 
 def described(spark: SparkSession, folder: str, layers: tuple[str, ...] = ("word", "phrase", "keyword")) -> DataFrame:
-    merged = cut(records(spark, folder))
+    merged = records(spark, folder)
     held = cut(C.concept_index(merged, TABLES, layers, names(spark, folder)))
     everyone = background(spark, folder)
     study = cut(sets(spark, folder).join(E.universe(held, everyone), "entity_id", "left_semi"))
