@@ -107,16 +107,15 @@ def _dealt(edges: DataFrame, level: int, growth: int, parts: int) -> DataFrame:
     own = cut(nodes.select("node", F.when(head(F.col("node")), F.col("node")).otherwise(F.col("up")).alias("up")).unionByName(tops.select("node", F.col("node").alias("up"))))
     # Heads and tops are their own: who has reached one stays out of the further steps.
     still = own.where(F.col("up") != F.col("node"))
-    done, moving = [own.where(F.col("up") == F.col("node"))], cut(still.where(~head(F.col("up"))))
+    done, moving = [own.where(F.col("up") == F.col("node"))], still.where(~head(F.col("up")))
     done.append(still.where(head(F.col("up"))))
     ways = own
     for jump in range(JUMPS + growth.bit_length() - 1):
         further = ways.select(F.col("node").alias("up"), F.col("up").alias("further"))
         stepped = cut(spread_join(moving, further, ["up"]).select("node", F.col("further").alias("up"), (F.col("further") == F.col("up")).alias("is_top")))
-        discard(moving)
         settled = F.col("is_top") | head(F.col("up"))
         done.append(stepped.where(settled).select("node", "up"))
-        moving = cut(stepped.where(~settled).select("node", "up"))
+        moving = stepped.where(~settled).select("node", "up")
         # what still moves has doubled its steps; what it may land on has either moved as far or is settled
         ways = moving
         for some in done:
@@ -129,12 +128,12 @@ def _dealt(edges: DataFrame, level: int, growth: int, parts: int) -> DataFrame:
     return spread_join(up, sizes, ["up"]).select("node", F.pmod(F.xxhash64("up", F.pmod(F.xxhash64("node"), shares)), F.lit(parts)).cast("int").alias("part"))
 
 
-def closure(edges: DataFrame, level: int = 0, growth: int = 1) -> DataFrame:
+def closure(edges: DataFrame, level: int = 0, growth: int = 1, before: int | None = None) -> DataFrame:
     """All pairs src, dst with dst reached from src in one or more steps, with the least distance.
 
     edges: src, dst STRING and dist LONG (a plain edge has 1); repeated edges and loops are fine, rows
     with a null end are left out. A node on a loop is paired with itself. Empty input gives no rows.
-    level and growth belong to the recursion.
+    level, growth and before (the edges of the graph whose quotient this is) belong to the recursion.
     """
     edges = cut(_shortest(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.col("dist").cast("long"))))
     count = edges.count()
@@ -142,21 +141,21 @@ def closure(edges: DataFrame, level: int = 0, growth: int = 1) -> DataFrame:
         return edges
     if level and count <= BASE_EDGES:
         return cut(_solved(edges))
+    if before is not None and 4 * count > 3 * before:
+        growth *= GROWTH
     parts = max(1, max(partitions(edges), count // 100_000) // growth)
     dealt = cut(_dealt(edges, level, growth, parts))
     placed = edges.join(dealt.select(F.col("node").alias("src"), F.col("part").alias("src_part")), "src")
-    placed = cut(spread_join(cut(placed), dealt.select(F.col("node").alias("dst"), F.col("part").alias("dst_part")), ["dst"]))
+    placed = cut(spread_join(placed, dealt.select(F.col("node").alias("dst"), F.col("part").alias("dst_part")), ["dst"], counted_on=edges))
     within = placed.where("src_part = dst_part").repartition(parts, "src_part").select("src", "dst", "dist")
     exits = placed.where("src_part <> dst_part").select("src", "dst", "dist")
     inner = cut(within.mapInArrow(_reach_in_partition, PAIRS))
     leaving = cut(_shortest(exits.unionByName(_chain(inner, exits))))
     entries = exits.select(F.col("dst").alias("src")).distinct()
-    quotient = cut(leaving.join(entries, "src", "left_semi"))
-    smaller = 4 * quotient.count() <= 3 * count
-    between = closure(quotient, level + 1, growth if smaller else growth * GROWTH)
-    above = cut(_shortest(inner.join(entries, "src", "left_semi").unionByName(between).unionByName(_chain(between, inner))))
+    between = closure(leaving.join(entries, "src", "left_semi"), level + 1, growth, count)
+    above = _shortest(inner.join(entries, "src", "left_semi").unionByName(between).unionByName(_chain(between, inner)))
     out = cut(_shortest(inner.unionByName(leaving).unionByName(_chain(leaving, above))))
-    discard(edges, dealt, placed, inner, leaving, quotient, between, above)
+    discard(edges, dealt, placed, inner, leaving, between)
     return out
 
 
