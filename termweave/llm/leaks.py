@@ -35,12 +35,12 @@ KNOWN_WORDS = 300_000
 FEW = 3
 #: Share of an item's words that a quotation holds, and its length in words against the item's.
 SHARE, STRETCH = 0.5, 2
-# Cue heads with the number before, markup and codes of subtitle files.
+# Written for this module: cue heads with the number before, markup and codes of subtitle files.
 LAYOUT = re.compile(
     r"(?m)^[ \t﻿]*(?:\d+[ \t]*\r?\n[ \t]*)?\d{1,2}:\d\d(?::\d\d)?[,.:]\d{1,3}[^\n]*\d\d[,.:]\d{1,3}[^\n]*$"
     r"|</?(?:[ibus]|font|c|v|lang|ruby|rt)(?:[ .][^<>\n]*)?>|\{\\[^{}\n]*\}"
 )
-# Letters that character recognition takes for one another, after lower-casing.
+# Written for this module: letters that character recognition takes for one another, after lower-casing.
 ALIKE = bytes.maketrans(b"i1|05fe", b"lllostc")
 KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789| \t\r\n\x0b\x0c"
 DROPPED = bytes(c for c in range(256) if c not in KEPT)
@@ -55,7 +55,7 @@ def _alike(words: bytes) -> bytes:
     return words.translate(ALIKE, DROPPED).replace(b"rn", b"m").replace(b"ll", b"h")
 
 
-# A letter beyond the Latin ones, and a run that may be a word read in a wrong encoding.
+# Written for this module: a letter beyond the Latin ones, and a run that may be a word read in a wrong encoding.
 OTHER_SCRIPT = re.compile("[^\\W\\d_\u0000-\u036f]")
 BEYOND_ASCII = re.compile("[^\u0000-\u007f]{3}")
 

@@ -28,20 +28,11 @@ from pyspark.sql import functions as F
 from termweave.operators.spread import spread_join
 from termweave.session import cut
 
-# How the cues of subtitle files are told apart, and marks that only lay text out.
+# Written for this module: how the cues of subtitle files are told apart, and marks that only lay text out.
 CUE_HEAD = r"(?:^|\n)[ \t]*(?:\d+[ \t]*\n[ \t]*)?\d{1,2}:\d\d(?::\d\d)?[,.:]\d{1,3}[^\n]*\d\d[,.:]\d{1,3}[^\n]*(?:\n|$)|\n[ \t]*\n"
 LAYOUT = r"</?(?:[ibus]|font|c|v|lang|ruby|rt)(?:[ .][^<>]*)?>|\{\\[^{}]*\}|[\x{FEFF}\x{200B}\x{200D}\x{AD}]"
 
-# Names of fields that templates leave unfilled, in several languages.
-FIELD_NAMES = """
-insert text here|insert text|your text here|your text|insert title
-имя_переводчика|вставьте текст|название серии
-nombre_del_traductor|tu texto aquí|insertar título
-name_des_uebersetzers|ihr text hier|titel einfügen
-nom_du_traducteur|votre texte ici|insérer le titre
-"""
-
-# Words of the usual filler text.
+# Written for this module: words of the usual filler text.
 FILLER_WORDS = """
 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna
 aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute
@@ -49,7 +40,7 @@ irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur exce
 proident sunt culpa qui officia deserunt mollit anim id est laborum
 """
 
-# More words of generated filler, for texts that are filler for the most part.
+# Written for this module: more words of generated filler, for texts that are filler for the most part.
 MORE_FILLER = """
 pellentesque habitant morbi tristique senectus netus malesuada fames turpis egestas vestibulum tortor quam feugiat vitae
 ultricies eget curabitur suspendisse vivamus maecenas phasellus praesent quisque integer nullam donec aenean mauris
@@ -57,7 +48,7 @@ faucibus luctus posuere cubilia sollicitudin condimentum sagittis porttitor tinc
 volutpat pulvinar bibendum dignissim fringilla interdum lobortis rutrum venenatis viverra
 """
 
-# Per language the words of notices: technical things; failures and requests; what stands around them.
+# Written for this module: per language the words of notices: technical things; failures and requests; what stands around them.
 NOTICE_WORDS = """
 page website webpage url server servers session browser javascript script scripts scripting cookies database subtitle subtitles caption captions track player connection connections network service api login access plugin timeout timed gateway proxy host http account download downloads upload stream occurred file files exception limit quota cookie cdn token security certificate firewall router endpoint device account's username password credentials robot captcha resource resources pages maintenance request requests status encountered video videos content something problem problems issue playback media streaming player codec subscription cache blocker adblock popup extension vpn domain dns hosting ip firewall webmaster plugins html5 webgl flash
 error errors failed failure unable cannot can't couldn't not unavailable expired denied forbidden disabled enable enabled activate allow turn switch required requires needs need reload refresh retry again invalid timeout timed down maintenance exceeded refused lost reset offline unauthorized unexpected unsupported support wrong busy missing removed deleted blocked unhandled uncaught undefined unreachable unresponsive gone used reached exhausted corrupt corrupted broken aborted crashed rejected forbidden maintenance install upgrade update verify bad nothing no fatal fault segmentation suspended banned restricted refusing refuses overloaded reachable clear verify redirected redirects incompatible dead
@@ -87,7 +78,7 @@ strona strony witryna serwer serwera sesja przeglądarka przeglądarce javascrip
 błąd błędy nie nieosiągalny wygasła wygasł zabroniony wyłączony włącz włączyć wymaga wymagane potrzebuje odśwież spróbuj nieprawidłowy niedostępna niedostępny konserwacja przekroczono utracono osiągnięto zablokowany przekroczony
 w z na do i o się jest są został została zostało twoja twój ta ten to tej przepraszamy proszę później wkrótce ponownie jeszcze raz obsługę aby zobaczyć wyświetlić kontynuować plik wideo tekst wewnętrzny nieznany znaleziono istnieje wystąpił żądana chwilę minut czas kod odpowiada dzisiaj dziś dzień ray nasza nasz trwa trwają prace wróć wrócimy
 """
-# Of the technical things and the failures, words of everyday speech; two of them alone are no notice.
+# Written for this module: of the technical things and the failures, words of everyday speech; two of them alone are no notice.
 EVERYDAY = """
 high clear dead domain extension abonnement lecteur suscripción dirección adresse endereço indirizzo подписка formato format assinatura abbonamento compatible refuses refusing restricted
 something problem problems issue algo problema etwas problème проблема qualcosa
@@ -109,32 +100,32 @@ pagina traccia lettore richiesta richieste connessione rete servizio accesso per
 verzoek verbinding netwerk dienst toegang account speler niet onmogelijk nodig fout fouten vereist verboden
 strona strony witryna połączenie sieć usługa dostęp konto żądanie nie potrzebuje włącz
 """
-# What tells, of a thing, that it is not there.
+# Written for this module: what tells, of a thing, that it is not there.
 FOUND = "available disponible verfügbar disponibile dostępna beschikbaar disponível responding respond responde antwortet répond отвечает risponde reageert odpowiada found exist exists encontrada encontrado existe gefunden existiert trouvée trouvé trouver найдена найден найдено существует trovata trovato esiste gevonden bestaat znaleziono istnieje loading load loaded cargar laden geladen charger загрузить caricare carregar"
 
 
-# Words of empty slots: what is to be filled in; what says so; what says so if "here" or the like stands by; what stands around them.
+# Written for this module: words of empty slots: what is to be filled in; what says so; what says so if "here" or the like stands by; what stands around them.
 SLOT_WORDS = """
-text title subtitle subtitles caption captions dialogue dialog translation line name sentence content headline texto título subtítulo diálogo traducción untertitel übersetzung titel name dialog texte titre sous titre traduction dialogue текст титул название перевод реплика
+text title subtitle subtitles caption captions dialogue dialog translation line name sentence content headline texto título subtítulo diálogo traducción untertitel übersetzung titel name dialog texte titre sous titre traduction dialogue текст титул название перевод реплика episode series show season speaker translator uploader author date episodio serie temporada fecha traductor autor folge staffel datum übersetzer épisode série saison traducteur auteur серии серия эпизод сезон имя переводчика автор дата
 insert sample placeholder todo fixme tbd dummy untranslated xxx missing replace insertar insertad insérer einfügen platzhalter muestra ejemplo marcador вставьте вставить заглушка образец
 add enter type put your goes go translate write edit tu su escribe añadir aquí ihr hier eingeben übersetzen votre ici saisir traduire ваш здесь введите переведите
 here this the a an of with for please to be by el la de un der die das den le un une этот сюда
 """
-# Words that say where a slot is.
+# Written for this module: words that say where a slot is.
 SLOT_PLACES = "here this aquí hier ici здесь сюда"
 
-# Names of status codes, which need their number before or after.
+# Written for this module: names of status codes, which need their number before or after.
 STATUS = re.compile(
     r"^(?:[\W_]|#|https?|error|status|code|fehler|erreur|errore|erro|fout|ошибка|błąd)*(?:bad request|unauthorized|payment required|forbidden|(?:(?:page|file|url|resource) )?not found|method not allowed|not acceptable|proxy authentication required"
     r"|request time-?out|conflict|gone|length required|precondition failed|(?:payload|content|request entity|uri) too (?:large|long)|unsupported media type|range not satisfiable|expectation failed|unprocessable (?:entity|content)|locked|too early"
     r"|upgrade required|too many requests|internal server error|not implemented|bad gateway|(?:service )?(?:temporarily )?unavailable|gateway time-?out|http version not supported|insufficient storage|loop detected|network authentication required)(?:[\W_]|#|error)*$", re.I
 )
-# The request to come back, which tells of a notice where nothing else does.
+# Written for this module: the request to come back, which tells of a notice where nothing else does.
 TRY_LATER = re.compile(r"\b(?:try|retry|check|come|inténtelo|intente|inténtalo|versuchen|versuche|réessayez|réessayer|попробуйте|повторите|riprova|riprovare|tente|probeer|spróbuj)\b.*\b(?:later|shortly|soon|más tarde|später|plus tard|позже|più tardi|mais tarde|później)\b", re.I)
-# What programs print in place of a text.
+# Written for this module: what programs print in place of a text.
 LITERAL = re.compile(r"\W*(?:undefined|null|nan|\[object \w+\])\W*", re.I)
 READ_AS_LETTERS = str.maketrans({"0": "o", "1": "l", "|": "l", "5": "s"})
-# Names of code in a message, and words of its failures.
+# Written for this module: names of code in a message, and words of its failures.
 CODE = re.compile(r"\b\w+\.(?:php|js|py|jsp|aspx?|rb|cgi|dll|java|c|cpp|html?)\b|\b\w+\(\)|\b\w+(?:Exception|Error)\b|\bat line #|\bon line #|\bstack ?trace\b|\btraceback\b|\b0x[0-9a-f#]+", re.I)
 CODE_HINT = re.compile(r"\.\w|\(\)|xception|rror|line #|stack|trace|0x|STACK|TRACE|XCEPTION|RROR|LINE #|Stack|Trace")
 CODE_FAILURE = re.compile(r"\b(?:unhandled|uncaught|traceback|fatal|undefined|warning|segmentation|syntax|parse|runtime|deprecated|stack|failed)\b|exception|error", re.I)
@@ -146,7 +137,7 @@ WIDE_DOCUMENTS, WIDE_SOURCES, WIDE_SHARE = 5, 3, 5000
 #: Kind of a message that is no residue by itself but may be a part of a notice.
 PART = "part"
 
-# Forms of placeholders that need no known name. Masked numbers are #.
+# Written for this module: forms of placeholders that need no known name. Masked numbers are #.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|<%.{1,60}?%>|\{%.{1,60}?%\}|@@[\w. ]+@@|##\s?[^\W\d][\w. ]*##|\b__[A-Z][A-Z0-9_]*__"
     r"|%[A-Z][A-Z_]{2,}%|%#\$[sd]|(?<![\\\w])\{#\}|<[A-Z]+(?:_[A-Z]+)*>|\[[Il1]NSERT [^\[\]]+\]|\[[Yy](?:our|OUR) [^\[\]]+\]|\[\[\s?[\w. |-]+\]\]|\[(?:[A-Z][a-z]+ )+(?:Name|Title|Date|Email|Address|Number|Text)\]"
@@ -155,19 +146,19 @@ MARKUP_NAMES = frozenset("HTML HEAD BODY TITLE META LINK DIV SPAN FONT STYLE SCR
 BRACKETED = re.compile(r"\{([^{}\\]{3,40})\}|<([^<>/%]{3,40})>|\[([^\[\]]{3,40})\]|\(\(\(([^()]{3,40})\)\)\)|\*([^*]{3,40})\*")
 PAGE = re.compile(r"<!doctype html|<html\b|<noscript\b|^\W*\{\s*\"(?:status|error|code)\"\s*:", re.I)
 MARKS = re.compile(r"[{$<%@_\[*]|\(\(\(|##")
-# What services put behind a message: a number in brackets, an id.
+# Written for this module: what services put behind a message: a number in brackets, an id.
 TAIL = re.compile(r"(?:\s*\([^()]*#[^()]*\)|\s*\[[^\[\]]*#[^\[\]]*\]|[\s.]*\b(?:ray|ref|reference|request|trace|incident)(?: id)?[ :#]+)[\s.]*$", re.I)
-# What services put before a message: an exclamation, the name of a program or header.
+# Written for this module: what services put before a message: an exclamation, the name of a program or header.
 LEAD = re.compile(r"^\W*(?:(?:sorry|oops|whoops|uh-oh|lo sentimos|ups|hoppla|désolé|извините|упс)\b[\s.!,:…-]*|[a-z][\w-]*(?: [a-z][\w-]*)?: )+", re.I)
 ADDRESS = re.compile(r"(?:https?://|www\.)[^\s{}<>%@]+|(?<![^\s<(])[^\s@]+@[^\s@]+\.\w+")
 NUMBER = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|(?<![^\W_])\d+(?:[-./:]\d+)*(?![^\W_])", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f\v\u00a0]+")
-# What a wrong encoding makes of a short word.
+# Written for this module: what a wrong encoding makes of a short word.
 LOST_WORD = re.compile("[\u00c2\u00c3\u00e2][\u0080-\u00bf]?")
 LOST_LETTER = re.compile(r"(?<=[^\W\d_])[?\ufffd](?=[^\W\d_])")
-# Letters that character recognition takes for one another, after lower-casing.
+# Written for this module: letters that character recognition takes for one another, after lower-casing.
 ALIKE = str.maketrans({"i": "l", "1": "l", "|": "l", "0": "o", "5": "s", "f": "t", "e": "c", "q": "g", "ё": "е"})
-# Marks of texts read in a wrong encoding, with (read as, written in) to undo it.
+# Written for this module: marks of texts read in a wrong encoding, with (read as, written in) to undo it.
 MISREAD = (
     (re.compile("[ÐÑÃÂâ]"), (("cp1252", "utf-8"), ("latin-1", "utf-8"))),
     (re.compile("[\u2500-\u259f]"), (("cp866", "cp1251"),)),
@@ -270,8 +261,6 @@ class Rules:
             for form in slips(word) if len(word) >= self.SLIP else ():
                 self.near[form] = self.near.get(form, 0) | kind
         self.compounds = tuple(self._word(w) for w in "server seite seiten datei dienst limit fehler verbindung sitzung browser".split())
-        self.names = {self._letters(x) for x in _listed(FIELD_NAMES)}
-        self.near_names = {form for name in self.names if len(name) >= 8 for form in slips(name)}
         self.kinds: dict[str, int] = {}
         self.tokens: dict[str, tuple[int, ...]] = {}
 
@@ -279,9 +268,6 @@ class Rules:
     def _word(word: str) -> str:
         return folded(word) if CYRILLIC.search(word) or not re.search("[a-zA-Z]", word) else skeleton(word)
 
-    def _letters(self, text: str) -> str:
-        return folded(text) if re.search("[а-яА-Я]", text) else skeleton(text)
-
     def word_kind(self, word: str) -> int:
         known = self.kinds.get(word)
         if known is None:
@@ -380,12 +366,12 @@ class Rules:
         return 10 * sum(bool(k & (FILLER | LONG_FILLER)) for k in kinds) >= 7 * len(kinds) and len(long) >= 5
 
     def is_field(self, text: str) -> bool:
-        """Whether a bracketed text is the name of a field of a template."""
-        if re.fullmatch(r"\s?[^\W\d_]+(?:_[^\W\d_]+)+\s?", text):
-            return True
+        """Whether a bracketed text is the name of a field of a template: words joined by _, or two and more words of slots."""
         for way in (text, *repairs(text)):
-            key = self._letters(way)
-            if key in self.names or self.is_slot(way) and len(way.split()) > 1 or len(key) >= 8 and any(form in self.near_names for form in slips(key)):
+            if re.fullmatch(r"\s?[^\W\d_]+(?:_[^\W\d_]+)+\s?", way.translate(READ_AS_LETTERS)):
+                return True
+            kinds = self._bare(way)
+            if len(kinds) > 1 and (self.is_slot(way) or all(k & SLOT for k in kinds)):
                 return True
         return False
 
@@ -443,7 +429,7 @@ class Rules:
 
 TO_MASK = re.compile("[0-9?@\ufffd]|www[.]")
 PIECES = re.compile(r"[-/—–:;,.!?\"«»“”()\[\]#]+")
-# Letters of which three in a row tell of a wrong encoding.
+# Written for this module: letters of which three in a row tell of a wrong encoding.
 BEYOND = re.compile("[\u0080-\u00ff\u2500-\u259f\u0152-\u0178\u2013-\u2122]{2}|\u00d0|\u00d1")
 
 
