@@ -88,7 +88,7 @@ kept_ AS (SELECT * FROM long_ WHERE value IS NOT NULL AND field <> 'go' AND NOT
 flags_ AS (SELECT entity_id, bool_or(reviewed) AS reviewed FROM source_ GROUP BY 1),
 once_ AS (SELECT k.entity_id, field, value, min((row_no, pos)) AS first_at, max(row_no) AS last FROM kept_ k JOIN flags_ f USING (entity_id) WHERE NOT (field IN {REVIEWED} AND f.reviewed AND NOT k.reviewed) GROUP BY ALL),
 lists_ AS (SELECT entity_id, field, list(value ORDER BY first_at) AS vs, list(value ORDER BY last DESC, value DESC) AS latest FROM once_ GROUP BY ALL),
-records_ AS (SELECT e.entity_id AS id, coalesce(max(vs[1]) FILTER (field = 'symbol'), '') AS symbol, coalesce(max(latest[1]) FILTER (field = 'description'), '') AS description,
+records_ AS MATERIALIZED (SELECT e.entity_id AS id, coalesce(max(vs[1]) FILTER (field = 'symbol'), '') AS symbol, coalesce(max(latest[1]) FILTER (field = 'description'), '') AS description,
  coalesce(max(list_reduce(list_prepend('', vs), lambda acc, x: CASE WHEN contains(acc, x) THEN acc ELSE trim(acc || ' ' || x, ' ') END)) FILTER (field = 'function'), '') AS function,
  {", ".join(f"coalesce(max(vs) FILTER (field = '{f}'), []) AS {f}" for f in ("synonyms", "names", "protein_names", "keywords", "families", "go"))}, any_value(f.reviewed) AS reviewed
  FROM everyone_ e JOIN flags_ f USING (entity_id) LEFT JOIN lists_ l USING (entity_id) GROUP BY e.entity_id),
@@ -97,13 +97,13 @@ texts_ AS (SELECT * FROM (
  SELECT id, 'protein_names', unnest(protein_names) FROM records_ UNION ALL SELECT id, 'function', function FROM records_ UNION ALL SELECT id, 'families', unnest(families) FROM records_ UNION ALL
  SELECT g.entity_id, 'go_names', coalesce(n.term_name, g.go) FROM (SELECT id AS entity_id, unnest(go) AS go FROM records_) g LEFT JOIN names_ n ON n.id = g.go) WHERE text <> ''),
 tokens_ AS MATERIALIZED (SELECT entity_id, {token_list("text", X.stop_words())} AS k FROM texts_),
-words_ AS (SELECT DISTINCT entity_id, word FROM (SELECT entity_id, unnest(k) AS word FROM tokens_) WHERE word IS NOT NULL),
-pairs_ AS (SELECT DISTINCT entity_id, pair FROM (SELECT entity_id, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS pair FROM tokens_) WHERE pair IS NOT NULL),
-wdf_ AS (SELECT word, count(*) AS n FROM words_ GROUP BY 1),
+words_ AS MATERIALIZED (SELECT DISTINCT entity_id, word FROM (SELECT entity_id, unnest(k) AS word FROM tokens_) WHERE word IS NOT NULL),
+pairs_ AS MATERIALIZED (SELECT DISTINCT entity_id, pair FROM (SELECT entity_id, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS pair FROM tokens_) WHERE pair IS NOT NULL),
+wdf_ AS MATERIALIZED (SELECT word, count(*) AS n FROM words_ GROUP BY 1),
 pdf_ AS (SELECT pair, count(*) AS n FROM pairs_ GROUP BY 1),
 scored_ AS (SELECT pair, p.n AS n_pair, a.n AS n_a, b.n AS n_b, ln((p.n / m) / ((a.n / m) * (b.n / m))) / -ln(p.n / m) AS npmi
  FROM pdf_ p JOIN wdf_ a ON a.word = split_part(pair, ' ', 1) JOIN wdf_ b ON b.word = split_part(pair, ' ', 2), (SELECT count(*)::DOUBLE AS m FROM everyone_) WHERE p.n >= 5 AND a.word <> b.word AND p.n < m),
-phrases_ AS (SELECT * FROM scored_ WHERE npmi >= 0.35 ORDER BY npmi DESC, split_part(pair, ' ', 1) DESC, split_part(pair, ' ', 2) DESC LIMIT 20000),
+phrases_ AS MATERIALIZED (SELECT * FROM scored_ WHERE npmi >= 0.35 ORDER BY npmi DESC, split_part(pair, ' ', 1) DESC, split_part(pair, ' ', 2) DESC LIMIT 20000),
 held_terms_ AS (SELECT DISTINCT entity_id, id FROM (SELECT id AS entity_id, unnest(go) AS id FROM records_ UNION ALL SELECT g.entity_id, r.ancestor_id FROM (SELECT id AS entity_id, unnest(go) AS go FROM records_) g JOIN reach_ r ON r.id = g.go) WHERE id NOT IN {listed(ROOTS)}),
 word_ AS (SELECT entity_id, 'word' AS layer, 'w:' || word AS concept, word AS label FROM words_),
 phrase_ AS (SELECT entity_id, 'phrase' AS layer, 'p:' || pair AS concept, pair AS label FROM pairs_ WHERE pair IN (SELECT pair FROM phrases_)),
