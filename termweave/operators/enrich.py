@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import stats as S
 from termweave.functions.ids import entity_id
-from termweave.operators.spread import parts_before, positions, range_parts, spread_join
+from termweave.operators.spread import partitions, parts_before, positions, range_parts, sent_join, spread_join
 from termweave.session import cut
 
 
@@ -70,14 +70,14 @@ def false_discovery(tests: DataFrame) -> DataFrame:
 
 
 def rank_order() -> list[Column]:
-    """The order of results within a set: most significant first, ties by layer and concept."""
-    return [F.col("fdr"), F.col("p_value"), F.col("k_study").desc(), F.col("layer"), F.col("concept")]
+    """The order of results within a set: most significant first, ties by layer and concept, as concept_no counts them."""
+    return [F.col("fdr"), F.col("p_value"), F.col("k_study").desc(), F.col("concept_no")]
 
 
 def enrich(index: DataFrame, sets: DataFrame, background: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per set and concept of its members: counts, fold, p_value, tested, fdr, status and rank.
 
-    index: entity_id, layer, concept, label, best a table, as its entities are counted first. sets: set_id, entity_id (each once per set; see ``recognised``).
+    index: entity_id, layer, concept, label, best a table, as it is read several times. sets: set_id, entity_id (each once per set; see ``recognised``).
     background: entity_id. Only entities of the background with a concept count; n_bg is their number,
     n_study that of the set's among them. Concepts in more than max_concept_frac of n_bg are left
     out; those in fewer than min_genes of the set stay untested with fdr 1. status is 'significant', 'trend' or
@@ -86,25 +86,45 @@ def enrich(index: DataFrame, sets: DataFrame, background: DataFrame, limits: Lim
     """
     if background is None:
         raise ValueError("a background is required: the entities that could have been in the sets")
-    inside = cut(universe(index, background))
+    per_entity = cut(index.groupBy("entity_id").agg(F.count("*").alias("n_of_key")))
+    inside = cut(universe(per_entity, background))
     n_bg = inside.count()
     if n_bg == 0:
         raise ValueError("no entity of the background has a concept")
-    held = spread_join(index, inside, ["entity_id"], "left_semi")
-    known = held.groupBy("layer", "concept", "label").agg(F.count("*").alias("k_bg")).where(F.col("k_bg") <= limits.max_concept_frac * n_bg)
     study = cut(sets.select("set_id", "entity_id").join(inside, "entity_id", "left_semi"))
     if study.isEmpty():
         raise ValueError("no member of any set is in the background and has a concept")
-    sizes = study.groupBy("set_id").agg(F.count("*").alias("n_study"))
-    hits = spread_join(held, study, ["entity_id"], counted_on=index).groupBy("set_id", "concept").agg(F.count("*").alias("k_study"))
-    rows = hits.join(known, "concept").join(sizes, "set_id").withColumn("n_bg", F.lit(n_bg).cast("long"))
-    fold = (F.col("k_study") / F.col("n_study")) / (F.col("k_bg") / F.col("n_bg"))
-    rows = rows.withColumn("fold", fold).withColumn("p_value", S.hypergeometric_tail(F.col("k_study"), F.col("n_study"), F.col("k_bg"), F.col("n_bg")))
-    rows = false_discovery(rows.withColumn("tested", F.col("k_study") >= limits.min_genes))
+    sizes = cut(study.groupBy("set_id").agg(F.count("*").alias("n_study")).where("set_id IS NOT NULL").withColumn("set_no", F.monotonically_increasing_id()))
+    held = index if per_entity.count() == n_bg else spread_join(index, inside, ["entity_id"], "left_semi", counts=per_entity)
+    known = held.groupBy("layer", "concept", "label").agg(F.count("*").alias("k_bg")).where(F.col("k_bg") <= limits.max_concept_frac * n_bg)
+    known = cut(known.orderBy("layer", "concept", "label").withColumn("concept_no", F.monotonically_increasing_id()))
+    n_known, n_sets = known.count(), sizes.count()
+    rows = cut(_counted(index, study.join(sizes, "set_id").select("entity_id", "set_no", "n_study"), known, n_known, per_entity))
+    tests = _with_tails(rows, n_bg).withColumn("tested", F.col("k_study") >= limits.min_genes).withColumnRenamed("set_no", "set_id")
+    tests = false_discovery(tests).withColumnRenamed("set_id", "set_no")
+    tests = tests.withColumn("n_bg", F.lit(n_bg).cast("long")).withColumn("fold", (F.col("k_study") / F.col("n_study")) / (F.col("k_bg") / F.col("n_bg")))
     worthy = F.col("tested") & (F.col("fold") >= limits.min_fold)
     status = F.when(worthy & (F.col("fdr") <= limits.fdr), "significant").when(worthy & (F.col("p_value") <= limits.trend_p), "trend").otherwise("")
-    columns = ["set_id", "concept", "layer", "label", "k_study", "n_study", "k_bg", "n_bg", "fold", "p_value", "tested", "fdr", "status", "rank"]
-    return positions(rows.withColumn("status", status), "set_id", rank_order(), "rank").select(*columns)
+    placed = positions(tests, "set_no", rank_order(), "rank").withColumn("status", status)
+    named = sent_join(placed, known.select("concept_no", "layer", "concept", "label"), ["concept_no"], n_known)
+    named = sent_join(named, sizes.select("set_no", "set_id"), ["set_no"], n_sets)
+    return named.select("set_id", "concept", "layer", "label", "k_study", "n_study", "k_bg", "n_bg", "fold", "p_value", "tested", "fdr", "status", "rank")
+
+
+def _counted(index: DataFrame, study: DataFrame, known: DataFrame, n_known: int, per_entity: DataFrame) -> DataFrame:
+    """(set_no, n_study, concept_no, k_bg, k_study) of the sets' known concepts. study: entity_id, set_no, n_study; per_entity: entity_id, n_of_key."""
+    per_concept = known.groupBy("concept").agg(F.sum("k_bg").alias("n_of_key"))
+    numbered = sent_join(index.select("entity_id", "concept"), known.select("concept", "concept_no", "k_bg"), ["concept"], n_known, per_concept).drop("concept")
+    hits = spread_join(numbered, study, ["entity_id"], counts=per_entity)
+    return hits.groupBy("set_no", "n_study", "concept_no", "k_bg").agg(F.count("*").alias("k_study"))
+
+
+def _with_tails(rows: DataFrame, n_bg: int) -> DataFrame:
+    """With p_value, computed once for each different line of counts. rows: a table with k_study, n_study and k_bg."""
+    keys = ["k_study", "n_study", "k_bg"]
+    tail = S.hypergeometric_tail(F.col("k_study"), F.col("n_study"), F.col("k_bg"), F.lit(n_bg).cast("long"))
+    tails = cut(rows.select(*keys).distinct().repartition(4 * partitions(rows)).withColumn("p_value", tail))
+    return sent_join(rows, tails, keys, tails.count())
 
 
 def missing_entities(sets: DataFrame, inside: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from termweave.session import cut
 HOT_ROWS = 1_000_000
 #: At most so many keys are spread: a key must hold more than a HOT_KEYS-th of all rows, too.
 HOT_KEYS = 10_000
+#: A table of at most so many short rows goes to all tasks in ``sent_join``; its rows are counted before.
+SENT_ROWS = 500_000
 
 
 def partitions(df: DataFrame) -> int:
@@ -20,19 +22,21 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", counted_on: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", counted_on: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``, where one key may hold any share of the rows of ``left``.
 
     A key with more than HOT_ROWS rows on the left is dealt to one task per HOT_ROWS rows, by a hash of the
     row, and its rows on the right go to each of these. The hot keys are counted first, unless all rows are no more than
     that, so ``left`` is best a table or a cheap plan; there are at most HOT_KEYS of them, and they are what is broadcast. how: 'inner',
     'left', 'left_semi' or 'left_anti'. Null keys match nothing. counted_on: a cheaper frame with about as many rows of each key.
+    counts: the keys with n_of_key, their rows on the left, where these are known already; then nothing is counted.
     """
     keys, counted = list(keys), left if counted_on is None else counted_on
-    if counted.count() <= HOT_ROWS:
-        return left.join(right, keys, how)
-    counts = counted.groupBy(*keys).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > HOT_ROWS)
-    hot = counts.orderBy(F.col("n_of_key").desc()).limit(HOT_KEYS).collect()
+    if counts is None:
+        if counted.count() <= HOT_ROWS:
+            return left.join(right, keys, how)
+        counts = counted.groupBy(*keys).agg(F.count("*").alias("n_of_key"))
+    hot = counts.where(F.col("n_of_key") > HOT_ROWS).orderBy(F.col("n_of_key").desc()).limit(HOT_KEYS).collect()
     if not hot:
         return left.join(right, keys, how)
     kinds = dict(left.dtypes)
@@ -44,6 +48,11 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return dealt.join(copied, [*keys, "task_of_key"], how).drop("task_of_key")
 
 
+def sent_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n_right: int, counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, a table of ``n_right`` rows that goes to all tasks if these are at most SENT_ROWS; else see ``spread_join``."""
+    return left.join(F.broadcast(right), list(keys)) if n_right <= SENT_ROWS else spread_join(left, right, keys, counts=counts)
+
+
 def range_parts(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """``rows`` as a table with ``part_of_range``, the number of the range of ``order`` that a row is in. A tie is not torn apart."""
     return cut(rows.repartitionByRange(partitions(rows), *order).withColumn("part_of_range", F.spark_partition_id()))
